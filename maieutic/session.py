@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(name: str = "maieutic", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,3 +51,22 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and written to the checkpoint folder, so that later reads do not repeat its work."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as a Parquet table beside the checkpoints and read back, with column pruning and known size.
+
+    The table is deleted when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it holds at most so many rows, else as it is. Counts df: hand over a stored one."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
