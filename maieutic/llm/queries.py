@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maieutic.llm import syntax, topn
+from maieutic.llm import neardup, syntax, topn
 from maieutic.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = neardup.similar_tasks(read_table(spark, root, "episodes")).pairs()
+    return pairs.select(F.col("a").alias("task_id_a"), F.col("b").alias("task_id_b"))
+
+
+def p1_classes(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.similar_tasks(read_table(spark, root, "episodes")).classes().withColumnRenamed("id", "task_id")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_examples(read_table(spark, root, "hard_examples")).select("topic_key", "example_id")
 
