@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maieutic.llm import neardup, syntax, topn
+from maieutic.llm import leaks, neardup, syntax, topn
 from maieutic.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def p5_rates(spark: SparkSession, root: str) -> DataFrame:
     return syntax.parse_rates(read_table(spark, root, "episodes"))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, root, "documents"), read_table(spark, root, "heldout_items")).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leak_report(read_table(spark, root, "documents"), read_table(spark, root, "heldout_items"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
