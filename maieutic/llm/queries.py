@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maieutic.llm import leaks, neardup, syntax, topn
+from maieutic.llm import leaks, neardup, syntax, topn, truncation
 from maieutic.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,14 @@ def p3_ranked(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_examples(read_table(spark, root, "hard_examples")).select("topic_key", "example_id", "rank", "score")
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.judged_texts(read_table(spark, root, "episodes")).where("is_cut").select("field_name", "episode_id").distinct()
+
+
+def p4_rates(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.cut_rates(truncation.judged_texts(read_table(spark, root, "episodes")))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return syntax.unparsed_tasks(read_table(spark, root, "episodes"))
 
