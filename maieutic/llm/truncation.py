@@ -108,10 +108,14 @@ def cut_texts(endings: DataFrame, field: str, source: str) -> DataFrame:
     A text is cut if its ending is incomplete (evidence ending), if its last line is a
     rare beginning of a usual last line of its field (evidence part), or if its ending
     leaves doubt at a length that is significant for its source (evidence limit).
-    at_limit: its length in characters, bytes or words is significant for its source.
+    at_limit: its length is significant for its source, in whichever of characters,
+    bytes and words the source's limits show most clearly.
     """
     both = [field, source]
     hazards = length_hazards(endings, both).where("significant")
+    # A limit in one unit also shows, blurred, in the others: only the unit with the clearest limit of a source counts.
+    clearest = F.min_by("unit", F.struct("log_p", "unit")).over(Window.partitionBy(*both))
+    hazards = hazards.withColumn("clearest", clearest).where("unit = clearest")
     limits = hazards.groupBy(*both).agg(F.collect_set(F.struct("unit", "length")).alias("limits"))
     tails = endings.where("tail is not null").groupBy(field, "tail").agg(F.countDistinct("hash").alias("n"))
     share = Window.partitionBy(field)
