@@ -86,9 +86,9 @@ def _prose(text: str, may_end_bare: bool) -> tuple[str, str | None]:
     if own_line and not _LIST.match(last) and _LABEL.match(last.strip()) and len(last.split()) <= 5 and not (core[-1:] in ".?!" and " " in last.strip() and ":" not in last):
         shape = tail_shape(last.strip())
         return (DOUBT if re.search(r"\sN$|9$", shape) else COMPLETE), shape
-    if core[-1:] in ".?!。" and not re.search(r"(?:^|\s)\d+\.$", last):
-        return COMPLETE, None
-    if re.search(r"(?:^|\s)\d+\.$", last) and not own_line and core[-1:] == ".":
+    if own_line and len(last.split()) <= 3 and re.search(r"\d\.$", last):
+        return CUT, None
+    if core[-1:] in ".?!。":
         return COMPLETE, None
     if m := _KEYWORDS.search(plain):
         return COMPLETE, tail_shape(m[1])
