@@ -7,21 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maieutic.llm import leaks, neardup, syntax, topn, truncation
+from maieutic.llm import leaks, neardup, pairs, syntax, topn, truncation
 from maieutic.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    pairs = neardup.similar_tasks(read_table(spark, root, "episodes")).pairs()
-    return pairs.select(F.col("a").alias("task_id_a"), F.col("b").alias("task_id_b"))
+    similar = neardup.similar_tasks(read_table(spark, root, "episodes")).pairs()
+    return similar.select(F.col("a").alias("task_id_a"), F.col("b").alias("task_id_b"))
 
 
 def p1_classes(spark: SparkSession, root: str) -> DataFrame:
     return neardup.similar_tasks(read_table(spark, root, "episodes")).classes().withColumnRenamed("id", "task_id")
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return pairs.found_pairs(read_table(spark, root, "hard_examples"), read_table(spark, root, "episodes"))
+
+
+def p2_counts(spark: SparkSession, root: str) -> DataFrame:
+    return pairs.defect_counts(read_table(spark, root, "hard_examples"), read_table(spark, root, "episodes"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_examples(read_table(spark, root, "hard_examples")).select("topic_key", "example_id")
 
