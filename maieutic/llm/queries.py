@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maieutic.llm import leaks, neardup, pairs, syntax, topn, truncation
+from maieutic.llm import leaks, neardup, packing, pairs, syntax, topn, truncation
 from maieutic.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,20 @@ def p5_rates(spark: SparkSession, root: str) -> DataFrame:
     return syntax.parse_rates(read_table(spark, root, "episodes"))
 
 
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    return packing.packed_documents(read_table(spark, root, "documents"), read_table(spark, root, "container_sizes"))
+
+
+def p6_fill(spark: SparkSession, root: str) -> DataFrame:
+    sizes = read_table(spark, root, "container_sizes")
+    return packing.fill_report(packing.packed_documents(read_table(spark, root, "documents"), sizes), sizes)
+
+
+def p6_bucket_fill(spark: SparkSession, root: str) -> DataFrame:
+    sizes = read_table(spark, root, "container_sizes")
+    return packing.fill_report(packing.packed_documents(read_table(spark, root, "documents"), sizes, "in_buckets"), sizes)
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaks(read_table(spark, root, "documents"), read_table(spark, root, "heldout_items")).select("doc_id", "item_id")
 
