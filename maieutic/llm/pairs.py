@@ -23,8 +23,8 @@ LEAST_HITS, CLEAR = 2, 1.5
 # Frequent function words of each language.
 FUNCTION_WORDS = {
     "en": "the of and is to in that it for you what which does with on be this are as at by from or not would how why where when its an must so after before see their can",
-    "de": "der die das und ist zu den dem des ein eine einen einer nicht mit für auf von im in wird sich als auch aus bei nach was wie wenn dann oder noch soll sehen nur weil bitte du deine",
-    "es": "el la los las de del que y en un una es se por con para no su al lo como más pero qué debe quedar cuando cada primero luego todas dentro cuántas valor",
+    "de": "der die das und ist zu den dem des ein eine einen einer nicht mit für auf von im wird sich als auch aus bei nach wie wenn dann oder noch soll sehen nur weil bitte du deine",
+    "es": "el la los las de del que y en un una es se por con para su al lo como más pero qué debe quedar cuando cada primero luego todas dentro cuántas valor",
     "fr": "le la les de des du et en un une est que qui dans pour pas sur au aux ce se par plus ne sont avec où quel quelle il elle faut chacun combien tu doit leur",
 }
 _WORDS_OF = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maieutic.llm import leaks, neardup, packing, pairs, syntax, topn, truncation
+from maieutic.llm import leaks, neardup, packing, pairs, subjects, syntax, topn, truncation
 from maieutic.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,18 @@ def p7_report(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leak_report(read_table(spark, root, "documents"), read_table(spark, root, "heldout_items"))
 
 
+def _subjects(spark: SparkSession, root: str) -> DataFrame:
+    return subjects.document_subjects(*(read_table(spark, root, t) for t in ("documents", "subject_list", "subject_labels")))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return _subjects(spark, root).select("doc_id", "subject").distinct()
+
+
+def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return subjects.corpus_mixture(_subjects(spark, root))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
