@@ -19,7 +19,9 @@ from maieutic.session import stored
 #: A term is known if at least this share of the documents, and LEAST_DOCUMENTS of them, have it; so at most mean terms a document / TERM_SHARE are.
 TERM_SHARE, LEAST_DOCUMENTS = 0.0004, 4
 #: Components beside the subjects, which take up what no subject explains; rounds of updates of the terms, and of the documents' mixtures in each.
-BACKGROUND, ROUNDS, INNER = 3, 5, 4
+BACKGROUND, ROUNDS, INNER = 3, 4, 3
+#: Words of more than the first share of the documents tell no subjects apart and stay out of the matrix; pairs are made of words of at most the second share.
+COMMON, PAIRED = 0.35, 0.15
 #: Labelled documents that give the components their first values; a documented bound.
 LABELS = 100_000
 #: A sentence is set in a subject from this sum of its terms' affinities, counting those from STRONG; a sentence about code needs more.
@@ -36,8 +38,10 @@ _BREAK, _END, _CODE = 0, 1, 2
 _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
 _HEADING = re.compile(r"^\s*#.*$", re.M)
 _PREFIX = re.compile(r"^[ \t]*(?:[-*•>]+|\d+[.)])?[ \t]*(?:[^\W\d_]{1,12}:(?=[ \t]))?", re.M)
-_TOKEN = re.compile(r"(`[^`\n]*`|\b\w*_\w+\b)|([^\W\d_]+(?:[-'’][^\W\d_]+)*)|([.!?](?=\s|$)|\n)|(\d+)")
-_hashes: dict[str, int] = {}
+_INLINE = re.compile(r"`[^`\n]*`|\b[^\W_]+_\w+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?](?=\s|$)|\n|§|\d+")
+_MARKS = {".": _END, "!": _END, "?": _END, "\n": _END, "§": _CODE}
+_hashes: dict[str, int] = dict(_MARKS)
 
 
 def word_hash(word: str) -> int:
@@ -45,7 +49,9 @@ def word_hash(word: str) -> int:
     if h is None:
         if len(_hashes) > 300_000:
             _hashes.clear()
-        h = _hashes[word] = xxhash.xxh32_intdigest(word) | 4
+            _hashes.update(_MARKS)
+        h = _BREAK if word[0].isdigit() else xxhash.xxh32_intdigest(word) | 4
+        _hashes[word] = h
     return h
 
 
@@ -53,18 +59,14 @@ def encoded(text: str | None) -> bytes:
     """A text's words as 32-bit hashes, with marks for code, for numbers and for the ends of sentences; code blocks and headings are left out."""
     if not text or text.isspace():
         return b""
-    out: list[int] = []
-    for code, word, end, number in _TOKEN.findall(_PREFIX.sub("", _HEADING.sub("", _FENCE.sub("\n", text)))):
-        if word:
-            out.append(word_hash(word.lower()))
-        elif end:
-            if out and out[-1] != _END:
-                out.append(_END)
-        else:
-            out.append(_CODE if code else _BREAK)
-    if out and out[-1] != _END:
-        out.append(_END)
-    return np.array(out or [_END], dtype=np.uint32).tobytes()
+    plain = _INLINE.sub("§", _PREFIX.sub("", _HEADING.sub("", _FENCE.sub("\n", text)))).lower()
+    out = np.array([*map(word_hash, _TOKEN.findall(plain)), _END], dtype=np.uint32)
+    # Of several ends in a row one is left.
+    end = out == _END
+    keep = ~end
+    keep[1:] |= ~end[:-1]
+    keep[0] = not end[0] or len(out) == 1
+    return out[keep].tobytes()
 
 
 def encode_texts(texts: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -111,17 +113,17 @@ class Terms:
         t = self.numbers(keys)
         known = t >= 0
         cell, count = np.unique(owner[known] * len(self.hashes) + t[known], return_counts=True)
-        return cell // len(self.hashes), cell % len(self.hashes), count.astype(np.float32)
+        return cell // len(self.hashes), cell % len(self.hashes), count
 
 
 def known_terms(coded: DataFrame, share: float = TERM_SHARE, least: int = LEAST_DOCUMENTS) -> Terms:
-    """The terms of enough documents: words first, then pairs of such words."""
+    """The terms of enough documents, and not of too many: words first, then pairs of the rarer of such words."""
     n = coded.count()
     need = max(least, int(share * n))
 
-    def frequent(words: Terms | None) -> np.ndarray:
+    def frequent(words: Terms | None) -> pd.DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums, waiting = None, []
+            waiting = []
 
             def merged():
                 keys, n = np.concatenate([k for k, _ in waiting]), np.concatenate([c for _, c in waiting])
@@ -130,15 +132,13 @@ def known_terms(coded: DataFrame, share: float = TERM_SHARE, least: int = LEAST_
 
             for batch in batches:
                 codes, row = _flat(batch.column(0))
-                keys, owner, at, is_pair = _pairs(codes, row)
                 if words is None:
-                    use = ~is_pair
+                    at = np.flatnonzero(codes > 3)
+                    keys, owner = codes[at].astype(np.uint64), row[at]
                 else:
-                    first = at[is_pair]
-                    ok = (words.numbers(codes[first].astype(np.uint64)) >= 0) & (words.numbers(codes[first + 1].astype(np.uint64)) >= 0)
-                    use = is_pair.copy()
-                    use[is_pair] = ok
-                keys, owner = keys[use], owner[use]
+                    codes = np.where(words.numbers(codes.astype(np.uint64)) >= 0, codes, _BREAK).astype(np.uint32)
+                    keys, owner, _, is_pair = _pairs(codes, row)
+                    keys, owner = keys[is_pair], owner[is_pair]
                 order = np.lexsort((owner, keys))
                 keys, owner = keys[order], owner[order]
                 new = np.ones(len(keys), bool)
@@ -147,24 +147,28 @@ def known_terms(coded: DataFrame, share: float = TERM_SHARE, least: int = LEAST_
                 if len(waiting) > 40:
                     waiting = [merged()]
             if waiting:
-                sums = merged()
-                yield pa.RecordBatch.from_arrays([pa.array(sums[0].view(np.int64)), pa.array(sums[1])], names=["term", "n"])
+                u, count = merged()
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(count)], names=["term", "n"])
 
-        counts = coded.select("code").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= need)
-        return counts.select("term").toPandas()["term"].to_numpy(dtype=np.int64).view(np.uint64)
+        counts = coded.select("code").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where((F.col("n") >= need) & (F.col("n") <= max(need, COMMON * n)))
+        return counts.toPandas()  # at most mean terms a document / share rows
+
+    def hashes(found: pd.DataFrame) -> np.ndarray:
+        return found["term"].to_numpy(dtype=np.int64).view(np.uint64)
 
     words = frequent(None)
-    return Terms(np.concatenate([words, frequent(Terms(words))]))
+    rarer = words[words["n"] <= max(need, PAIRED * n)]
+    return Terms(np.concatenate([hashes(words), hashes(frequent(Terms(hashes(rarer))))]))
 
 
 @F.pandas_udf(BinaryType())
 def add_up(blocks: pd.Series) -> bytes:
-    """The sum of arrays of doubles."""
+    """The sum of arrays of single precision."""
     total = None
     for b in blocks:
-        x = np.frombuffer(b, dtype=np.float64)
-        total = x.copy() if total is None else total + x
-    return total.tobytes()
+        x = np.frombuffer(b, dtype=np.float32)
+        total = x.astype(np.float64) if total is None else total + x
+    return total.astype(np.float32).tobytes()
 
 
 def summed(parts: DataFrame, components: int, terms: int) -> np.ndarray:
@@ -172,7 +176,7 @@ def summed(parts: DataFrame, components: int, terms: int) -> np.ndarray:
     once = parts.groupBy("component", "part").agg(add_up("block").alias("block")).groupBy("component").agg(add_up("block").alias("block"))
     out = np.zeros((components, terms))
     for r in once.collect():  # one row a component
-        out[r.component] = np.frombuffer(r.block, dtype=np.float64)
+        out[r.component] = np.frombuffer(r.block, dtype=np.float32)
     return out
 
 
@@ -208,49 +212,70 @@ def _blocks(total: np.ndarray) -> pa.RecordBatch:
 
     flat = total.reshape(-1, total.shape[-1])
     part = TaskContext.get().partitionId() % PARTS
-    return pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([part] * len(flat), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["component", "part", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([part] * len(flat), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in flat], pa.binary())], names=["component", "part", "block"])
+
+
+def term_matrix(coded: DataFrame, terms: Terms) -> DataFrame:
+    """id, tongue, cells: each document's language, and its terms and counts as 32-bit numbers."""
+    known = coded.sparkSession.sparkContext.broadcast(terms)
+    kind = coded.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = known.value
+        for batch in batches:
+            codes, owner = _flat(batch.column(1))
+            row, term, count = t.matrix(codes, owner)
+            cells = np.stack([term, count], axis=1).astype(np.int32)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            tongue = languages(codes, owner, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tongue, pa.int32()), pa.array([cells[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["id", "tongue", "cells"])
 
+    return coded.select("id", "code").mapInArrow(run, f"id {kind}, tongue int, cells binary")
 
-def _gather(coded: DataFrame, terms: Terms, h: np.ndarray, inner: int) -> np.ndarray:
+
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, language, term and count of all cells of a batch of term_matrix."""
+    values = batch.column("cells").to_pylist()
+    cells = np.frombuffer(b"".join(values), dtype=np.int32).reshape(-1, 2)
+    row = np.repeat(np.arange(len(values)), [len(v) // 8 for v in values])
+    return row, np.asarray(batch.column("tongue"))[row], cells[:, 0], cells[:, 1].astype(np.float32)
+
+
+def _gather(matrix: DataFrame, h: np.ndarray, inner: int) -> np.ndarray:
     """One round: given the components h (languages x terms x components), the documents' mixtures, and the components' new sums (languages x components x terms)."""
     g, v, k = h.shape
-    known = coded.sparkSession.sparkContext.broadcast((terms, h.astype(np.float32)))
+    known = matrix.sparkSession.sparkContext.broadcast(h.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, now = known.value
+        now = known.value
         total = np.zeros((g, k, v))
         for batch in batches:
             for piece in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                codes, owner = _flat(piece.column(0))
-                row, term, count = t.matrix(codes, owner)
-                tongue = languages(codes, owner, piece.num_rows)[row]
+                row, tongue, term, count = _cells(piece)
                 share = _mixtures(row, term, count, piece.num_rows, now[tongue, term], inner)
                 cell = tongue * v + term
                 for c in range(k):
                     total[:, c] += np.bincount(cell, weights=share[:, c], minlength=g * v).reshape(g, v)
         yield _blocks(total)
 
-    return summed(coded.select("code").mapInArrow(run, "component int, part int, block binary"), g * k, v).reshape(g, k, v)
+    return summed(matrix.select("tongue", "cells").mapInArrow(run, "component int, part int, block binary"), g * k, v).reshape(g, k, v)
 
 
-def _labelled(coded: DataFrame, labels: DataFrame, terms: Terms, names: list[str]) -> np.ndarray:
-    """Sums of the terms of labelled documents, each document weighing one: languages x subjects x terms."""
-    g, v, k = len(_TONGUES), len(terms.hashes), len(names)
+def _labelled(matrix: DataFrame, labels: DataFrame, n_terms: int, names: list[str]) -> np.ndarray:
+    """Sums of the terms of labelled documents, each document weighing one: languages x subjects x terms. labels has at most LABELS rows."""
+    g, v, k = len(_TONGUES), n_terms, len(names)
     number = {n: i for i, n in enumerate(names)}
-    known = coded.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, total = known.value, np.zeros((g, k, v))
+        total = np.zeros((g, k, v))
         for batch in batches:
-            codes, owner = _flat(batch.column(0))
-            row, term, count = t.matrix(codes, owner)
-            which = np.array([number[s] for s in batch.column(1).to_pylist()], dtype=np.int64)
-            tongue = languages(codes, owner, batch.num_rows)
+            row, tongue, term, count = _cells(batch)
+            which = np.array([number[s] for s in batch.column("subject").to_pylist()], dtype=np.int64)
             if len(row):
-                np.add.at(total, (tongue[row], which[row], term), count / np.bincount(row, weights=count, minlength=batch.num_rows)[row])
+                np.add.at(total, (tongue, which[row], term), count / np.bincount(row, weights=count, minlength=batch.num_rows)[row])
         yield _blocks(total)
 
-    return summed(coded.join(F.broadcast(labels), "id").select("code", "subject").mapInArrow(run, "component int, part int, block binary"), g * k, v).reshape(g, k, v)
+    return summed(matrix.join(F.broadcast(labels), "id").select("tongue", "cells", "subject").mapInArrow(run, "component int, part int, block binary"), g * k, v).reshape(g, k, v)
 
 
 class SubjectModel:
@@ -288,8 +313,9 @@ def fit(coded: DataFrame, subjects: dict[str, str], labels: DataFrame | None, ro
     g, k, v = len(_TONGUES), len(names), len(terms.hashes)
     if not v or not k:
         return SubjectModel(names, terms, np.zeros((g, v, k)))
-    seen = _labelled(coded, labels, terms, names) if labels is not None else np.zeros((g, k, v))
-    every = _gather(coded, terms, np.ones((g, v, 1)), 0)[:, 0]
+    matrix = stored(term_matrix(coded, terms))
+    seen = _labelled(matrix, labels, v, names) if labels is not None else np.zeros((g, k, v))
+    every = _gather(matrix, np.ones((g, v, 1)), 0)[:, 0]
     base = every / np.maximum(every.sum(axis=1, keepdims=True), 1e-9)
     anchor = np.zeros((k, v))
     for i, (_, ws) in enumerate(sorted(description_words(subjects).items())):
@@ -310,7 +336,7 @@ def fit(coded: DataFrame, subjects: dict[str, str], labels: DataFrame | None, ro
             h[j, k + i] = base[j] * rng.uniform(0.5, 1.5, v)
     h /= np.maximum(h.sum(axis=2, keepdims=True), 1e-30)
     for _ in range(rounds):
-        total = _gather(coded, terms, h.transpose(0, 2, 1), inner)
+        total = _gather(matrix, h.transpose(0, 2, 1), inner)
         h = total / np.maximum(total.sum(axis=2, keepdims=True), 1e-9)
     return SubjectModel(names, terms, (total[:, :k] / np.maximum(total.sum(axis=1, keepdims=True), 1e-30)).transpose(0, 2, 1))
 
@@ -323,32 +349,33 @@ def sentence_settings(model: SubjectModel, codes: np.ndarray, row: np.ndarray) -
     doc = row[is_end]
     keys, _, at, is_pair = _pairs(codes, row)
     t = model.terms.numbers(keys)
-    # A pair speaks for both of its words, where it is known.
-    paired = np.zeros(len(codes) + 1, bool)
-    ok = is_pair & (t >= 0)
-    strong = np.zeros((len(t), len(model.names)), dtype=np.float32)
-    good = t >= 0
+    k = len(model.names)
+    good = np.flatnonzero(t >= 0)
     a = model.affinity[languages(codes, row, int(row.max()) + 1 if len(row) else 1)[row[at[good]]], t[good]]
-    strong[good] = np.where(a >= STRONG, a, 0)
-    strong_pair = ok & (strong.max(axis=1, initial=0) > 0)
-    paired[at[strong_pair]] = True
-    paired[at[strong_pair] + 1] = True
-    strong[~is_pair & paired[at]] = 0
-    score = np.zeros((n, len(model.names)), dtype=np.float32)
-    np.add.at(score, sentence[at], strong)
+    strong = a >= STRONG
+    # A pair speaks for both of its words, where it speaks for a subject.
+    paired = np.zeros(len(codes) + 1, bool)
+    pair = good[is_pair[good] & strong.any(axis=1)]
+    paired[at[pair]] = True
+    paired[at[pair] + 1] = True
+    strong &= (is_pair[good] | ~paired[at[good]])[:, None]
+    i, j = np.nonzero(strong)
+    score = np.bincount(sentence[at[good[i]]] * k + j, weights=a[i, j], minlength=n * k).reshape(n, k)
     code = np.zeros(n, bool)
     code[sentence[codes == _CODE]] = True
     best = score.argmax(axis=1)
     top = score[np.arange(n), best]
     setting = np.where(top >= np.where(code, SET_CODE, SET), best, -1)
     # A sentence whose terms leave doubt goes to a subject that the document has elsewhere.
-    has = np.zeros((int(doc.max()) + 1 if n else 0, len(model.names)), bool)
+    has = np.zeros((int(doc.max()) + 1 if n else 0, k), bool)
     has[doc[setting >= 0], setting[setting >= 0]] = True
-    weak = np.zeros_like(score)
-    np.maximum.at(weak, sentence[at[good]], a)
-    weak[~has[doc]] = 0
-    open_ = (setting < 0) & ~code & (weak.max(axis=1, initial=0) >= WEAK)
-    return doc, np.where(open_, weak.argmax(axis=1), setting)
+    i, j = np.nonzero(a >= WEAK)
+    s = sentence[at[good[i]]]
+    open_ = (setting[s] < 0) & ~code[s] & has[doc[s], j]
+    i, j, s = i[open_], j[open_], s[open_]
+    order = np.argsort(a[i, j], kind="stable")  # the greatest affinity of a sentence is written last
+    setting[s[order]] = j[order]
+    return doc, setting
 
 
 def assign(coded: DataFrame, model: SubjectModel, fallback: str | None, least: int = LEAST_SENTENCES) -> DataFrame:
