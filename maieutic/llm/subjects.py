@@ -38,8 +38,8 @@ _BREAK, _END, _CODE = 0, 1, 2
 _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
 _HEADING = re.compile(r"^\s*#.*$", re.M)
 _PREFIX = re.compile(r"^[ \t]*(?:[-*•>]+|\d+[.)])?[ \t]*(?:[^\W\d_]{1,12}:(?=[ \t]))?", re.M)
-_INLINE = re.compile(r"`[^`\n]*`|\b[^\W_]+_\w+")
-_TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?](?=\s|$)|\n|§|\d+")
+_INLINE = re.compile(r"`[^`\n]*`")
+_TOKEN = re.compile(r"\w[\w'’-]*|[.!?](?=\s)|[\n§]")
 _MARKS = {".": _END, "!": _END, "?": _END, "\n": _END, "§": _CODE}
 _hashes: dict[str, int] = dict(_MARKS)
 
@@ -50,7 +50,7 @@ def word_hash(word: str) -> int:
         if len(_hashes) > 300_000:
             _hashes.clear()
             _hashes.update(_MARKS)
-        h = _BREAK if word[0].isdigit() else xxhash.xxh32_intdigest(word) | 4
+        h = _CODE if "_" in word else _BREAK if word[0].isdigit() else xxhash.xxh32_intdigest(word) | 4
         _hashes[word] = h
     return h
 
@@ -59,8 +59,11 @@ def encoded(text: str | None) -> bytes:
     """A text's words as 32-bit hashes, with marks for code, for numbers and for the ends of sentences; code blocks and headings are left out."""
     if not text or text.isspace():
         return b""
-    plain = _INLINE.sub("§", _PREFIX.sub("", _HEADING.sub("", _FENCE.sub("\n", text)))).lower()
-    out = np.array([*map(word_hash, _TOKEN.findall(plain)), _END], dtype=np.uint32)
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    plain = _INLINE.sub(" § ", _PREFIX.sub("", _HEADING.sub("", text))).lower() + "\n"
+    known = _hashes
+    out = np.array([known[w] if w in known else word_hash(w) for w in _TOKEN.findall(plain)], dtype=np.uint32)
     # Of several ends in a row one is left.
     end = out == _END
     keep = ~end
