@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maieutic.functions.text import strip
+from maieutic.functions.text import let, strip
 
 # Traces of a text decoded with the wrong character set.
 MOJIBAKE = ("вЂ", "â€™", "â€œ", "â€", "Ã", "�")
@@ -92,76 +92,96 @@ def fails_to_compile(name: Column, failure: Column) -> Column:
 def foreign_identifiers(hint: Column, allowed: Column) -> Column:
     """Names in code marks or before a bracket that the task does not have, sorted; single letters do not count."""
     t = F.coalesce(hint, F.lit(""))
-    marked = F.flatten(F.transform(F.regexp_extract_all(t, F.lit("`([^`]+)`"), F.lit(1)), own_identifiers))
+    marked = F.flatten(F.transform(F.regexp_extract_all(t, F.lit("`([^`]+)`"), F.lit(1)), identifiers))
     called = F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))
-    known = F.concat(allowed, F.array(*map(F.lit, IGNORED)))
-    return F.array_sort(F.filter(F.array_except(F.concat(marked, called), known), lambda x: F.length(x) > 1))
+    foreign = F.array_except(F.array_except(F.concat(marked, called), allowed), F.array(*map(F.lit, IGNORED)))
+    return F.array_sort(F.filter(foreign, lambda x: F.length(x) > 1))
 
 
 def hint_context(program: Column, failure: Column, asserts: Column, target: Column, status: Column) -> Column:
     """What hint_quality has to know of a task: a struct."""
-    checks = assert_context(asserts)
-    goal = strip(F.coalesce(target, F.lit("")))
-    names = own_identifiers(F.concat_ws("\n", program, failure, checks))
-    name = error_name(failure)
-    return F.struct(
-        F.array_union(names, F.when(goal != "", F.array(goal)).otherwise(F.array().cast(_TEXTS))).alias("allowed"),
-        goal.alias("target"),
-        checks.alias("checks"),
-        name.alias("error_name"),
-        F.coalesce(F.nullif(F.lower(strip(status)), F.lit("")), F.lit("failed")).alias("status"),
-        fails_to_compile(name, failure).alias("compile_failure"),
-    )
+    none = F.array().cast(_TEXTS)
+
+    def context(v: Column) -> Column:
+        names = own_identifiers(F.concat_ws("\n", v["program"], v["failure"], v["checks"]))
+        return F.struct(
+            F.array_union(names, F.when(v["goal"] != "", F.array(v["goal"])).otherwise(none)).alias("allowed"),
+            v["goal"].alias("target"),
+            v["checks"].alias("checks"),
+            v["name"].alias("error_name"),
+            F.coalesce(F.nullif(F.lower(strip(v["status"])), F.lit("")), F.lit("failed")).alias("status"),
+            fails_to_compile(v["name"], v["failure"]).alias("compile_failure"),
+        )
+
+    return let(context, program=program, failure=failure, checks=assert_context(asserts), goal=strip(F.coalesce(target, F.lit(""))), name=error_name(failure), status=status)
 
 
 def prompt_context(prompt: Column) -> Column:
     """The same struct, read from the code and error blocks of a rendered prompt, or from all of a prompt without them."""
-    p = F.coalesce(prompt, F.lit(""))
-    block = lambda head, kind: F.regexp_extract(p, rf"(?s)## {head}\n```{kind}\n(.*?)\n```", 1)
-    found = lambda head, kind: F.rlike(p, F.lit(rf"(?s)## {head}\n```{kind}\n.*?\n```"))
-    code = F.when(found("Code", "python"), block("Code", "python")).otherwise(p)
-    failure = F.when(found("Error", "text"), block("Error", "text")).otherwise(p)
-    status = F.when(F.contains(p, F.lit(NO_FAILURE)), F.lit("passed")).otherwise(F.lit("failed"))
-    name = error_name(failure)
-    return F.struct(
-        own_identifiers(F.concat_ws("\n", code, failure)).alias("allowed"), F.lit("").alias("target"), F.lit("").alias("checks"), name.alias("error_name"), status.alias("status"), fails_to_compile(name, failure).alias("compile_failure")
-    )
+    block = lambda p, head, kind: F.regexp_extract(p, rf"(?s)## {head}\n```{kind}\n(.*?)\n```", 1)
+    has = lambda p, head, kind: F.rlike(p, F.lit(rf"(?s)## {head}\n```{kind}\n.*?\n```"))
+    part = lambda p, head, kind: F.when(has(p, head, kind), block(p, head, kind)).otherwise(p)
+
+    def context(v: Column) -> Column:
+        name = error_name(v["failure"])
+        return F.struct(
+            own_identifiers(F.concat_ws("\n", v["code"], v["failure"])).alias("allowed"),
+            F.lit("").alias("target"),
+            F.lit("").alias("checks"),
+            name.alias("error_name"),
+            F.when(v["passed"], F.lit("passed")).otherwise(F.lit("failed")).alias("status"),
+            fails_to_compile(name, v["failure"]).alias("compile_failure"),
+        )
+
+    return let(lambda v: let(context, code=part(v["p"], "Code", "python"), failure=part(v["p"], "Error", "text"), passed=F.contains(v["p"], F.lit(NO_FAILURE))), p=F.coalesce(prompt, F.lit("")))
 
 
 def hint_quality(hint: Column, context: Column) -> Column:
     """delta, severe, reasons, mentioned, foreign: how well a hint keeps to its task, by counting; a struct."""
-    t = F.coalesce(hint, F.lit(""))
-    low = F.lower(t)
-    mentioned = F.array_intersect(own_identifiers(t), context["allowed"])
-    foreign = foreign_identifiers(t, context["allowed"])
-    unbalanced = F.length(t) - F.length(F.replace(t, F.lit("`"), F.lit("")))
-    checks = own_identifiers(context["checks"])
-    named = F.size(F.array_intersect(checks, identifiers(t)))
-    generic = _number(low, GENERIC)
-    name, passed, compiles = context["error_name"], context["status"] == "passed", ~context["compile_failure"]
-    saw_pass, saw_compile = _any(low, PASSED_HINTS), _any(low, COMPILE_HINTS)
-    n = F.size(mentioned)
     d = lambda c, x: F.when(c, x if isinstance(x, Column) else F.lit(x)).otherwise(F.lit(0.0))
-    odd, is_generic, is_foreign, missed, missed_compile = unbalanced % 2 == 1, (generic > 0) & (n < 2), F.size(foreign) > 0, passed & ~saw_pass, ~compiles & ~saw_compile
-    delta = (
-        d(odd, -1.1)
-        + d((context["target"] != "") & F.contains(t, context["target"]), 0.45)
-        + d((name != "") & F.contains(t, name), 0.35)
-        + F.least(F.lit(0.55), 0.14 * named)
-        + F.least(F.lit(0.55), 0.12 * n)
-        - d(is_generic, F.least(F.lit(0.8), 0.25 * generic))
-        - d(is_foreign, F.least(F.lit(2.6), 1.0 * F.size(foreign)))
-        + d(passed & saw_pass, 0.35)
-        - d(missed, 3.0)
-        + d(~compiles & (name != "") & F.contains(low, F.lower(name)), 0.25)
-        + d(~compiles & saw_compile, 0.45)
-        - d(missed_compile, 2.4)
-    )
     reason = lambda c, x: F.when(c, F.lit(x))
-    return F.struct(
-        delta.alias("delta"),
-        (missed | is_foreign & odd).alias("severe"),
-        kept(reason(odd, "unbalanced_backticks"), reason(is_generic, "generic_hint"), reason(is_foreign, "hallucinated_identifiers"), reason(missed, "missed_passed_execution"), reason(missed_compile, "missed_compile_failure")).alias("reasons"),
-        F.array_sort(mentioned).alias("mentioned"),
-        foreign.alias("foreign"),
-    )
+
+    def rated(v: Column) -> Column:
+        t, low, n, name = v["t"], v["low"], F.size(v["mentioned"]), v["c"]["error_name"]
+        passed, compiles, target = v["c"]["status"] == "passed", ~v["c"]["compile_failure"], v["c"]["target"]
+        odd, is_generic, is_foreign, missed, missed_compile = v["odd"], (v["generic"] > 0) & (n < 2), F.size(v["foreign"]) > 0, passed & ~v["saw_pass"], ~compiles & ~v["saw_compile"]
+        delta = (
+            d(odd, -1.1)
+            + d((target != "") & F.contains(t, target), 0.45)
+            + d((name != "") & F.contains(t, name), 0.35)
+            + F.least(F.lit(0.55), 0.14 * v["named"])
+            + F.least(F.lit(0.55), 0.12 * n)
+            - d(is_generic, F.least(F.lit(0.8), 0.25 * v["generic"]))
+            - d(is_foreign, F.least(F.lit(2.6), 1.0 * F.size(v["foreign"])))
+            + d(passed & v["saw_pass"], 0.35)
+            - d(missed, 3.0)
+            + d(~compiles & (name != "") & F.contains(low, F.lower(name)), 0.25)
+            + d(~compiles & v["saw_compile"], 0.45)
+            - d(missed_compile, 2.4)
+        )
+        return F.struct(
+            delta.alias("delta"),
+            (missed | is_foreign & odd).alias("severe"),
+            kept(reason(odd, "unbalanced_backticks"), reason(is_generic, "generic_hint"), reason(is_foreign, "hallucinated_identifiers"), reason(missed, "missed_passed_execution"), reason(missed_compile, "missed_compile_failure")).alias("reasons"),
+            F.array_sort(v["mentioned"]).alias("mentioned"),
+            v["foreign"].alias("foreign"),
+        )
+
+    def seen(v: Column) -> Column:
+        t, low, c = v["t"], v["low"], v["c"]
+        return let(
+            rated,
+            t=t,
+            low=low,
+            c=c,
+            mentioned=F.array_except(F.array_intersect(v["ids"], c["allowed"]), F.array(*map(F.lit, IGNORED))),
+            foreign=foreign_identifiers(t, c["allowed"]),
+            odd=(F.length(t) - F.length(F.replace(t, F.lit("`"), F.lit("")))) % 2 == 1,
+            named=F.size(F.array_intersect(own_identifiers(c["checks"]), v["ids"])),
+            generic=_number(low, GENERIC),
+            saw_pass=_any(low, PASSED_HINTS),
+            saw_compile=_any(low, COMPILE_HINTS),
+        )
+
+    text = F.coalesce(hint, F.lit(""))
+    return let(seen, t=text, low=F.lower(text), ids=identifiers(text), c=context)

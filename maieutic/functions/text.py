@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ DEFAULT_FAILURE = "AssertionError"
 WEAKNESS = "Recent normalized Socratic reward for '%s' is %.3f. Generate a task that is likely to expose the same weakness more clearly."
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """body of a struct of the values, each computed once a row, however often body uses it.
+
+    Without it, an expression that occurs in several branches is evaluated in each of them.
+    """
+    return F.get(F.transform(F.array(F.struct(*(c.alias(k) for k, c in values.items()))), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -23,8 +33,11 @@ def rstrip(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text; none for an empty one, and none behind a closing line break."""
-    parts = F.split(text, LINE_BREAK)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    def cut(v: Column) -> Column:
+        parts = v["parts"]
+        return F.when(v["t"] == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    return F.when(text.isNotNull(), let(cut, t=text, parts=F.split(text, LINE_BREAK)))
 
 
 def or_default(text: Column, default: str | Column) -> Column:
@@ -46,7 +59,7 @@ def combined_program(body: Column, asserts: Column) -> Column:
     """The program, a blank line, and the stripped checks that are not blank; either part alone where the other is empty."""
     b = rstrip(F.coalesce(body, F.lit("")))
     t = F.array_join(F.filter(F.transform(F.coalesce(asserts, F.array().cast("array<string>")), strip), lambda x: x != ""), "\n")
-    return F.when(b == "", t).when(t == "", b).otherwise(rstrip(F.concat(b, F.lit("\n\n"), t)))
+    return let(lambda v: F.when(v["b"] == "", v["t"]).when(v["t"] == "", v["b"]).otherwise(rstrip(F.concat(v["b"], F.lit("\n\n"), v["t"]))), b=b, t=t)
 
 
 def observed_failure(recorded: Column) -> Column:
@@ -69,9 +82,9 @@ def sanitized_hint(raw: Column, most_lines: int = 4, most_words: int = 120) -> C
     t = F.regexp_replace(t, r"(?s)```.*?```", "")
     t = strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
     kept = F.filter(F.transform(lines(t), strip), lambda x: x != "")
-    joined = strip(F.array_join(F.slice(kept, 1, most_lines), "\n"))
-    words = F.split(joined, r"(?U)\s+")
-    return F.when(F.size(kept) == 0, F.lit(DEFAULT_HINT)).when(F.size(words) > most_words, F.array_join(F.slice(words, 1, most_words), " ")).otherwise(joined)
+    short = lambda v: F.when(F.size(v["words"]) > most_words, F.array_join(F.slice(v["words"], 1, most_words), " ")).otherwise(v["joined"])
+    joined = lambda v: let(short, joined=v["joined"], words=F.split(v["joined"], r"(?U)\s+"))
+    return let(lambda v: F.when(F.size(v["kept"]) == 0, F.lit(DEFAULT_HINT)).otherwise(let(joined, joined=strip(F.array_join(F.slice(v["kept"], 1, most_lines), "\n")))), kept=kept)
 
 
 def tail(text: Column, n: int) -> Column:
