@@ -50,7 +50,7 @@ def _json_end(text: str, at: int) -> int:
 
 def json_start(text: str) -> int:
     """Where a text's JSON begins: at its first character, or on a line of its own behind a lead-in or a fence; -1 without."""
-    m = re.search(r"(?:\A|\n)\s*(?=[\[{]\s*(?:[\"{\[\]}\d-]|true|false|null|\Z))", text)
+    m = re.search(r"(?:\A|\n)\s*(?=[\[{]\s*(?:[\"'{\[\]}\d-]|true|false|null|\Z))", text)
     return m.end() if m else -1
 
 

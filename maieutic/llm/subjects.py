@@ -68,8 +68,8 @@ def encoded(text: str | None) -> bytes:
     end = out == _END
     keep = ~end
     keep[1:] |= ~end[:-1]
-    keep[0] = not end[0] or len(out) == 1
-    return out[keep].tobytes()
+    # A text of nothing but code or headings is one empty sentence.
+    return (out[keep] if keep.any() else np.array([_END], dtype=np.uint32)).tobytes()
 
 
 def encode_texts(texts: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -350,6 +350,8 @@ def sentence_settings(model: SubjectModel, codes: np.ndarray, row: np.ndarray) -
     sentence = np.cumsum(is_end) - is_end
     n = int(is_end.sum())
     doc = row[is_end]
+    if not model.names:
+        return doc, np.full(n, -1)
     keys, _, at, is_pair = _pairs(codes, row)
     t = model.terms.numbers(keys)
     k = len(model.names)
