@@ -11,7 +11,7 @@ _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _FENCE = re.compile(r"^[ \t]*(```|~~~)", re.M)
 _OPEN_TAG = re.compile(r"<([a-z][a-z_\-]*)>")
 _HALF_TAG = re.compile(r"</?[a-z_\-]*$")
-_LABEL = re.compile(r"^(?:-- ?\S.*|[^\W\d][\w ]{0,24}: ?\S.{0,40}|[A-Z]{2,12}|[A-Z][\w]*(?: \d[\d.,%]*)?)$")
+_LABEL = re.compile(r"^(?:-- ?\S.*|[^\W\d][\w ]{0,24}: ?\S.{0,40}|[A-Z]{2,12}|[A-Z]\w* \d[\d.,%]*)$")
 _LIST = re.compile(r"^\s*(?:\d+[.)]|[-*•])(?:\s|$)")
 _KEYWORDS = re.compile(r"(?:^|[.?!)\"»”]\s)([^\W\d]\w{2,20}: ?[\w\-]+(?:, ?[\w\-]+)*,?)$")
 _WORDLIKE = re.compile(r"\w")

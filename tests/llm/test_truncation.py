@@ -15,7 +15,7 @@ CASES = [
     ("All is we", CUT), ("All is well,", CUT), ("All is…", CUT), ("what do-", CUT), ("What is `a_b", CUT), ("See it. (Start with the ca", CUT), ('"All is well. And', CUT), ("It is �", CUT),
     ("It is well.\nEND", COMPLETE), ("It is well.\nDifficulty: medium", COMPLETE), ("It is well.\n-- Holby", DOUBT), ("It is well.\nTotal 29.9", DOUBT), ("It is well.\nTotal 29.", CUT),
     ("It is well. Keywords: loop, copy", COMPLETE), ("It is well.\n2. The", CUT), ("It is well.\n2.", CUT), ("It is well.\nRaise when the value falls below 23.", COMPLETE),
-    ("<think>Hm.", CUT), ("<think>Hm.</think>\nIt is.", COMPLETE), ("<think>Hm.</thi", CUT), ("<think>Hm.</think>", COMPLETE),
+    ("<think>Hm.", CUT), ("<think>Hm.</think>\nIt is.", COMPLETE), ("<think>Hm.</thi", CUT), ("<think>Hm.</think>\nWhat", CUT), ("It is well.\nDiffic", CUT), ("<think>Hm.</think>", COMPLETE),
     ("It is:\n\n```python\nx = 1\n```", COMPLETE), ("It is:\n\n```python\nx = 1", CUT),
     (J, COMPLETE), (J[:-1], CUT), (J[:20], CUT), ("```json\n" + J + "\n```", COMPLETE), ("```json\n" + J, CUT), ("Here it is.\n" + J, COMPLETE), (J + "\n\nTell me whether it suits Holby", DOUBT), (J + "\n\nTell me.", COMPLETE), ("[1, 2]", COMPLETE), ("[1, 2", CUT), ("{'a': 1}", COMPLETE),
 ]
