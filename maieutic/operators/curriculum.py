@@ -54,7 +54,7 @@ def _carried(parts: DataFrame) -> dict[int, tuple[str | None, int]]:
 
 
 def replay(episodes: DataFrame, seq: str, topic: str, reward: str, c: Curriculum = Curriculum(), rows_per_part: int = 500_000) -> DataFrame:
-    """seq, topic, reward, run, reset, epoch, ema, weight after each episode.
+    """seq, topic, reward, run, reset, epoch, ema, weight, part after each episode; part is the range of seq that it was replayed in.
 
     The moving average of a topic's rewards starts at first; reset_after consecutive
     episodes of one topic reset all topics, and the row that resets shows the state
@@ -99,7 +99,7 @@ def replay(episodes: DataFrame, seq: str, topic: str, reward: str, c: Curriculum
     starts = ends.select("topic", "epoch", "part", start.alias("start")).where(F.col("start") != c.first)
     full = placed.join(starts, ["topic", "epoch", "part"], "left")
     ema = F.when(F.col("reset"), F.lit(c.first)).otherwise(F.col("a") * F.coalesce("start", F.lit(c.first)) + F.col("b"))
-    out = full.select("seq", "topic", "reward", "run", "reset", "epoch", ema.alias("ema"))
+    out = full.select("seq", "topic", "reward", "run", "reset", "epoch", ema.alias("ema"), "part")
     return out.withColumn("weight", F.when(F.col("reset"), F.lit(1.0)).otherwise(topic_weight(F.col("ema"), 1.0, c)))
 
 
@@ -121,30 +121,46 @@ def weakest(state: DataFrame) -> DataFrame:
 def focus_boosts(replayed: DataFrame, topics: list[str], c: Curriculum = Curriculum()) -> DataFrame:
     """iteration, seq, topic: the weakest topic at the end of each iteration of iteration_size episodes.
 
-    topics: the configured ones, a setting of the run, which all stand at first until
-    they are seen and again after a reset. The state is handed from one iteration to
-    the next, so the replayed log is read in order, in bounded ranges that pass through
-    the driver one after the other; only the topics' averages are kept.
+    topics: the configured ones, a setting of the run, which stand at first until they
+    are seen and again after a reset. Each part of the replay is read for itself, from
+    the averages that hold where it begins: those of the part before that last had
+    the topic, or first if a reset lies between. replayed is read four times: hand over
+    a stored one.
     """
-    spark = replayed.sparkSession
-    size, state, heap, out, n = c.iteration_size, {t: c.first for t in topics}, [], [], 0
-    heap = [(c.first, t) for t in topics]
-    heapq.heapify(heap)
-    for r in replayed.select("seq", "topic", "reset", "ema").orderBy("seq").toLocalIterator(prefetchPartitions=True):
-        if r.reset:
-            state = {t: c.first for t in topics}
-            heap = [(c.first, t) for t in topics]
-            heapq.heapify(heap)
-        else:
-            state[r.topic] = r.ema
-            heapq.heappush(heap, (r.ema, r.topic))
-        n += 1
-        if n % size == 0:
-            while heap and state.get(heap[0][1]) != heap[0][0]:
-                heapq.heappop(heap)
-            if heap:
-                out.append((n // size, r.seq, heap[0][1]))
-    return spark.createDataFrame(out, "iteration long, seq long, topic string")
+    if not topics:
+        return replayed.sparkSession.createDataFrame([], "iteration long, seq long, topic string")
+    bounds = replayed.groupBy("part").agg(F.count("*").alias("n"), F.max("epoch").alias("last"), (F.max("epoch") > F.min("epoch")).alias("crossed"), F.max_by("reset", "seq").alias("clear"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    bounds = bounds.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    ends = replayed.groupBy("part", "topic", "epoch").agg(F.max_by("ema", "seq").alias("ema"))
+    grid = bounds.select("part", "last", (F.col("crossed") | F.col("clear")).alias("crossed"), "clear", F.explode(F.array(*map(F.lit, topics))).alias("topic"))
+    left = grid.join(ends.withColumnRenamed("epoch", "last"), ["part", "topic", "last"], "left")
+    value = F.when(F.col("clear"), F.lit(c.first)).otherwise(F.coalesce("ema", F.when(F.col("crossed"), F.lit(c.first))))
+    along = Window.partitionBy("topic").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = left.select(F.col("part").alias("p"), "topic", F.coalesce(F.last(value, ignorenulls=True).over(along), F.lit(c.first)).alias("ema"))
+
+    def run(key, rows, begin):
+        state = dict(zip(begin["topic"], begin["ema"]))
+        heap = [(e, t) for t, e in state.items()]
+        heapq.heapify(heap)
+        out, n = [], int(rows["before"].iloc[0]) if len(rows) else 0
+        for s, t, reset, ema in rows.sort_values("seq")[["seq", "topic", "reset", "ema"]].itertuples(index=False):
+            if reset:
+                state = {x: c.first for x in topics}
+                heap = [(c.first, x) for x in topics]
+                heapq.heapify(heap)
+            else:
+                state[t] = ema
+                heapq.heappush(heap, (ema, t))
+            n += 1
+            if n % c.iteration_size == 0:
+                while state.get(heap[0][1]) != heap[0][0]:
+                    heapq.heappop(heap)
+                out.append((n // c.iteration_size, s, heap[0][1]))
+        return pd.DataFrame(out, columns=["iteration", "seq", "topic"])
+
+    rows = replayed.select("part", "seq", "topic", "reset", "ema").join(F.broadcast(bounds.select("part", "before")), "part").select(F.col("part").alias("q"), "before", "seq", "topic", "reset", "ema")
+    return rows.groupBy("q").cogroup(starts.groupBy("p")).applyInPandas(run, "iteration long, seq long, topic string")
 
 
 def boosted_weights(replayed: DataFrame, boosts: DataFrame, topics: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:

@@ -88,8 +88,9 @@ def test_replay_golden_and_empty(spark):
     assert curriculum.replay(df.limit(0), "seq", "topic", "reward").count() == 0
 
 
-def test_focus_boosts_and_weights(spark):
-    rng = random.Random(8)
+@pytest.mark.parametrize("rows_per_part,seed", [(10_000, 8), (13, 8), (29, 2)])
+def test_focus_boosts_and_weights(spark, rows_per_part, seed):
+    rng = random.Random(seed)
     c, names = curriculum.Curriculum(), ["a", "b", "c", "d"]
     log = [(i, rng.choice(names[:3] * 3 + ["d"]), rng.random()) for i in range(1, 121)]
     ema, w, last, run, boosts = {n: 0.5 for n in names}, {n: 1.0 for n in names}, None, 0, []
@@ -106,7 +107,7 @@ def test_focus_boosts_and_weights(spark):
             boosts.append((n // 8, weak))
     df = spark.createDataFrame(log, "seq long, topic string, reward double")
     topics = spark.createDataFrame([(n,) for n in names], "topic string")
-    r = curriculum.replay(df, "seq", "topic", "reward").cache()
+    r = curriculum.replay(df, "seq", "topic", "reward", rows_per_part=rows_per_part).cache()
     got = curriculum.focus_boosts(r, names)
     assert [(x.iteration, x.topic) for x in got.orderBy("iteration").collect()] == boosts
     weights = {x.topic: x.weight for x in curriculum.boosted_weights(r, got, topics).collect()}
