@@ -20,6 +20,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Parts into which the texts of one length are split for ranking, so that a length that a third of all texts share is no single task.
 SALTS = 64
+#: Tokens that room must have at least to take a part of a text that is longer than the capacity.
+LEAST_PIECE = 16
 #: Length buckets, of which bucket_batches makes its batches.
 BUCKETS = 24
 #: Characters after which a long text is handed to the tokenizer in parts.
@@ -68,8 +70,16 @@ class Slots(NamedTuple):
     each: int
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[Slots], int]:
-    """Best fit, longest first, over a histogram of lengths up to the capacity; and how many containers that takes.
+class Rooms(NamedTuple):
+    """Containers first to last - 1 with room for so many tokens each."""
+
+    room: int
+    first: int
+    last: int
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[Slots], int, list[Rooms]]:
+    """Best fit, longest first, over a histogram of lengths up to the capacity; how many containers that takes, and the room left in them.
 
     All items of one length are placed at once, into the containers with the least
     room that still holds one, so the work and the result depend on the number of
@@ -109,7 +119,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[Slots], int
                 leave(room - take % each * length, whole, whole + 1)
                 whole += 1
             leave(room, whole, last)
-    return slots, containers
+    return slots, containers, [Rooms(room, a, b) for room in sorted(rooms, reverse=True) for a, b in rooms[room]]
 
 
 def optimal_buckets(histogram: dict[int, int], buckets: int) -> list[tuple[int, int]]:
@@ -148,8 +158,8 @@ def optimal_buckets(histogram: dict[int, int], buckets: int) -> list[tuple[int,
     return out[::-1]
 
 
-def in_buckets(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS) -> tuple[list[Slots], int]:
-    """Token-budget batches inside each optimal bucket: as many items a container as its greatest length allows."""
+def in_buckets(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS) -> tuple[list[Slots], int, list[Rooms]]:
+    """Token-budget batches inside each optimal bucket: as many items a container as its greatest length allows. Room in them is not offered."""
     slots, containers = [], 0
     for low, high in optimal_buckets(histogram, buckets):
         each, rank = capacity // high, 0
@@ -157,56 +167,100 @@ def in_buckets(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS)
             slots.append(Slots(length, 0, histogram[length], containers + rank // each, rank % each, each))
             rank += histogram[length]
         containers += -(-rank // each)
-    return slots, containers
+    return slots, containers, []
+
+
+class Pour:
+    """Where the tokens of long texts go when they are poured, one text behind the other, into rooms and then into whole containers."""
+
+    def __init__(self, rooms: list[Rooms], containers: int, capacity: int, least: int):
+        used = [r for r in rooms if r.room >= least]
+        self.room = np.array([*(r.room for r in used), capacity], dtype=np.int64)
+        self.first = np.array([*(r.first for r in used), containers], dtype=np.int64)
+        self.begin = np.concatenate([[0], np.cumsum([r.room * (r.last - r.first) for r in used], dtype=np.int64)]).astype(np.int64)
+
+    def pieces(self, start: int, n: int) -> list[tuple[int, int, int]]:
+        """(first token, tokens, container) of the pieces of a text of n tokens that is poured from position start on."""
+        out, at, end = [], start, start + n
+        i = int(np.searchsorted(self.begin, at, "right")) - 1
+        while at < end:
+            room, begin = int(self.room[i]), int(self.begin[i])
+            stop = int(self.begin[i + 1]) if i + 1 < len(self.begin) else end
+            k = (at - begin) // room
+            upto = min(end, stop, begin + (k + 1) * room)
+            out.append((at - start, upto - at, int(self.first[i]) + k))
+            at = upto
+            if at == stop:
+                i += 1
+        return out
+
+
+def _salted(rows: DataFrame, keys: list[str], value: str, salts: int) -> DataFrame:
+    """rows with r, the sum of value over the rows of equal keys that come before, in the order of salt and id.
+
+    Sums run inside salted parts and are moved by the sums of the parts before, so
+    that no task orders all rows of a key.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    earlier = Window.partitionBy(*keys).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy(*keys, "salt").agg(F.sum(value).alias("n")).select(*keys, "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    before = Window.partitionBy(*keys, "salt").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return salted.withColumn("own", F.coalesce(F.sum(value).over(before), F.lit(0))).join(offsets, [*keys, "salt"]).withColumn("r", (F.col("own") + F.col("offset")).cast("long")).drop("own", "offset", "salt")
 
 
-def fill_containers(counts: DataFrame, capacities: dict[str, int], method: str = "best_fit", salts: int = SALTS) -> DataFrame:
+def fill_containers(counts: DataFrame, capacities: dict[str, int], method: str = "best_fit", salts: int = SALTS, least_piece: int = LEAST_PIECE) -> DataFrame:
     """container_kind, doc_id, piece_no, first_token, n_tokens, container_id for all texts and each kind of container.
 
-    counts: id, n_tokens, as of token_counts; read three times, so hand over a stored
-    one. A text longer than the capacity is cut into pieces of just the capacity, each
-    a container of its own, and a last piece, which is an item like a whole text; no
-    other text is split. A text without tokens is in no container. Rows are items,
-    repeated ones too.
+    counts: id, n_tokens, as of token_counts; read several times, so hand over a stored
+    one. A text is split only if it is longer than the capacity: such texts are poured,
+    one behind the other, into the room of at least least_piece tokens that the others
+    leave, and then into containers of their own, which they fill. A text without
+    tokens is in no container. Rows are items, repeated ones too.
 
-    method: best_fit packs the global histogram of item lengths, in_buckets forms
+    method: best_fit packs the global histogram of text lengths, in_buckets forms
     batches inside optimal length buckets. Only that histogram, at most one entry for
     each length up to the capacity, goes to the driver, and only the slots made from
-    it come back. Each item then takes the slot of its rank among the items of its
-    length; ranks are counted in salted parts.
+    it come back. Each text then takes the slot of its rank among the texts of its
+    length, or the place of its tokens among those poured; both are counted in salted
+    parts, more of them the more texts there are.
     """
     if method not in ("best_fit", "in_buckets") or any(c < 1 for c in capacities.values()):
         raise ValueError("unknown method, or a capacity below 1")
     spark = counts.sparkSession
-    empty = "container_kind string, doc_id long, piece_no long, first_token long, n_tokens long, container_id string"
+    schema = "container_kind string, doc_id long, piece_no long, first_token long, n_tokens long, container_id string"
     if not capacities:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], schema)
+    salts = max(salts, counts.count() // 1_000_000)
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in sorted(capacities.items()))))
-    pieces = counts.where("n_tokens > 0").select("id", "n_tokens", kinds.alias("k")).select("id", "n_tokens", "k.*")
-    pieces = pieces.withColumn("whole", F.floor((F.col("n_tokens") - 1) / F.col("capacity")).cast("long")).withColumn("rest", F.col("n_tokens") - F.col("whole") * F.col("capacity"))
-    # The last piece has between one and `capacity` tokens: a text of just the capacity is an item, not a piece.
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    parts = stored(salted.groupBy("container_kind", "rest", "salt").agg(F.count("*").alias("n")))
+    items = counts.where("n_tokens > 0").select(F.col("id").cast("long").alias("id"), F.col("n_tokens").cast("long").alias("n_tokens"), kinds.alias("k")).select("id", "n_tokens", "k.*")
+    whole, long = items.where("n_tokens <= capacity"), items.where("n_tokens > capacity")
     histogram: dict[str, dict[int, int]] = {k: {} for k in capacities}
-    for r in parts.groupBy("container_kind", "rest").agg(F.sum("n").alias("n")).collect():  # at most one row a token of capacity
-        histogram[r.container_kind][r.rest] = r.n
-    pack = {"best_fit": best_fit, "in_buckets": in_buckets}[method]
-    slots = [(kind, *s) for kind, c in capacities.items() for s in pack(histogram[kind], c)[0]]
-    table = spark.createDataFrame(slots, "container_kind string, rest long, begin long, end long, first long, shift long, each long")
-    earlier = Window.partitionBy("container_kind", "rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("container_kind", "rest", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    place = Window.partitionBy("container_kind", "rest", "salt").orderBy("id")
-    ranked = salted.withColumn("r", F.row_number().over(place) - 1).join(offsets, ["container_kind", "rest", "salt"]).withColumn("r", F.col("r") + F.col("offset"))
-    # Slots number a few for each length up to the capacity, whatever the number of items.
-    put = ranked.join(F.broadcast(table), ["container_kind", "rest"]).where("r >= begin and r < end")
+    for r in whole.groupBy("container_kind", "n_tokens").agg(F.count("*").alias("n")).collect():  # at most one row a token of capacity
+        histogram[r.container_kind][r.n_tokens] = r.n
+    slots, pours = [], {}
+    for kind, capacity in capacities.items():
+        own, containers, rooms = {"best_fit": best_fit, "in_buckets": in_buckets}[method](histogram[kind], capacity)
+        slots += [(kind, *s) for s in own]
+        pours[kind] = Pour(rooms, containers, capacity, least_piece)
+    table = spark.createDataFrame(slots, "container_kind string, n_tokens long, begin long, end long, first long, shift long, each long")
+    ranked = _salted(whole.withColumn("one", F.lit(1)), ["container_kind", "n_tokens"], "one", salts)
+    # Slots number a few for each length up to the capacity, whatever the number of texts.
+    put = ranked.join(F.broadcast(table), ["container_kind", "n_tokens"]).where("r >= begin and r < end")
     number = F.col("first") + F.floor((F.col("r") - F.col("begin") + F.col("shift")) / F.col("each")).cast("long")
-    last = put.select(
-        "container_kind", F.col("id").alias("doc_id"), F.col("whole").alias("piece_no"), (F.col("whole") * F.col("capacity")).alias("first_token"), F.col("rest").alias("n_tokens"), F.format_string("%s-%d", "container_kind", number).alias("container_id")
-    )
-    full = pieces.where("whole > 0").select("container_kind", F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("piece_no"), "capacity").select(
-        "container_kind", "doc_id", "piece_no", (F.col("piece_no") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("n_tokens"), F.format_string("%s-%s-%d", "container_kind", F.col("doc_id").cast("string"), "piece_no").alias("container_id")
-    )
-    return last.unionByName(full)
+    zero = F.lit(0).cast("long")
+    placed = put.select("container_kind", F.col("id").alias("doc_id"), zero.alias("piece_no"), zero.alias("first_token"), "n_tokens", F.format_string("%s-%d", "container_kind", number).alias("container_id"))
+
+    def pour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for kind, doc, n, at in zip(*(batch.column(c).to_pylist() for c in ("container_kind", "id", "n_tokens", "r"))):
+                out += [(kind, doc, i, first, size, f"{kind}-{c}") for i, (first, size, c) in enumerate(pours[kind].pieces(at, n))]
+            columns = list(zip(*out)) if out else [()] * 6
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["container_kind", "doc_id", "piece_no", "first_token", "n_tokens", "container_id"])
+
+    poured = _salted(long, ["container_kind"], "n_tokens", salts).select("container_kind", "id", "n_tokens", "r").mapInArrow(pour, schema)
+    return placed.unionByName(poured)
 
 
 def capacities_of(container_sizes: DataFrame) -> dict[str, int]:

@@ -27,7 +27,7 @@ def test_slots_hold_all_items(seed):
     capacity = rng.choice([10, 64, 256])
     histogram = Counter(rng.randrange(1, capacity + 1) for _ in range(rng.choice([1, 50, 3000])))
     for pack in (best_fit, in_buckets):
-        slots, n = pack(dict(histogram), capacity)
+        slots, n, rooms = pack(dict(histogram), capacity)
         got = Counter()
         for s in slots:
             got[s.length] += s.end - s.begin
@@ -35,15 +35,18 @@ def test_slots_hold_all_items(seed):
         room = loads(slots, n)
         assert max(room.values()) <= capacity and len(room) == n
         assert sum(room.values()) == sum(k * v for k, v in histogram.items())
+        if pack is best_fit:
+            left = {c: r.room for r in rooms for c in range(r.first, r.last)}
+            assert left == {c: capacity - x for c, x in room.items() if x < capacity}
 
 
 def test_best_fit_is_near_the_bound():
     rng = random.Random(3)
     histogram = Counter(min(1000, int(rng.gauss(300, 90)) if rng.random() < 0.9 else rng.randrange(1, 60)) for _ in range(20_000))
     histogram = Counter({max(1, k): v for k, v in histogram.items()})
-    _, n = best_fit(dict(histogram), 1024)
+    _, n, _ = best_fit(dict(histogram), 1024)
     assert n <= 1.02 * sum(k * v for k, v in histogram.items()) / 1024
-    assert best_fit({}, 10) == ([], 0)
+    assert best_fit({}, 10) == ([], 0, [])
 
 
 def test_buckets_are_optimal():
@@ -82,7 +85,15 @@ def test_containers(spark, rng, method):
             mine = sorted(pieces.get(i, []), key=lambda r: r.piece_no)
             assert sum(r.n_tokens for r in mine) == n
             assert [r.first_token for r in mine] == [sum(x.n_tokens for x in mine[:k]) for k in range(len(mine))]
-            assert len(mine) == -(-n // capacity)
+            assert len(mine) == (1 if 0 < n <= capacity else len(mine))
+        if method == "best_fit":
+            assert len(load) <= sum(n for _, n in counts) / capacity * 1.1 + 1
+
+
+def test_pour():
+    p = packing.Pour([packing.Rooms(30, 4, 6), packing.Rooms(20, 1, 2), packing.Rooms(3, 0, 1)], 6, 100, 16)
+    assert p.pieces(0, 250) == [(0, 30, 4), (30, 30, 5), (60, 20, 1), (80, 100, 6), (180, 70, 7)]
+    assert p.pieces(250, 40) == [(0, 30, 7), (30, 10, 8)] and p.pieces(59, 2) == [(0, 1, 5), (1, 1, 1)]
 
 
 def test_no_containers_and_no_texts(spark):
