@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from maieutic.session import broadcast_if_small, stored
 
 #: Coordinates of the short sketch that thins the candidates, one byte each, and how far below the threshold its estimate may lie.
 SHORT, SLACK = 128, 0.2
+#: Bands that are joined at once, so that a shuffle holds few rows a record.
+BAND_BLOCK = 48
 #: Most rows that are sent to every executor; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -115,8 +118,9 @@ class NearDuplicates:
         table = stored(sketches(records, key, text, words, bands, rows))
         self.members = table.select("id", "set_hash").distinct()
         banded = table.where("bands is not null")
-        of = lambda name: banded.select(F.col("set_hash").alias(name), F.explode("bands").alias("key"))
-        pairs = of("a").join(of("b"), "key").where("a < b").select("a", "b").distinct()
+        of = lambda name, i: banded.select(F.col("set_hash").alias(name), F.explode(F.slice("bands", i + 1, BAND_BLOCK)).alias("key"))
+        blocks = [of("a", i).join(of("b", i), "key").where("a < b").select("a", "b") for i in range(0, bands, BAND_BLOCK)]
+        pairs = functools.reduce(DataFrame.unionByName, blocks).distinct()
         short = banded.groupBy("set_hash").agg(F.first("short").alias("short"))
         left, right = (short.select(F.col("set_hash").alias(x), F.col("short").alias(f"s{x}")) for x in "ab")
         likely = stored(_agreement(pairs.join(left, "a").join(right, "b")).where(F.col("share") >= threshold - SLACK).select("a", "b"))
