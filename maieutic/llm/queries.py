@@ -105,8 +105,29 @@ ranked AS (
 """
 
 
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+_P1 = rf"""
+WITH t AS (SELECT task.task_id AS id, any_value(coalesce(task.statement, '') || chr(10) || coalesce(task.buggy_solution, '')) AS x FROM episodes WHERE task.task_id IS NOT NULL GROUP BY 1),
+w AS (SELECT id, {_WORDS.format("x")} AS ws FROM t),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT a AS task_id_a, b AS task_id_b FROM p JOIN n AS x ON x.id = a JOIN n AS y ON y.id = b WHERE 2 * c >= x.n + y.n - c
+"""
+_P7 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT item_id, {_WORDS.format("t")} AS ws FROM (SELECT item_id, unnest([statement, reference_hint]) AS t FROM heldout_items) WHERE t IS NOT NULL AND item_id IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM d),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM i),
+h AS (SELECT doc_id, item_id, count(*) AS n FROM dg JOIN ig USING (g) GROUP BY 1, 2)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1,
+        "p7_found": _P7 + "SELECT doc_id, item_id FROM h",
+        "p7_report": _P7 + "SELECT x.item_id, x.topic, count(h.doc_id) AS n_documents, coalesce(max(h.n), 0) AS most_passages FROM (SELECT item_id, min(topic) AS topic FROM heldout_items GROUP BY 1) AS x LEFT JOIN h USING (item_id) GROUP BY 1, 2",
         "p3_found": _P3 + "SELECT topic_key, example_id FROM ranked WHERE rank <= 3",
         "p3_ranked": _P3 + "SELECT topic_key, example_id, CAST(rank AS INTEGER) AS rank, score FROM ranked WHERE rank <= 3",
     }
