@@ -80,13 +80,26 @@ def joined(*pairs: tuple[str, str]) -> str:
 
 _CONTEXT3 = f"array_to_string(list_filter(list_transform(coalesce(task.failing_asserts, []::VARCHAR[]), lambda x: {strip('x')}), lambda x: x <> '')[:3], chr(10))"
 _ERRNAME = r"regexp_extract({x}, '\b([A-Za-z_][A-Za-z0-9_]*(?:Error|Exception))\b', 1)"
-_QUALITY = f"""
-c AS (SELECT episode_id, coalesce(hint.raw_text, '') AS t, lower(coalesce(hint.raw_text, '')) AS low, {own(f"({PROGRAM}) || chr(10) || {FAILURE} || chr(10) || {_CONTEXT3}")} AS allowed, {_CONTEXT3} AS checks, {_ERRNAME.format(x=FAILURE)} AS name, {FAILURE} AS failure FROM ep),
+def quality_of(hint: str) -> str:
+    return f"""
+c AS (SELECT episode_id, {hint} AS t, lower({hint}) AS low, {own(f"({PROGRAM}) || chr(10) || {FAILURE} || chr(10) || {_CONTEXT3}")} AS allowed, {_CONTEXT3} AS checks, {_ERRNAME.format(x=FAILURE)} AS name, {FAILURE} AS failure FROM ep),
 d AS (SELECT *, {own('t')} AS names, list_distinct(list_concat(flatten(list_transform(regexp_extract_all(t, '`([^`]+)`', 1), lambda m: {own('m')})), regexp_extract_all(t, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1))) AS candidates FROM c),
 g AS (SELECT *, len(list_filter(names, lambda i: list_contains(allowed, i))) AS m, list_sort(list_filter(candidates, lambda i: len(i) > 1 AND NOT list_contains(allowed, i) AND NOT list_contains({texts(quality.IGNORED)}, i))) AS alien,
   (len(t) - len(replace(t, '`', ''))) % 2 = 1 AS odd, len(list_filter({own('checks')}, lambda i: list_contains({ids('t')}, i))) AS hits, {number_of('low', quality.GENERIC)} AS generic,
   (name IN ({', '.join(map(q, quality.COMPILE_NAMES))}) OR {any_of('lower(failure)', quality.COMPILE_FAILURES)}) AS nocompile, {any_of('low', quality.COMPILE_HINTS)} AS saw FROM d)
 """
+
+
+_CORRUPT = (
+    ("contains(low, 'unicodeencodeerror') OR contains(low, 'traceback') AND contains(low, 'encode')", "encoding_traceback"),
+    (r"regexp_matches(t, '[\x{1F300}-\x{1FAFF}]')", "emoji"),
+    (r"regexp_matches(t, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]')", "cjk_script"),
+    (r"regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[\x{0400}-\x{04FF}]')", "latin_cyrillic_mix"),
+    (r"regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[\x{0600}-\x{06FF}]')", "latin_arabic_mix"),
+    *((f"contains(t, {q(x)})", f"mojibake:{x}") for x in quality.MOJIBAKE),
+)
+_RAW = "coalesce(hint.raw_text, '')"
+_SAID = "coalesce(nullif(hint.raw_text, ''), hint.text, '')"
 _DELTA = """CAST((CASE WHEN odd THEN -1.1 ELSE 0 END) + (CASE WHEN name <> '' AND contains(t, name) THEN 0.35 ELSE 0 END) + least(0.55, 0.14 * hits) + least(0.55, 0.12 * m)
  - (CASE WHEN generic > 0 AND m < 2 THEN least(0.8, 0.25 * generic) ELSE 0 END) - (CASE WHEN len(alien) > 0 THEN least(2.6, 1.0 * len(alien)) ELSE 0 END)
  + (CASE WHEN nocompile AND name <> '' AND contains(low, lower(name)) THEN 0.25 ELSE 0 END) + (CASE WHEN nocompile AND saw THEN 0.45 ELSE 0 END) - (CASE WHEN nocompile AND NOT saw THEN 2.4 ELSE 0 END) AS DOUBLE)"""
@@ -169,27 +182,27 @@ md5(training) AS training_md5, md5(training || ' Reproduced failure: ' || left(f
     "q_grading_prompts": f"WITH {LOG} SELECT batch_id, CAST(count(*) AS INTEGER) AS n_items, CAST(count(*) AS INTEGER) AS n_said, CAST(count(*) AS INTEGER) AS n_json FROM s GROUP BY batch_id",
     "q_salvaged": f"WITH {HX}, {_SALVAGE_O} SELECT example_id, json_extract_string(o, '$.target_function') AS target_function, {_OBJ} AS is_object, coalesce(json_type(a) = 'ARRAY', false) AS is_array FROM y",
     "q_parsed_specs": f"WITH {HX}, {_SALVAGE_O}, r AS (SELECT *, {_SPEC_REASONS} AS reasons FROM y) SELECT example_id, CASE WHEN reasons = '' THEN {at('target_function')} END AS target_function, CASE WHEN reasons = '' THEN {at('intended_bug')} END AS intended_bug, reasons FROM r",
+    "q_parsed_tasks": f"""WITH {HX}, {_SALVAGE_O}, l AS (SELECT example_id, o, {_OBJ} AS ok, {lines(at('buggy_solution'))} AS ls FROM y),
+body_ AS (SELECT *, list_filter(ls, lambda x: starts_with({strip('x')}, 'assert ')) AS checks, {rstrip(f"array_to_string(list_transform(list_filter(ls, lambda x: NOT starts_with({strip('x')}, 'assert ')), lambda x: {rstrip('x')}), chr(10))")} AS body FROM l),
+r AS (SELECT *, CASE WHEN NOT ok THEN 'non-json response' WHEN body = '' THEN 'missing buggy_solution' ELSE '' END AS reasons FROM body_)
+SELECT example_id, CASE WHEN reasons = '' THEN len(checks) END AS n_asserts, CASE WHEN reasons = '' THEN len(body) END AS n_chars, CASE WHEN reasons = '' THEN coalesce(nullif({at('metadata.observed_failure')}, ''), 'AssertionError') END AS observed_failure, reasons FROM r""",
+    "q_evaluated": f"""WITH {EP}, {_JUDGED}, {quality_of(_SAID)},
+v AS (SELECT g.episode_id, CAST(floor((g.episode_id - 1) / 4.0) AS BIGINT) AS batch_id, greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), coalesce(CAST(json_extract_string(item, '$.score') AS DOUBLE), CAST(0 AS DOUBLE)))) AS model_score,
+  greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), coalesce(CAST(json_extract_string(item, '$.task_quality') AS DOUBLE), CAST(5 AS DOUBLE)))) > 3 AS task_valid, {' OR '.join(f'({c})' for c, _ in _CORRUPT)} AS corrupt, len(alien) > 0 AND odd AS severe, {_DELTA} AS delta FROM g JOIN j5 USING (episode_id)),
+s AS (SELECT *, CASE WHEN corrupt OR severe OR NOT task_valid THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), model_score + delta)) END AS score FROM v)
+SELECT episode_id, round(model_score, 6) AS model_score, round(score, 6) AS score, round(CASE WHEN corrupt OR severe OR NOT task_valid THEN CAST(0 AS DOUBLE) ELSE {_SPREAD} END, 6) AS adjusted_score, task_valid, NOT corrupt AND NOT severe AS hint_valid FROM s WINDOW b AS (PARTITION BY batch_id)""",
     "q_judge_items": f"WITH {EP}, {_JUDGED} SELECT episode_id, CAST(json_extract_string(item, '$.task_quality') AS DOUBLE) AS task_quality, CAST(json_extract_string(item, '$.score') AS DOUBLE) AS score FROM j5",
     "q_metadata_specs": f"""WITH {RX}, x AS (SELECT example_id, topic, {strip("coalesce(spec.target_function, '')")} AS f, {strip("coalesce(spec.intended_bug, '')")} AS b, {strip("coalesce(spec.expected_first_failure, '')")} AS e, {strip("coalesce(spec.topic, '')")} AS t FROM rx)
 SELECT example_id, CASE WHEN f || b || e <> '' THEN coalesce(nullif(t, ''), topic) END AS topic, CASE WHEN f || b || e <> '' THEN f END AS target_function, CASE WHEN f || b || e <> '' THEN b END AS intended_bug, CASE WHEN f || b || e <> '' THEN e END AS expected_first_failure FROM x""",
     "q_rejection_reasons": f"WITH {EP}, x AS (SELECT episode_id, {key("coalesce(task.topic, '')")} AS a, {key("coalesce(topic, '')")} AS b, {N_LINES} AS n, {js('task.metadata', 'observed_failure')} AS f FROM ep) SELECT episode_id, {joined(('a <> b', 'wrong topic'), ('n < 15', 'too short'), ("f = ''", validation.ALREADY_RIGHT))} AS reasons FROM x",
     "q_rejections_with_text": f"WITH {RX} SELECT example_id, len({strip('rejected_completion')}) AS n_chars FROM rx WHERE {strip('coalesce(rejected_completion, chr(32))')} <> ''",
     "q_judge_gate": f"WITH {EP} SELECT episode_id, CASE WHEN coalesce(CAST({js('judge.metadata', 'valid')} AS BOOLEAN), true) THEN 'episode' ELSE 'rejected' END AS goes_to FROM ep",
-    "q_corruption": "WITH m AS (SELECT doc_id, coalesce(text || [' \U0001f600', ' 汉字', ' Привет', ' سلام', ' â€™', ' �', ' Traceback encode'][doc_id % 7 + 1], '') AS t FROM documents), l AS (SELECT *, lower(t) AS low FROM m) SELECT doc_id, "
-    + joined(
-        ("contains(low, 'unicodeencodeerror') OR contains(low, 'traceback') AND contains(low, 'encode')", "encoding_traceback"),
-        (r"regexp_matches(t, '[\x{1F300}-\x{1FAFF}]')", "emoji"),
-        (r"regexp_matches(t, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]')", "cjk_script"),
-        (r"regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[\x{0400}-\x{04FF}]')", "latin_cyrillic_mix"),
-        (r"regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[\x{0600}-\x{06FF}]')", "latin_arabic_mix"),
-        *((f"contains(t, {q(x)})", f"mojibake:{x}") for x in quality.MOJIBAKE),
-    )
-    + " AS reasons FROM l",
+    "q_corruption": f"WITH m AS (SELECT doc_id, coalesce(text || [' \U0001f600', ' 汉字', ' Привет', ' سلام', ' â€™', ' �', ' Traceback encode'][doc_id % 7 + 1], '') AS t FROM documents), l AS (SELECT *, lower(t) AS low FROM m) SELECT doc_id, {joined(*_CORRUPT)} AS reasons FROM l",
     "q_compile_failures": f"WITH {EP}, x AS (SELECT episode_id, {FAILURE} AS f, {_ERRNAME.format(x=FAILURE)} AS error_name FROM ep) SELECT episode_id, error_name, error_name IN ({', '.join(map(q, quality.COMPILE_NAMES))}) OR {any_of('lower(f)', quality.COMPILE_FAILURES)} AS fails_to_compile FROM x",
     "q_update_gate": f"WITH {HX}, a AS (SELECT 'all' AS gate, count(*) AS n, 8 AS least FROM hx UNION ALL SELECT 'few', count(*) FILTER (WHERE reward < 0.05), 1000000 FROM hx) SELECT gate, n, n < least AS skipped, CASE WHEN n < least THEN 'need_' || least || '_chosen_examples_have_' || n END AS reason FROM a",
     "q_identifiers": f"WITH {EP} SELECT episode_id, len({ids('hint.text')}) AS n_all, array_to_string(list_sort({own('hint.text')}), ' ') AS own, md5({_CONTEXT3}) AS checks_md5 FROM ep",
-    "q_foreign_identifiers": f"WITH {EP}, {_QUALITY} SELECT episode_id, array_to_string(alien, ' ') AS \"foreign\" FROM g",
-    "q_hint_quality": f"WITH {EP}, {_QUALITY} SELECT episode_id, round({_DELTA}, 6) AS delta, len(alien) > 0 AND odd AS severe, " + joined(("odd", "unbalanced_backticks"), ("generic > 0 AND m < 2", "generic_hint"), ("len(alien) > 0", "hallucinated_identifiers"), ("nocompile AND NOT saw", "missed_compile_failure")) + " AS reasons FROM g",
+    "q_foreign_identifiers": f"WITH {EP}, {quality_of(_RAW)} SELECT episode_id, array_to_string(alien, ' ') AS \"foreign\" FROM g",
+    "q_hint_quality": f"WITH {EP}, {quality_of(_RAW)} SELECT episode_id, round({_DELTA}, 6) AS delta, len(alien) > 0 AND odd AS severe, " + joined(("odd", "unbalanced_backticks"), ("generic > 0 AND m < 2", "generic_hint"), ("len(alien) > 0", "hallucinated_identifiers"), ("nocompile AND NOT saw", "missed_compile_failure")) + " AS reasons FROM g",
     "q_weighted_scores": f"WITH {EP} SELECT episode_id, round(greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), " + " + ".join(f"coalesce(judge.criteria_scores['{k}'], 0) * CAST({w} AS DOUBLE)" for k, w in {"bug_localization": 0.25, "usefulness": 0.25, "socratic_style": 0.2, "correctness": 0.2, "clarity": 0.1}.items()) + ")), 6) AS weighted FROM ep",
     "q_assessments": f"WITH {EP}, {_JUDGED}, x AS (SELECT episode_id, greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), coalesce(CAST(json_extract_string(item, '$.task_quality') AS DOUBLE), CAST(5 AS DOUBLE)))) AS task_quality FROM j5) SELECT episode_id, task_quality, task_quality > 6 AS task_valid, true AS hint_valid FROM x",
     "q_batch_spread": f"WITH {LOG} SELECT episode_id, batch_id, round({_SPREAD}, 6) AS spread_score FROM s WHERE score IS NOT NULL WINDOW b AS (PARTITION BY batch_id)",
