@@ -103,14 +103,18 @@ def replay(episodes: DataFrame, seq: str, topic: str, reward: str, c: Curriculum
     return out.withColumn("weight", F.when(F.col("reset"), F.lit(1.0)).otherwise(topic_weight(F.col("ema"), 1.0, c)))
 
 
+def _resets(replayed: DataFrame) -> int:
+    return replayed.agg(F.count_if("reset")).first()[0] or 0
+
+
 def latest_state(replayed: DataFrame, topics: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
     """topic, ema, weight, resets of each topic of `topics` and each one seen since the last reset."""
-    total = replayed.agg(F.coalesce(F.count_if("reset"), F.lit(0)).alias("resets"))
-    now = replayed.join(F.broadcast(total), F.col("epoch") == F.col("resets")).groupBy("topic").agg(F.max_by("ema", "seq").alias("ema"))
+    total = _resets(replayed)
+    now = replayed.where(F.col("epoch") == total).groupBy("topic").agg(F.max_by("ema", "seq").alias("ema"))
     names = topics.select("topic").where("topic is not null").distinct()
-    state = names.join(now, "topic", "full").join(F.broadcast(total))
+    state = names.join(now, "topic", "full")
     known = F.coalesce("ema", F.lit(c.first))
-    return state.select("topic", known.alias("ema"), F.when(F.col("ema").isNull(), F.lit(1.0)).otherwise(topic_weight(known, 1.0, c)).alias("weight"), "resets")
+    return state.select("topic", known.alias("ema"), F.when(F.col("ema").isNull(), F.lit(1.0)).otherwise(topic_weight(known, 1.0, c)).alias("weight"), F.lit(total).cast("long").alias("resets"))
 
 
 def weakest(state: DataFrame) -> DataFrame:
@@ -166,17 +170,17 @@ def focus_boosts(replayed: DataFrame, topics: list[str], c: Curriculum = Curricu
 def boosted_weights(replayed: DataFrame, boosts: DataFrame, topics: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
     """topic, weight: the last weights, each raised by focus_boost for every iteration since the topic was last seen, or since the last reset, in which it was weakest."""
     state = latest_state(replayed, topics, c)
-    since = replayed.where("reset").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("since"))
+    since = replayed.where("reset").agg(F.max("seq")).first()[0]
     seen = replayed.groupBy("topic").agg(F.max("seq").alias("seen"))
-    n = boosts.join(seen, "topic", "left").join(F.broadcast(since)).where(F.col("seq") >= F.greatest(F.coalesce("seen", F.lit(-1)), "since")).groupBy("topic").agg(F.count("*").alias("n"))
+    after = F.greatest(F.col("seen"), F.lit(since).cast("long"))  # the greater of those that are not null
+    n = boosts.join(seen, "topic", "left").where(after.isNull() | (F.col("seq") >= after)).groupBy("topic").agg(F.count("*").alias("n"))
     raised = F.col("weight") * F.pow(F.lit(1 + c.focus_boost), F.coalesce("n", F.lit(0)))
     return state.join(n, "topic", "left").select("topic", F.greatest(F.lit(c.least_weight), raised).alias("weight"))
 
 
 def recent_topics(replayed: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
     """seq, topic: the last topics since the last reset, at most c.recent of them."""
-    total = replayed.agg(F.coalesce(F.count_if("reset"), F.lit(0)).alias("resets"))
-    return replayed.join(F.broadcast(total), F.col("epoch") == F.col("resets")).select("seq", "topic").orderBy(F.col("seq").desc()).limit(c.recent)
+    return replayed.where(F.col("epoch") == _resets(replayed)).select("seq", "topic").orderBy(F.col("seq").desc()).limit(c.recent)
 
 
 def sampled_topics(requests: DataFrame, request: str, state: DataFrame, seed: int = 0) -> DataFrame:
