@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -426,5 +426,6 @@ def corpus_mixture(assigned: DataFrame) -> DataFrame:
     """subject, n_documents, and the share of all documents with a subject, each document spread evenly over its subjects."""
     each = assigned.groupBy("doc_id").agg(F.collect_set("subject").alias("s"))
     weights = each.select(F.explode("s").alias("subject"), (1 / F.size("s")).alias("w"))
-    n = each.agg(F.count("*").alias("n"))
-    return weights.groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("w").alias("w")).join(F.broadcast(n)).select("subject", "n_documents", F.round(F.col("w") / F.col("n"), 6).alias("share"))
+    # A document's weights add up to one, so all weights add up to the number of documents. One row a subject reaches the window.
+    of = weights.groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("w").alias("w"))
+    return of.select("subject", "n_documents", F.round(F.col("w") / F.sum("w").over(Window.partitionBy()), 6).alias("share"))
