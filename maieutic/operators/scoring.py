@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maieutic.functions import quality
 from maieutic.functions.text import strip
 
-# The criteria with their weights, the least quality of a task, the strength of the spread, and the cap of a useless hint.
+# The criteria with their weights, the least quality of a task, the strength of the spread, the cap of a useless hint, and a reason's wording.
 WEIGHTS = {"no_solution_reveal": 0.2, "bug_localization": 0.2, "usefulness": 0.25, "socratic_style": 0.15, "technical_accuracy": 0.2}
 BAD_TASK, SPREAD, HINT_CAP = 3.0, 0.15, 2.5
 CORRUPTED = "assistant output is corrupted and contains gibberish"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maieutic.functions.quality import kept
 from maieutic.functions.text import filled_line_count, strip, topic_key
 
-#: Non-empty lines that a program should have, and the share of short or passing ones that are sent back.
+# Non-empty lines that a program should have, the share of short or passing ones that are sent back, and a reason's wording.
 LEAST_LINES, REPAIR_SHARE = 15, 0.5
 ALREADY_RIGHT = "already correct code, there are no errors in asserts"
 
