@@ -20,8 +20,8 @@ from maieutic.session import stored
 TERM_SHARE, LEAST_DOCUMENTS = 0.0004, 4
 #: Components beside the subjects, which take up what no subject explains; rounds of updates of the terms, and of the documents' mixtures in each.
 BACKGROUND, ROUNDS, INNER = 3, 4, 3
-#: Words of more than the first share of the documents tell no subjects apart and stay out of the matrix; pairs are made of words of at most the second share.
-COMMON, PAIRED = 0.35, 0.15
+#: Terms of more than this share of the documents tell no subjects apart and stay out of the matrix.
+COMMON = 0.35
 #: Labelled documents that give the components their first values; a documented bound.
 LABELS = 100_000
 #: A sentence is set in a subject from this sum of its terms' affinities, counting those from STRONG; a sentence about code needs more.
@@ -120,11 +120,11 @@ class Terms:
 
 
 def known_terms(coded: DataFrame, share: float = TERM_SHARE, least: int = LEAST_DOCUMENTS) -> Terms:
-    """The terms of enough documents, and not of too many: words first, then pairs of the rarer of such words."""
+    """The terms of enough documents, and not of too many: words first, then pairs of such words, but of no two function words."""
     n = coded.count()
     need = max(least, int(share * n))
 
-    def frequent(words: Terms | None) -> pd.DataFrame:
+    def frequent(words: Terms | None) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = []
 
@@ -140,8 +140,10 @@ def known_terms(coded: DataFrame, share: float = TERM_SHARE, least: int = LEAST_
                     keys, owner = codes[at].astype(np.uint64), row[at]
                 else:
                     codes = np.where(words.numbers(codes.astype(np.uint64)) >= 0, codes, _BREAK).astype(np.uint32)
-                    keys, owner, _, is_pair = _pairs(codes, row)
-                    keys, owner = keys[is_pair], owner[is_pair]
+                    keys, owner, at, is_pair = _pairs(codes, row)
+                    first = at[is_pair]
+                    telling = ~(spoken(codes[first]) & spoken(codes[first + 1])).any(axis=1)
+                    keys, owner = keys[is_pair][telling], owner[is_pair][telling]
                 order = np.lexsort((owner, keys))
                 keys, owner = keys[order], owner[order]
                 new = np.ones(len(keys), bool)
@@ -154,14 +156,10 @@ def known_terms(coded: DataFrame, share: float = TERM_SHARE, least: int = LEAST_
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(count)], names=["term", "n"])
 
         counts = coded.select("code").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where((F.col("n") >= need) & (F.col("n") <= max(need, COMMON * n)))
-        return counts.toPandas()  # at most mean terms a document / share rows
-
-    def hashes(found: pd.DataFrame) -> np.ndarray:
-        return found["term"].to_numpy(dtype=np.int64).view(np.uint64)
+        return counts.toPandas()["term"].to_numpy(dtype=np.int64).view(np.uint64)  # at most mean terms a document / share rows
 
     words = frequent(None)
-    rarer = words[words["n"] <= max(need, PAIRED * n)]
-    return Terms(np.concatenate([hashes(words), hashes(frequent(Terms(hashes(rarer))))]))
+    return Terms(np.concatenate([words, frequent(Terms(words))]))
 
 
 @F.pandas_udf(BinaryType())
@@ -188,6 +186,12 @@ _FUNCTION = np.unique(np.concatenate(_TONGUES))
 _SPEAKS = np.array([np.isin(_FUNCTION, t) for t in _TONGUES]).T
 
 
+def spoken(codes: np.ndarray) -> np.ndarray:
+    """In which languages each word is a function word: words x languages."""
+    at = np.minimum(np.searchsorted(_FUNCTION, codes), len(_FUNCTION) - 1)
+    return _SPEAKS[at] & (_FUNCTION[at] == codes)[:, None]
+
+
 def languages(codes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     """The number of each row's language, that with most function words in it; of equal ones the first."""
     at = np.minimum(np.searchsorted(_FUNCTION, codes), len(_FUNCTION) - 1)

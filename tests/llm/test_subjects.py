@@ -64,3 +64,17 @@ def test_updates_do_not_lose_mass(spark, rng):
     one = S._gather(matrix, np.ones((4, v, 1)), 0)
     two = S._gather(matrix, np.random.default_rng(1).random((4, v, 3)), 3)
     assert two.sum(axis=1) == pytest.approx(one.sum(axis=1), rel=1e-4, abs=1e-4)
+
+
+def pair_key(first, second):
+    codes = S.np.frombuffer(S.encoded(f"{first} {second}"), dtype=S.np.uint32)
+    keys, _, _, is_pair = S._pairs(codes, S.np.zeros(len(codes), int))
+    return keys[is_pair]
+
+
+def test_pairs_of_words_of_many_documents(spark):
+    texts = ["Tennis court games of the day."] * 10 + ["Court filings of the day."] * 20 + [f"Nothing but item x{i}q of the day." for i in range(70)]
+    terms = S.known_terms(S.encode_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), F.col("id"), F.col("text")))
+    assert (terms.numbers(pair_key("tennis", "court")) >= 0).all()
+    assert (terms.numbers(pair_key("court", "filings")) >= 0).all()
+    assert (terms.numbers(pair_key("of", "the")) < 0).all()
