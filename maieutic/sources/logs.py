@@ -32,7 +32,15 @@ def event_counts(events: DataFrame) -> DataFrame:
 
 
 def gaps(events: DataFrame, bucket: str = "day") -> DataFrame:
-    """event, n, mean_gap_s, max_gap_s: seconds from one event to the next of its kind within a day, so that windows stay bounded."""
-    w = Window.partitionBy("event", F.date_trunc(bucket, "ts")).orderBy("ts", "line_no")
-    g = events.where("ts is not null").withColumn("gap", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1e6)
+    """event, n, mean_gap_s, max_gap_s: seconds from one event to the next of its kind.
+
+    Windows run over the events of one part of the time (bucket) and, from the last event of
+    a part to the first of the next part that has any, over one row an event and part.
+    """
+    rows = events.where("ts is not null").select("event", "line_no", F.date_trunc(bucket, "ts").alias("part"), F.unix_micros("ts").alias("at"))
+    inside = Window.partitionBy("event", "part").orderBy("at", "line_no")
+    between = Window.partitionBy("event").orderBy("part")
+    edges = rows.groupBy("event", "part").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    each = rows.select("event", (F.col("at") - F.lag("at").over(inside)).alias("gap")).unionByName(edges.select("event", (F.col("first") - F.lag("last").over(between)).alias("gap")))
+    g = each.withColumn("gap", F.col("gap") / 1e6)
     return g.groupBy("event").agg(F.count("gap").alias("n"), F.round(F.avg("gap"), 6).alias("mean_gap_s"), F.max("gap").alias("max_gap_s"))

@@ -211,6 +211,15 @@ def test_log_lines(spark, tmp_path):
     assert logs.gaps(logs.read_log(spark, str(tmp_path / "run.log"))).where("event = 'a_b'").first().max_gap_s == pytest.approx(0.993)
 
 
+def test_log_gaps_over_midnight(spark):
+    at = ["2025-03-03 23:59:50", "2025-03-03 23:59:58", "2025-03-04 00:00:08", "2025-03-07 00:00:08", "2025-03-07 00:00:08"]
+    rows = [(i, t, "a") for i, t in enumerate(at)] + [(9, "2025-03-03 12:00:00", "rare"), (8, "2025-03-05 12:00:00", "rare"), (7, "2025-03-05 12:00:00", "once"), (6, None, "rare")]
+    events = spark.createDataFrame(rows, "line_no long, ts string, event string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.event: (r.n, r.mean_gap_s, r.max_gap_s) for r in logs.gaps(events).collect()}
+    assert got == {"a": (4, (8 + 10 + 3 * 86400) / 4, 3 * 86400.0), "rare": (1, 2 * 86400.0, 2 * 86400.0), "once": (0, None, None)}
+    assert got == {r.event: (r.n, r.mean_gap_s, r.max_gap_s) for r in logs.gaps(events, "hour").collect()}
+
+
 def test_settings():
     s = settings({"curriculum": {"topics": [{"name": "a", "weight": 2}, "b"]}, "judge": {"reward_weights": {"usefulness": 1, "other": 3}, "episode_batch_size": "6"}, "unknown": 1})
     assert s.topics == {"a": 2.0, "b": 1.0} and s.reward_weights == {"usefulness": 1.0} and s.episode_batch_size == 6
