@@ -20,7 +20,7 @@ from maieutic.session import stored
 TERM_SHARE, LEAST_DOCUMENTS = 0.0004, 4
 #: Components beside the subjects, which take up what no subject explains; rounds of updates of the terms, and of the documents' mixtures in each.
 BACKGROUND, ROUNDS, INNER = 3, 4, 3
-#: Terms of more than this share of the documents tell no subjects apart and stay out of the matrix.
+#: Terms of more than this share of the documents, and of the different texts, tell no subjects apart and stay out of the matrix.
 COMMON = 0.35
 #: Labelled documents that give the components their first values; a documented bound.
 LABELS = 100_000
@@ -124,6 +124,43 @@ def known_terms(coded: DataFrame, share: float = TERM_SHARE, least: int = LEAST_
     n = coded.count()
     need = max(least, int(share * n))
 
+    def occurrences(words: Terms | None, codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if words is None:
+            at = np.flatnonzero(codes > 3)
+            return codes[at].astype(np.uint64), row[at]
+        codes = np.where(words.numbers(codes.astype(np.uint64)) >= 0, codes, _BREAK).astype(np.uint32)
+        keys, owner, at, is_pair = _pairs(codes, row)
+        first = at[is_pair]
+        telling = ~(spoken(codes[first]) & spoken(codes[first + 1])).any(axis=1)
+        return keys[is_pair][telling], owner[is_pair][telling]
+
+    def common(words: Terms | None, often: Terms) -> np.ndarray:
+        """Those of often that more than COMMON of the different texts have."""
+        m = len(often.hashes)
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, owner = occurrences(words, *_flat(batch.column(0)))
+                t = often.numbers(keys)
+                has = np.zeros((batch.num_rows, m + 1), bool)
+                has[owner[t >= 0], t[t >= 0]] = True
+                has[:, m] = True  # counts the texts
+                texts = [xxhash.xxh3_128_digest(c) for c in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([x.tobytes() for x in np.packbits(has, axis=1)], pa.binary())], names=["text", "has"])
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(m + 1, np.int64)
+            for batch in batches:
+                bits = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                n += np.unpackbits(bits, axis=1, count=m + 1).sum(axis=0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(range(m + 1), pa.int32()), pa.array(n)], names=["term", "n"])
+
+        texts = coded.select("code").mapInArrow(mark, "text binary, has binary").distinct()
+        sums = texts.select("has").mapInArrow(total, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+        n = np.zeros(m + 1, np.int64)
+        n[sums["term"]] = sums["n"]
+        return often.hashes[n[:m] > COMMON * n[m]]
+
     def frequent(words: Terms | None) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = []
@@ -134,16 +171,7 @@ def known_terms(coded: DataFrame, share: float = TERM_SHARE, least: int = LEAST_
                 return u, np.bincount(back, weights=n, minlength=len(u)).astype(np.int64)
 
             for batch in batches:
-                codes, row = _flat(batch.column(0))
-                if words is None:
-                    at = np.flatnonzero(codes > 3)
-                    keys, owner = codes[at].astype(np.uint64), row[at]
-                else:
-                    codes = np.where(words.numbers(codes.astype(np.uint64)) >= 0, codes, _BREAK).astype(np.uint32)
-                    keys, owner, at, is_pair = _pairs(codes, row)
-                    first = at[is_pair]
-                    telling = ~(spoken(codes[first]) & spoken(codes[first + 1])).any(axis=1)
-                    keys, owner = keys[is_pair][telling], owner[is_pair][telling]
+                keys, owner = occurrences(words, *_flat(batch.column(0)))
                 order = np.lexsort((owner, keys))
                 keys, owner = keys[order], owner[order]
                 new = np.ones(len(keys), bool)
@@ -155,8 +183,11 @@ def known_terms(coded: DataFrame, share: float = TERM_SHARE, least: int = LEAST_
                 u, count = merged()
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(count)], names=["term", "n"])
 
-        counts = coded.select("code").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where((F.col("n") >= need) & (F.col("n") <= max(need, COMMON * n)))
-        return counts.toPandas()["term"].to_numpy(dtype=np.int64).view(np.uint64)  # at most mean terms a document / share rows
+        counts = coded.select("code").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= need)
+        found = counts.toPandas()  # at most mean terms a document / share rows
+        hashes = found["term"].to_numpy(dtype=np.int64).view(np.uint64)
+        often = hashes[(found["n"] > max(need, COMMON * n)).to_numpy()]  # at most mean terms a document / COMMON
+        return np.setdiff1d(hashes, common(words, Terms(often))) if len(often) else hashes
 
     words = frequent(None)
     return Terms(np.concatenate([words, frequent(Terms(words))]))

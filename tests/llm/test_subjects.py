@@ -78,3 +78,17 @@ def test_pairs_of_words_of_many_documents(spark):
     assert (terms.numbers(pair_key("tennis", "court")) >= 0).all()
     assert (terms.numbers(pair_key("court", "filings")) >= 0).all()
     assert (terms.numbers(pair_key("of", "the")) < 0).all()
+
+
+def test_one_text_on_a_third_of_the_rows(spark, rng):
+    docs, truth = made(rng)
+    copied = "The jurors met at the hearings with new verdicts. The statutes bind the tribunal and the bail. The notaries read the appeals."
+    d = spark.createDataFrame(docs + [(10_000 + i, copied) for i in range(300)], "doc_id long, text string")
+    labels = [(i, rng.choice(sorted(truth[i]))) for i in range(0, 600, 8) if truth[i]]
+    listed = [(s, f"Texts set among {ws[0]} and their {ws[1]}.") for s, ws in LEXICON.items()]
+    got = S.document_subjects(d, spark.createDataFrame(listed, "subject string, description string"), spark.createDataFrame(labels, "doc_id long, subject string"))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.doc_id, set()).add(r.subject)
+    assert sum(found.get(i, set()) == truth[i] for i in truth) >= 0.97 * len(truth)
+    assert all(found.get(10_000 + i) == {"law"} for i in range(300))
