@@ -232,7 +232,7 @@ def defect(question: str | None, answer: str | None) -> str | None:
         spoken = natural_of_json(inside)
         if len(inside) <= 1 and not said:
             said = beside
-    cut = ending(answer)[0] == CUT if inside is None else False
+    cut = ending(answer)[0] == CUT
     if not programs:
         if not cut and refuses(said):
             return "refusal"

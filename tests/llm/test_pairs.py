@@ -79,3 +79,8 @@ def test_operator(spark):
     assert got.columns == ["s", "i", "defect"]
     assert sorted((r.s, r.i or 0, r.defect) for r in got.collect()) == [("e", 1, "empty"), ("e", 1, "empty"), ("h", 0, "truncated"), ("h", 3, "empty")]
     assert defective_pairs(df.limit(0), {"s": F.col("s")}, F.col("q"), F.col("a")).count() == 0
+
+
+@pytest.mark.parametrize("answer", ["```json\n" + TASK, TASK + "\nThe program fails for the second baker, because"[:-8] + ",", TASK + "\n```python\nx = 1"])
+def test_cut_behind_a_complete_json_value(answer):
+    assert defect(Q, answer) == "truncated"
