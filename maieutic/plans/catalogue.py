@@ -192,9 +192,24 @@ def q_generator_prompts(e):
     return e.select("episode_id", *(md5(p).alias(n) for p, n in zip(parts, ("spec_md5", "task_md5", "spec_repair_md5", "task_repair_md5", "training_md5", "hard_md5"))))
 
 
+def grading_item():
+    """The grader's row of an episode."""
+    cut = lambda c, n: F.left(F.coalesce(c, F.lit("")), F.lit(n))
+    said = lambda c: F.nullif(c, F.lit(""))
+    metadata = F.col("task.metadata")
+    return F.struct(
+        F.coalesce("topic", F.lit("")).alias("topic"),
+        cut(F.col("task.statement"), 600).alias("statement"),
+        cut(datasets.program_of(), 2200).alias("buggy_code"),
+        cut(datasets.failure_of(metadata), 1200).alias("observed_failure"),
+        F.coalesce(said(F.get_json_object(metadata, "$.execution_status")), F.lit("failed")).alias("execution_status"),
+        cut(F.coalesce(said(F.col("hint.raw_text")), F.col("hint.text")), 1800).alias("assistant_response"),
+    )
+
+
 @query("episodes!")
 def q_grading_prompts(e):
-    item = F.struct("episode_id", F.struct(F.coalesce("topic", F.lit("")).alias("topic"), F.left(F.coalesce("task.statement", F.lit("")), F.lit(600)).alias("statement"), F.left(F.coalesce("hint.text", F.lit("")), F.lit(1800)).alias("assistant_response")).alias("item"))
+    item = F.struct("episode_id", grading_item().alias("item"))
     b = _episodes(e).groupBy("batch_id").agg(F.array_sort(F.collect_list(item)).alias("items"))  # four rows a batch
     t = prompts.grading_text(F.transform("items", lambda x: x["item"]))
     return b.select("batch_id", F.size("items").alias("n_items"), F.regexp_extract(t, "^N = (\\d+)", 1).cast("int").alias("n_said"), F.size(F.from_json(F.substring_index(t, "\n\n", -1), "array<struct<topic:string>>")).alias("n_json"))

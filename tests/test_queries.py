@@ -61,3 +61,12 @@ def test_entry_without_the_training_data_package(monkeypatch):
     monkeypatch.setattr(entry, "_llm", lambda: None)
     assert set(entry.queries()) == set(catalogue.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_grading_item_has_all_fields(spark):
+    kind = "topic string, task struct<statement:string,buggy_solution:string,failing_asserts:array<string>,metadata:string>, hint struct<text:string,raw_text:string>"
+    rows = [("t", ("s" * 700, "x = 1" + "1" * 3000, [], '{"observed_failure": "E", "execution_status": "passed"}'), ("short", "raw")), (None, (None, None, None, None), ("short", ""))]
+    full, bare = (r.x for r in spark.createDataFrame(rows, kind).select(catalogue.grading_item().alias("x")).collect())
+    assert (full.topic, full.statement, full.execution_status, full.assistant_response) == ("t", "s" * 600, "passed", "raw")
+    assert len(full.buggy_code) == 2200 and full.buggy_code.startswith("x = 11") and "E" in full.observed_failure
+    assert (bare.topic, bare.statement, bare.execution_status, bare.assistant_response) == ("", "", "failed", "short")
