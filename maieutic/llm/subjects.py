@@ -4,34 +4,35 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from maieutic.llm.pairs import FUNCTION_WORDS
+from maieutic.llm import languages
+from maieutic.llm.shingles import mix
 from maieutic.session import stored
 
-#: A term is known if at least this share of the documents, and LEAST_DOCUMENTS of them, have it; so at most mean terms a document / TERM_SHARE are.
-TERM_SHARE, LEAST_DOCUMENTS = 0.0004, 4
-#: Components beside the subjects, which take up what no subject explains; rounds of updates of the terms, and of the documents' mixtures in each.
-BACKGROUND, ROUNDS, INNER = 3, 4, 3
-#: Terms of more than this share of the documents, and of the different texts, tell no subjects apart and stay out of the matrix.
-COMMON = 0.35
+#: Known terms: so many words and so many pairs of words, those of most documents, with LEAST_DOCUMENTS at least; and as many again that labelled documents share. Their numbers fit in 16 bits.
+WORDS, PAIRS, LEAST_DOCUMENTS = 16_000, 16_000, 4
+#: Components beside the subjects, which take up what no subject explains, and updates of the documents' mixtures in each round.
+BACKGROUND, INNER = 3, 3
+#: Rounds go on until one lowers the divergence by less than this share.
+SETTLED, MOST_ROUNDS = 0.003, 40
+#: A term weighs as much as its rarity tells, and fully if at most this share of the documents of its language have it.
+RARE = 0.001
+#: Rows of one text weigh together at most this share of all rows in the fitting, so at most 1 / HEAVIEST texts weigh less than their rows.
+HEAVIEST = 0.001
 #: Labelled documents that give the components their first values; a documented bound.
 LABELS = 100_000
-#: A sentence is set in a subject from this sum of its terms' affinities, counting those from STRONG; a sentence about code needs more.
-SET, SET_CODE, STRONG = 0.8, 2.6, 0.5
-#: Affinity from which a term settles a sentence for a subject in which another sentence of the document is set.
-WEAK = 0.25
+#: Share of a term's occurrences in labelled documents that fall to one subject, for it to be among the first values of the subject's component.
+OWN = 0.5
+#: A sentence is set in the subject of the greatest part of its mixture, if that explains so much of the weight of its terms, more in one with code, and such a share.
+SET, SET_CODE, SET_SHARE = 0.2, 1.5, 0.3
 #: Sentences set in a subject that make it one of the document's.
 LEAST_SENTENCES = 2
-#: Parts in which the sums of a round are gathered before they are added up.
-PARTS = 32
 
 # Marks among the word hashes of a text.
 _BREAK, _END, _CODE = 0, 1, 2
@@ -39,293 +40,414 @@ _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
 _HEADING = re.compile(r"^\s*#.*$", re.M)
 _PREFIX = re.compile(r"^[ \t]*(?:[-*•>]+|\d+[.)])?[ \t]*(?:[^\W\d_]{1,12}:(?=[ \t]))?", re.M)
 _INLINE = re.compile(r"`[^`\n]*`")
-_TOKEN = re.compile(r"\w[\w'’-]*|[.!?](?=\s)|[\n§]")
-_MARKS = {".": _END, "!": _END, "?": _END, "\n": _END, "§": _CODE}
-_hashes: dict[str, int] = dict(_MARKS)
-
-
-def word_hash(word: str) -> int:
-    h = _hashes.get(word)
-    if h is None:
-        if len(_hashes) > 300_000:
-            _hashes.clear()
-            _hashes.update(_MARKS)
-        h = _CODE if "_" in word else _BREAK if word[0].isdigit() else xxhash.xxh32_intdigest(word) | 4
-        _hashes[word] = h
-    return h
-
-
-def encoded(text: str | None) -> bytes:
-    """A text's words as 32-bit hashes, with marks for code, for numbers and for the ends of sentences; code blocks and headings are left out."""
-    if not text or text.isspace():
-        return b""
-    if "```" in text or "~~~" in text:
-        text = _FENCE.sub("\n", text)
-    plain = _INLINE.sub(" § ", _PREFIX.sub("", _HEADING.sub("", text))).lower() + "\n"
-    known = _hashes
-    out = np.array([known[w] if w in known else word_hash(w) for w in _TOKEN.findall(plain)], dtype=np.uint32)
-    # Of several ends in a row one is left.
-    end = out == _END
-    keep = ~end
-    keep[1:] |= ~end[:-1]
-    # A text of nothing but code or headings is one empty sentence.
-    return (out[keep] if keep.any() else np.array([_END], dtype=np.uint32)).tobytes()
+
+# Kinds of bytes: letter, sign inside a word, line break, sentence mark, digit, mark of code, underscore.
+_LETTER, _INSIDE, _LINE, _STOP, _DIGIT, _MARK, _LOW = 1, 2, 3, 4, 5, 6, 7
+_KIND = np.zeros(256, np.uint8)
+_KIND[128:] = _LETTER
+for _signs, _k in (("abcdefghijklmnopqrstuvwxyz", _LETTER), ("'-", _INSIDE), ("\n", _LINE), (".!?", _STOP), ("0123456789", _DIGIT), ("\x01", _MARK), ("_", _LOW)):
+    _KIND[[ord(c) for c in _signs]] = _k
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """The powers of a fixed odd number and of its inverse, modulo 2**64, at least n of each."""
+    if len(_powers[0]) < n:
+        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 20), b, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+def _before(flags: np.ndarray) -> np.ndarray:
+    return np.concatenate([[False], flags[:-1]])
+
+
+def encoded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as 32-bit hashes, with marks for code, for numbers and for the ends of sentences, and how many entries each text has.
+
+    Code blocks and headings are left out. A blank text has no entry, a text of
+    nothing but code one empty sentence. All texts are read at once, byte by byte:
+    a word's hash is a difference of running sums.
+    """
+    clean = []
+    for t in texts:
+        if not t or t.isspace():
+            clean.append(b"")
+            continue
+        t = t.replace("\x01", " ")
+        if "```" in t or "~~~" in t:
+            t = _FENCE.sub("\n", t)
+        if "#" in t:
+            t = _HEADING.sub("", t)
+        t = _PREFIX.sub("", t)
+        if "`" in t:
+            t = _INLINE.sub(" \x01 ", t)
+        clean.append((t.lower() + "\n").encode("utf-8", "replace"))
+    data = np.frombuffer(b"".join(clean), np.uint8)
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+    kind = _KIND[data]
+    # Signs beyond ASCII are no letters; a typographic apostrophe may stand inside a word.
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    two = two[~np.isin(data[two + 1], (0xAA, 0xB5, 0xBA))]
+    kind[two] = kind[two + 1] = 0
+    three = np.flatnonzero((data[:-2] == 0xE2) | (data[:-2] == 0xE3) & (data[1:-1] == 0x80))
+    inside = three[(data[three] == 0xE2) & (data[three + 1] == 0x80) & (data[three + 2] == 0x99)]
+    for j in range(3):
+        kind[three + j] = 0
+    for j in range(3):
+        kind[inside + j] = _INSIDE
+    real = (kind == _LETTER) | (kind == _DIGIT) | (kind == _LOW)
+    run = real | (kind == _INSIDE)
+    place = np.arange(n)
+    run_begin = np.maximum.accumulate(np.where(run & ~_before(run), place, 0))
+    word = real | (run & (np.maximum.accumulate(np.where(real, place, -1)) >= run_begin))
+    begin = np.flatnonzero(word & ~_before(word))
+    stop = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1
+    power, inverse = _power(n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])])
+    hashes = (mix((sums[stop] - sums[begin]) * inverse[begin]) >> np.uint64(32)).astype(np.uint32) | np.uint32(4)
+    hashes[kind[begin] == _DIGIT] = _BREAK
+    low = np.concatenate([[0], np.cumsum(kind == _LOW)])
+    hashes[low[stop] > low[begin]] = _CODE
+    space = np.isin(data, (9, 10, 11, 12, 13, 32))
+    space[:-1] |= (data[:-1] == 0xC2) & (data[1:] == 0xA0)
+    end = (kind == _LINE) | (kind == _STOP) & np.concatenate([space[1:], [True]])
+    out = np.zeros(n, np.uint32)
+    out[begin], out[end], out[kind == _MARK] = hashes, _END, _CODE
+    mark = end | (kind == _MARK)
+    mark[begin] = True
+    at = np.flatnonzero(mark)
+    codes, row = out[at], np.searchsorted(np.cumsum([len(c) for c in clean]), at, "right")
+    # Of several ends in a row one is left, and none at the beginning of a text that has more.
+    first = np.concatenate([[True], row[1:] != row[:-1]])
+    keep = (codes != _END) | ~first & (np.concatenate([[_END], codes[:-1]]) != _END)
+    keep |= first & (np.bincount(row[keep], minlength=len(texts)) == 0)[row]
+    return codes[keep], np.bincount(row[keep], minlength=len(texts))
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """The different hashes of words; names with digits or underscores have none."""
+    codes, _ = encoded([" ".join(words)])
+    return np.unique(codes[codes > 3])
+
+
+def _cut(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """values as one binary entry for each of sizes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
 def encode_texts(texts: DataFrame, key: Column, text: Column) -> DataFrame:
+    """id, code, hash of each text that is not blank: its words as of encoded, and a hash of them."""
     rows = texts.select(key.alias("id"), text.alias("text")).where("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoded(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "code"])
+            for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                yield pa.RecordBatch.from_arrays([piece.column(0), _cut(*encoded(piece.column(1).to_pylist()))], names=["id", "code"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, code binary").where(F.length("code") > 0)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, code binary").where(F.length("code") > 0).withColumn("hash", F.xxhash64("code"))
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All codes of a batch side by side, and the row of each."""
+def _flat(column: pa.Array, kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a batch side by side, and how many each row has."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype=np.uint32), np.repeat(np.arange(len(values)), [len(v) // 4 for v in values])
+    return np.frombuffer(b"".join(values), dtype=kind), np.array([len(v) for v in values], np.int64) // np.dtype(kind).itemsize
+
+
+_FUNCTION = np.unique(np.concatenate([word_hashes(w.split()) for w in languages.FUNCTION_WORDS.values()]))
+_SPEAKS = np.stack([np.isin(_FUNCTION, word_hashes(w.split())) for w in languages.FUNCTION_WORDS.values()], axis=1).astype(np.float64)
+_SPEAKS /= _SPEAKS.sum(axis=1, keepdims=True)
+_SALT = mix(np.arange(1, len(languages.NAMES) + 1, dtype=np.uint64))
+
+
+class Occurrences(NamedTuple):
+    """Terms of a batch in order of place: key, row, place; pairs behind single words. tongues: the number of the language of each place."""
+
+    key: np.ndarray
+    row: np.ndarray
+    at: np.ndarray
+    is_pair: np.ndarray
+    tongue: np.ndarray
 
 
-def _pairs(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms (single words, then pairs of neighbouring words) with the row and the place of each."""
-    one = np.flatnonzero(codes > 3)
-    two = one[:-1][(one[1:] == one[:-1] + 1)] if len(one) else one
-    pair = (codes[two].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes[two + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1 << 63)
+def occurrences(codes: np.ndarray, sizes: np.ndarray) -> Occurrences:
+    """The words of a batch, and its pairs of neighbouring words that are not both function words.
+
+    A term belongs to the language of its sentence: that of most function words, or
+    that of the text unless another has clearly more. Ends of sentences count as a term
+    of their own, with key 0 before salting.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    is_end = codes == _END
+    sentence = np.cumsum(is_end) - is_end
+    known = np.minimum(np.searchsorted(_FUNCTION, codes), len(_FUNCTION) - 1)
+    is_function = _FUNCTION[known] == codes
+    hit = np.flatnonzero(is_function)
+    n, g = int(is_end.sum()), len(_SALT)
+    said = np.zeros((len(sizes), g))
+    own = np.zeros((n + 1, g))
+    for j in range(g):
+        said[:, j] = np.bincount(row[hit], weights=_SPEAKS[known[hit], j], minlength=len(sizes))
+        own[:, j] = np.bincount(sentence[hit], weights=_SPEAKS[known[hit], j], minlength=n + 1)
+    own[np.arange(n), said.argmax(axis=1)[row[is_end]]] += 1.5
+    tongue = own.argmax(axis=1)[sentence]
+    one = np.flatnonzero((codes > 3) | is_end)
+    two = np.flatnonzero(codes > 3)
+    two = two[:-1][two[1:] == two[:-1] + 1]
+    two = two[(row[two] == row[two + 1]) & ~(is_function[two] & is_function[two + 1])]
+    pair = mix(codes[two].astype(np.uint64) * np.uint64(_BASE) + codes[two + 1].astype(np.uint64)) | np.uint64(1 << 63)
     at = np.concatenate([one, two])
-    return np.concatenate([codes[one].astype(np.uint64), pair]), row[at], at, np.concatenate([np.zeros(len(one), bool), np.ones(len(two), bool)])
+    single = np.where(is_end[one], 0, codes[one]).astype(np.uint64)
+    return Occurrences(np.concatenate([single, pair]) ^ _SALT[tongue[at]], row[at], at, np.arange(len(at)) >= len(one), tongue)
 
 
-class Terms:
-    """Known terms: sorted hashes, so that the place of a hash is the number of its term."""
+class Terms(NamedTuple):
+    """Known terms by number: sorted keys, the number of each one's language, its weight, and the weighted number of documents that have it."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
+    keys: np.ndarray
+    tongue: np.ndarray
+    weight: np.ndarray
+    documents: np.ndarray
 
     def numbers(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key's term, -1 for an unknown one."""
-        if not len(self.hashes):
+        if not len(self.keys):
             return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == keys, at, -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
-    def matrix(self, codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The rows' known terms with their counts: row (ascending), term, count."""
-        keys, owner, _, _ = _pairs(codes, row)
-        t = self.numbers(keys)
-        known = t >= 0
-        cell, count = np.unique(owner[known] * len(self.hashes) + t[known], return_counts=True)
-        return cell // len(self.hashes), cell % len(self.hashes), count
+    def normed(self, rows: np.ndarray) -> np.ndarray:
+        """rows x terms, made to add up to one within each language where there is anything."""
+        sums = np.stack([np.bincount(self.tongue, weights=x, minlength=len(_SALT)) for x in rows])
+        return rows / np.maximum(sums, 1e-30)[:, self.tongue]
 
 
-def known_terms(coded: DataFrame, share: float = TERM_SHARE, least: int = LEAST_DOCUMENTS) -> Terms:
-    """The terms of enough documents, and not of too many: words first, then pairs of such words, but of no two function words."""
+def row_weights(coded: DataFrame) -> dict[int, float]:
+    """hash to weight of a row, for the texts that hold more than HEAVIEST of the rows; at most 1 / HEAVIEST entries."""
     n = coded.count()
-    need = max(least, int(share * n))
-
-    def occurrences(words: Terms | None, codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if words is None:
-            at = np.flatnonzero(codes > 3)
-            return codes[at].astype(np.uint64), row[at]
-        codes = np.where(words.numbers(codes.astype(np.uint64)) >= 0, codes, _BREAK).astype(np.uint32)
-        keys, owner, at, is_pair = _pairs(codes, row)
-        first = at[is_pair]
-        telling = ~(spoken(codes[first]) & spoken(codes[first + 1])).any(axis=1)
-        return keys[is_pair][telling], owner[is_pair][telling]
-
-    def common(words: Terms | None, often: Terms) -> np.ndarray:
-        """Those of often that more than COMMON of the different texts have."""
-        m = len(often.hashes)
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, owner = occurrences(words, *_flat(batch.column(0)))
-                t = often.numbers(keys)
-                has = np.zeros((batch.num_rows, m + 1), bool)
-                has[owner[t >= 0], t[t >= 0]] = True
-                has[:, m] = True  # counts the texts
-                texts = [xxhash.xxh3_128_digest(c) for c in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([x.tobytes() for x in np.packbits(has, axis=1)], pa.binary())], names=["text", "has"])
-
-        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(m + 1, np.int64)
-            for batch in batches:
-                bits = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                n += np.unpackbits(bits, axis=1, count=m + 1).sum(axis=0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(range(m + 1), pa.int32()), pa.array(n)], names=["term", "n"])
+    most = max(1.0, HEAVIEST * n)
+    return {r.hash: most / r["n"] for r in coded.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}
 
-        texts = coded.select("code").mapInArrow(mark, "text binary, has binary").distinct()
-        sums = texts.select("has").mapInArrow(total, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-        n = np.zeros(m + 1, np.int64)
-        n[sums["term"]] = sums["n"]
-        return often.hashes[n[:m] > COMMON * n[m]]
 
-    def frequent(words: Terms | None) -> np.ndarray:
+def known_terms(coded: DataFrame, light: dict[int, float], labelled: DataFrame | None = None, most: tuple[int, int] = (WORDS, PAIRS), least: float = LEAST_DOCUMENTS) -> Terms:
+    """Words, then pairs of known words: those of most documents, and as many that labelled documents share.
+
+    The choice is by rank, so a term's chance does not sink as the corpus grows.
+    """
+    rows = coded.select("id", "code", "hash")
+    rows = rows.withColumn("labelled", F.lit(False)) if labelled is None else rows.join(F.broadcast(labelled.select("id", F.lit(True).alias("labelled")).distinct()), "id", "left")
+
+    def counted(words: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            waiting = []
+            waiting: list[tuple[np.ndarray, ...]] = []
 
-            def merged():
-                keys, n = np.concatenate([k for k, _ in waiting]), np.concatenate([c for _, c in waiting])
-                u, back = np.unique(keys, return_inverse=True)
-                return u, np.bincount(back, weights=n, minlength=len(u)).astype(np.int64)
+            def merged() -> tuple[np.ndarray, ...]:
+                key, tongue, n, m = (np.concatenate(x) for x in zip(*waiting))
+                u, first, back = np.unique(key, return_index=True, return_inverse=True)
+                return u, tongue[first], np.bincount(back, weights=n, minlength=len(u)), np.bincount(back, weights=m, minlength=len(u))
 
             for batch in batches:
-                keys, owner = occurrences(words, *_flat(batch.column(0)))
-                order = np.lexsort((owner, keys))
-                keys, owner = keys[order], owner[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-                waiting.append(np.unique(keys[new], return_counts=True))
+                codes, sizes = _flat(batch.column("code"))
+                weight = np.array([light.get(h, 1.0) for h in batch.column("hash").to_pylist()])
+                marked = np.array(batch.column("labelled").to_pylist(), dtype=bool)
+                o = occurrences(codes, sizes)
+                if words is None:
+                    use = np.flatnonzero(~o.is_pair)
+                else:
+                    known = np.zeros(len(codes) + 1, bool)
+                    known[o.at[~o.is_pair]] = np.isin(o.key[~o.is_pair], words)
+                    use = np.flatnonzero(o.is_pair & known[o.at] & known[np.minimum(o.at + 1, len(codes))])
+                key, row = o.key[use], o.row[use]
+                order = np.lexsort((row, key))
+                key, row, place = key[order], row[order], o.at[use][order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                waiting.append((key[new], o.tongue[place[new]], weight[row[new]], weight[row[new]] * marked[row[new]]))
                 if len(waiting) > 40:
                     waiting = [merged()]
             if waiting:
-                u, count = merged()
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(count)], names=["term", "n"])
-
-        counts = coded.select("code").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= need)
-        found = counts.toPandas()  # at most mean terms a document / share rows
-        hashes = found["term"].to_numpy(dtype=np.int64).view(np.uint64)
-        often = hashes[(found["n"] > max(need, COMMON * n)).to_numpy()]  # at most mean terms a document / COMMON
-        return np.setdiff1d(hashes, common(words, Terms(often))) if len(often) else hashes
-
-    words = frequent(None)
-    return Terms(np.concatenate([words, frequent(Terms(words))]))
-
-
-@F.pandas_udf(BinaryType())
-def add_up(blocks: pd.Series) -> bytes:
-    """The sum of arrays of single precision."""
-    total = None
-    for b in blocks:
-        x = np.frombuffer(b, dtype=np.float32)
-        total = x.astype(np.float64) if total is None else total + x
-    return total.astype(np.float32).tobytes()
-
-
-def summed(parts: DataFrame, components: int, terms: int) -> np.ndarray:
-    """The sums of the tasks' blocks (component, part, block), added up in two steps: a components x terms matrix."""
-    once = parts.groupBy("component", "part").agg(add_up("block").alias("block")).groupBy("component").agg(add_up("block").alias("block"))
-    out = np.zeros((components, terms))
-    for r in once.collect():  # one row a component
-        out[r.component] = np.frombuffer(r.block, dtype=np.float32)
-    return out
+                key, tongue, n, m = merged()
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tongue.astype(np.int32)), pa.array(n), pa.array(m)], names=["term", "tongue", "n", "m"])
+
+        each = rows.select("code", "hash", "labelled").mapInArrow(run, "term long, tongue int, n double, m double")
+        counts = stored(each.groupBy("term", "tongue").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where((F.col("n") >= least) | (F.col("term").isin([int(x) for x in _SALT.view(np.int64)]))))
+        # At most twice the limit reaches the driver.
+        often = counts.orderBy(F.col("n").desc(), "term").limit(limit)
+        told = counts.where(F.col("m") >= least).orderBy(F.col("m").desc(), "term").limit(limit)
+        found = often.unionByName(told).distinct().toPandas()
+        return found["term"].to_numpy(np.int64).view(np.uint64), found["tongue"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
+
+    words, tongue, n = counted(None, most[0])
+    total = np.zeros(len(_SALT))
+    is_end = np.isin(words, _SALT)
+    total[tongue[is_end]] = n[is_end]
+    words, tongue, n = words[~is_end], tongue[~is_end], n[~is_end]
+    pairs = counted(np.sort(words), most[1]) if len(words) else (words, tongue, n)
+    keys, tongue, n = (np.concatenate(x) for x in zip((words, tongue, n), pairs))
+    order = np.argsort(keys)
+    keys, tongue, n = keys[order], tongue[order], n[order]
+    share = np.minimum(n / np.maximum(total[tongue], 1e-9), 1.0)
+    return Terms(keys, tongue, np.minimum(1.0, np.log(np.maximum(share, 1e-12)) / np.log(RARE)), n)
+
+
+#: Marks of code and of the end of a sentence among the numbers of terms, which are below both.
+_CODE_NUMBER, _STOP_NUMBER = 0xFFFE, 0xFFFF
+
+
+def term_matrix(coded: DataFrame, terms: Terms, light: dict[int, float]) -> DataFrame:
+    """id, weight, terms: each document's known terms in order, as 16-bit numbers, with marks behind its sentences."""
+    if len(terms.keys) > _CODE_NUMBER:
+        raise ValueError("too many terms")
+    known = coded.sparkSession.sparkContext.broadcast((terms, light))
+    kind = coded.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, less = known.value
+        for batch in batches:
+            codes, sizes = _flat(batch.column("code"))
+            o = occurrences(codes, sizes)
+            number = t.numbers(o.key)
+            end = (codes[o.at] == _END) & ~o.is_pair
+            number[end] = _STOP_NUMBER
+            code = np.flatnonzero(codes == _CODE)
+            at, row = np.concatenate([o.at[number >= 0], code]), np.concatenate([o.row[number >= 0], np.repeat(np.arange(len(sizes)), sizes)[code]])
+            number = np.concatenate([number[number >= 0], np.full(len(code), _CODE_NUMBER)])[np.argsort(at, kind="stable")]
+            weight = [less.get(h, 1.0) for h in batch.column("hash").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(weight, pa.float32()), _cut(number.astype(np.uint16), np.bincount(row, minlength=len(sizes)))], names=["id", "weight", "terms"])
 
+    return coded.select("id", "code", "hash").mapInArrow(run, f"id {kind}, weight float, terms binary")
 
-_TONGUES = [np.unique([word_hash(w) for w in ws.split()]) for ws in FUNCTION_WORDS.values()]
-_FUNCTION = np.unique(np.concatenate(_TONGUES))
-_SPEAKS = np.array([np.isin(_FUNCTION, t) for t in _TONGUES]).T
 
+def solved(h: np.ndarray, weight: np.ndarray, term: np.ndarray, sizes: np.ndarray, begin: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixtures that fit rows of terms to the components h (components x terms), after `inner` multiplicative updates from the mixtures `begin` (components x rows).
 
-def spoken(codes: np.ndarray) -> np.ndarray:
-    """In which languages each word is a function word: words x languages."""
-    at = np.minimum(np.searchsorted(_FUNCTION, codes), len(_FUNCTION) - 1)
-    return _SPEAKS[at] & (_FUNCTION[at] == codes)[:, None]
+    Rows lie side by side, sizes of them each, none empty. Returns the mixtures, the share of each
+    component in each term's weight, and the probability of each term.
+    """
+    mixture, part = begin, h[:, term]
+    starts = np.cumsum(sizes) - sizes
+    for i in range(inner + 1):
+        share = part * np.repeat(mixture, sizes, axis=1)
+        chance = np.maximum(share.sum(axis=0), np.float32(1e-30))
+        share *= weight / chance
+        if i < inner:
+            got = np.add.reduceat(share, starts, axis=1)
+            mixture = got / np.maximum(got.sum(axis=0), np.float32(1e-30))
+    return mixture, share, chance
 
 
-def languages(codes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """The number of each row's language, that with most function words in it; of equal ones the first."""
-    at = np.minimum(np.searchsorted(_FUNCTION, codes), len(_FUNCTION) - 1)
-    hit = np.flatnonzero(_FUNCTION[at] == codes)
-    return np.stack([np.bincount(row[hit], weights=_SPEAKS[at[hit], j], minlength=n) for j in range(len(_TONGUES))], axis=1).argmax(axis=1)
+class Model(NamedTuple):
+    """names: the subjects in order; terms; h: components x terms, those of the subjects before those of the background; divergence after each round."""
 
+    names: list[str]
+    terms: Terms
+    h: np.ndarray
+    divergence: list[float]
 
-def _mixtures(row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, part: np.ndarray, inner: int) -> np.ndarray:
-    """The share of each component in each cell, for mixtures W that fit rows to W H by multiplicative updates; part: H at each cell's term, cells x components."""
-    k = part.shape[1]
-    w = np.full((n, k), 1.0 / k, dtype=np.float32)
-    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
-    for i in range(inner + 1):
-        share = part * w[row]
-        share *= (count / np.maximum(share.sum(axis=1), 1e-30))[:, None]
-        if i < inner and len(row):
-            got = np.add.reduceat(share, starts, axis=0)
-            w[row[starts]] = got / np.maximum(got.sum(axis=1, keepdims=True), 1e-30)
-    return share
 
+def _even(k: int, n: int) -> np.ndarray:
+    return np.full((k, n), 1.0 / k, np.float32)
 
-def _blocks(total: np.ndarray) -> pa.RecordBatch:
-    """A task's sums, languages x components x terms, as rows."""
-    from pyspark import TaskContext
 
-    flat = total.reshape(-1, total.shape[-1])
-    part = TaskContext.get().partitionId() % PARTS
-    return pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([part] * len(flat), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in flat], pa.binary())], names=["component", "part", "block"])
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
-def term_matrix(coded: DataFrame, terms: Terms) -> DataFrame:
-    """id, tongue, cells: each document's language, and its terms and counts as 32-bit numbers."""
-    known = coded.sparkSession.sparkContext.broadcast(terms)
-    kind = coded.schema["id"].dataType.simpleString()
+class Sentences(NamedTuple):
+    """Of the numbers of a batch: the sentence of each, which ones are terms, which sentences hold code, and the row of each sentence."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = known.value
-        for batch in batches:
-            codes, owner = _flat(batch.column(1))
-            row, term, count = t.matrix(codes, owner)
-            cells = np.stack([term, count], axis=1).astype(np.int32)
-            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            tongue = languages(codes, owner, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tongue, pa.int32()), pa.array([cells[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["id", "tongue", "cells"])
+    of: np.ndarray
+    is_term: np.ndarray
+    has_code: np.ndarray
+    row: np.ndarray
 
-    return coded.select("id", "code").mapInArrow(run, f"id {kind}, tongue int, cells binary")
 
+def _sentences(number: np.ndarray, sizes: np.ndarray) -> Sentences:
+    end = number == _STOP_NUMBER
+    of = np.cumsum(end) - end
+    has_code = np.zeros(int(end.sum()), bool)
+    has_code[of[number == _CODE_NUMBER]] = True
+    return Sentences(of, number < _CODE_NUMBER, has_code, np.repeat(np.arange(len(sizes)), sizes)[end])
 
-def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, language, term and count of all cells of a batch of term_matrix."""
-    values = batch.column("cells").to_pylist()
-    cells = np.frombuffer(b"".join(values), dtype=np.int32).reshape(-1, 2)
-    row = np.repeat(np.arange(len(values)), [len(v) // 8 for v in values])
-    return row, np.asarray(batch.column("tongue"))[row], cells[:, 0], cells[:, 1].astype(np.float32)
 
+def _known_only(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of the sentences without code, how many each row has, and the rows that have any, by number."""
+    number, sizes = _flat(piece.column("terms"), np.uint16)
+    s = _sentences(number, sizes)
+    real = s.is_term & ~s.has_code[s.of]
+    n = np.bincount(s.row[s.of[real]], minlength=len(sizes))
+    return number[real].astype(np.int64), n[n > 0], np.flatnonzero(n)
 
-def _gather(matrix: DataFrame, h: np.ndarray, inner: int) -> np.ndarray:
-    """One round: given the components h (languages x terms x components), the documents' mixtures, and the components' new sums (languages x components x terms)."""
-    g, v, k = h.shape
-    known = matrix.sparkSession.sparkContext.broadcast(h.astype(np.float32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = known.value
-        total = np.zeros((g, k, v))
-        for batch in batches:
-            for piece in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                row, tongue, term, count = _cells(piece)
-                share = _mixtures(row, term, count, piece.num_rows, now[tongue, term], inner)
-                cell = tongue * v + term
-                for c in range(k):
-                    total[:, c] += np.bincount(cell, weights=share[:, c], minlength=g * v).reshape(g, v)
-        yield _blocks(total)
+def _sums(total: np.ndarray, divergence: float, mass: float) -> Iterator[pa.RecordBatch]:
+    """A task's sums (components x terms) for the terms that it has seen, and its divergence under number -1."""
+    seen = np.flatnonzero(total.any(axis=0))
+    columns = [pa.array(np.concatenate([total[c, seen], [divergence, mass][c : c + 1] if c < 2 else [0.0]]).astype(np.float32)) for c in range(len(total))]
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([seen, [-1]]).astype(np.int32)), *columns], names=["term", *(f"c{c}" for c in range(len(total)))])
 
-    return summed(matrix.select("tongue", "cells").mapInArrow(run, "component int, part int, block binary"), g * k, v).reshape(g, k, v)
 
+def _added(parts: DataFrame, k: int, v: int) -> tuple[np.ndarray, float]:
+    """The tasks' sums added up, components x terms, and the divergence by weight of term. One row a known term reaches the driver."""
+    out = np.zeros((k, v))
+    found = parts.groupBy("term").agg(*(F.sum(f"c{c}").alias(f"c{c}") for c in range(k))).toPandas()
+    at = found["term"].to_numpy()
+    values = found[[f"c{c}" for c in range(k)]].to_numpy(np.float64).T
+    out[:, at[at >= 0]] = values[:, at >= 0]
+    last = values[:, at < 0].sum(axis=1)
+    return out, float(last[0] / last[1]) if k > 1 and last[1] else 0.0
 
-def _labelled(matrix: DataFrame, labels: DataFrame, n_terms: int, names: list[str]) -> np.ndarray:
-    """Sums of the terms of labelled documents, each document weighing one: languages x subjects x terms. labels has at most LABELS rows."""
-    g, v, k = len(_TONGUES), n_terms, len(names)
-    number = {n: i for i, n in enumerate(names)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((g, k, v))
-        for batch in batches:
-            row, tongue, term, count = _cells(batch)
-            which = np.array([number[s] for s in batch.column("subject").to_pylist()], dtype=np.int64)
-            if len(row):
-                np.add.at(total, (tongue, which[row], term), count / np.bincount(row, weights=count, minlength=batch.num_rows)[row])
-        yield _blocks(total)
+def _schema(k: int) -> str:
+    return "term int, " + ", ".join(f"c{c} float" for c in range(k))
 
-    return summed(matrix.join(F.broadcast(labels), "id").select("tongue", "cells", "subject").mapInArrow(run, "component int, part int, block binary"), g * k, v).reshape(g, k, v)
 
+def gathered(matrix: DataFrame, terms: Terms, h: np.ndarray, inner: int) -> tuple[np.ndarray, float]:
+    """One round: the documents' mixtures with the components h fixed, the components' new sums, and the divergence."""
+    k, v = h.shape
+    known = matrix.sparkSession.sparkContext.broadcast((h.astype(np.float32), terms.weight.astype(np.float32)))
 
-class SubjectModel:
-    """Term affinities to subjects, fitted on all documents.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, weigh = known.value
+        total, divergence, mass = np.zeros((k, v)), 0.0, 0.0
+        for piece in _pieces(batches):
+            term, sizes, rows = _known_only(piece)
+            if not len(term):
+                continue
+            weight = weigh[term] * np.repeat(np.asarray(piece.column("weight"))[rows], sizes)
+            _, share, chance = solved(now, weight, term, sizes, _even(k, len(sizes)), inner)
+            divergence -= float(weight @ np.log(chance))
+            mass += float(weight.sum())
+            for c in range(k):
+                total[c] += np.bincount(term, weights=share[c], minlength=v)
+        yield from _sums(total, divergence, mass)
+
+    out = _added(matrix.select("weight", "terms").mapInArrow(run, _schema(k)), k, v)
+    known.unpersist()
+    return out
 
-    names: the subjects in order. affinity: languages x terms x subjects, the share of a
-    term's occurrences in the texts of a language that the factoring puts down to the
-    subject's component.
-    """
 
-    def __init__(self, names: list[str], terms: Terms, affinity: np.ndarray):
-        self.names, self.terms, self.affinity = names, terms, affinity.astype(np.float32)
+def _labelled(matrix: DataFrame, labels: DataFrame, terms: Terms, names: list[str]) -> np.ndarray:
+    """Sums of the terms' weights in labelled documents, each document weighing one: subjects x terms. labels has at most LABELS rows."""
+    number, weigh, k, v = {n: i for i, n in enumerate(names)}, terms.weight, len(names), len(terms.keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, v))
+        for piece in _pieces(batches):
+            term, sizes, rows = _known_only(piece)
+            which = np.array([number[s] for s in piece.column("subject").to_pylist()], dtype=np.int64)[rows]
+            weight = weigh[term]
+            all_of = np.add.reduceat(weight, np.cumsum(sizes) - sizes) if len(term) else np.zeros(0)
+            np.add.at(total, (np.repeat(which, sizes), term), weight / np.maximum(np.repeat(all_of, sizes), 1e-9))
+        yield from _sums(total, 0.0, 0.0)
+
+    return _added(matrix.join(F.broadcast(labels), "id").select("terms", "subject").mapInArrow(run, _schema(k)), k, v)[0]
 
 
 def description_words(subjects: dict[str, str]) -> dict[str, list[str]]:
@@ -336,109 +458,109 @@ def description_words(subjects: dict[str, str]) -> dict[str, list[str]]:
     return {s: sorted((ws & alone) | {s.lower()}) for s, ws in split.items()}
 
 
-def fit(coded: DataFrame, subjects: dict[str, str], labels: DataFrame | None, rounds: int = ROUNDS, inner: int = INNER, background: int = BACKGROUND) -> SubjectModel:
-    """Components for subjects and background, by alternating multiplicative updates that never increase the divergence.
+def first_components(terms: Terms, seen: np.ndarray, subjects: dict[str, str], background: int = BACKGROUND) -> np.ndarray:
+    """Anchored first values: components x terms.
 
-    The texts of each language have components of their own. Anchors give a subject's
-    component its first values: the words that only its description has, and the terms
-    that the labelled documents of the subject and language have beyond the usual. A
-    component stays tied to its anchors, as later updates only multiply; one without
-    anchors in a language stays empty there. Each round reads all documents, solves
-    their mixtures with the components fixed, and gathers the components' new values.
+    A subject's component gets, in each language, the terms that its labelled documents have
+    beyond the usual and the words that only its description has, over a faint trace of
+    all terms; one without anchors in a language stays empty there. Background components
+    are the usual terms, stirred.
     """
-    names = sorted(subjects)
-    terms = known_terms(coded)
-    g, k, v = len(_TONGUES), len(names), len(terms.hashes)
-    if not v or not k:
-        return SubjectModel(names, terms, np.zeros((g, v, k)))
-    matrix = stored(term_matrix(coded, terms))
-    seen = _labelled(matrix, labels, v, names) if labels is not None else np.zeros((g, k, v))
-    every = _gather(matrix, np.ones((g, v, 1)), 0)[:, 0]
-    base = every / np.maximum(every.sum(axis=1, keepdims=True), 1e-9)
-    anchor = np.zeros((k, v))
+    k, v = seen.shape
+    base = terms.normed((terms.documents * terms.weight)[None])[0]
+    share = terms.normed(seen)
+    own = share / np.maximum(share.sum(axis=0), 1e-30)
+    said = np.zeros((k, v))
     for i, (_, ws) in enumerate(sorted(description_words(subjects).items())):
-        t = terms.numbers(np.array([word_hash(w) for w in ws], dtype=np.uint64))
-        anchor[i, t[t >= 0]] = 1.0
-    share = seen / np.maximum(seen.sum(axis=2, keepdims=True), 1e-9)
-    own = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
-    rng = np.random.default_rng(7)
-    h = np.zeros((g, k + background, v))
-    for j in range(g):
-        for i in range(k):
-            extra = np.where(own[j, i] >= STRONG, np.maximum(share[j, i] - 1.5 * base[j], 0), 0)
-            said = anchor[i] * (base[j] > 0)
-            first = extra / max(extra.sum(), 1e-9) + 0.5 * said / max(said.sum(), 1)
-            if first.any():
-                h[j, i] = first + 0.02 * base[j]
-        for i in range(background):
-            h[j, k + i] = base[j] * rng.uniform(0.5, 1.5, v)
-    h /= np.maximum(h.sum(axis=2, keepdims=True), 1e-30)
-    for _ in range(rounds):
-        total = _gather(matrix, h.transpose(0, 2, 1), inner)
-        h = total / np.maximum(total.sum(axis=2, keepdims=True), 1e-9)
-    return SubjectModel(names, terms, (total[:, :k] / np.maximum(total.sum(axis=1, keepdims=True), 1e-30)).transpose(0, 2, 1))
-
-
-def sentence_settings(model: SubjectModel, codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The document and the subject, -1 for none, of each sentence, in order."""
-    is_end = codes == _END
-    sentence = np.cumsum(is_end) - is_end
-    n = int(is_end.sum())
-    doc = row[is_end]
-    if not model.names:
-        return doc, np.full(n, -1)
-    keys, _, at, is_pair = _pairs(codes, row)
-    t = model.terms.numbers(keys)
-    k = len(model.names)
-    good = np.flatnonzero(t >= 0)
-    a = model.affinity[languages(codes, row, int(row.max()) + 1 if len(row) else 1)[row[at[good]]], t[good]]
-    strong = a >= STRONG
-    # A pair speaks for both of its words, where it speaks for a subject.
-    paired = np.zeros(len(codes) + 1, bool)
-    pair = good[is_pair[good] & strong.any(axis=1)]
-    paired[at[pair]] = True
-    paired[at[pair] + 1] = True
-    strong &= (is_pair[good] | ~paired[at[good]])[:, None]
-    i, j = np.nonzero(strong)
-    score = np.bincount(sentence[at[good[i]]] * k + j, weights=a[i, j], minlength=n * k).reshape(n, k)
-    code = np.zeros(n, bool)
-    code[sentence[codes == _CODE]] = True
-    best = score.argmax(axis=1)
-    top = score[np.arange(n), best]
-    setting = np.where(top >= np.where(code, SET_CODE, SET), best, -1)
-    # A sentence whose terms leave doubt goes to a subject that the document has elsewhere.
-    has = np.zeros((int(doc.max()) + 1 if n else 0, k), bool)
-    has[doc[setting >= 0], setting[setting >= 0]] = True
-    i, j = np.nonzero(a >= WEAK)
-    s = sentence[at[good[i]]]
-    open_ = (setting[s] < 0) & ~code[s] & has[doc[s], j]
-    i, j, s = i[open_], j[open_], s[open_]
-    order = np.argsort(a[i, j], kind="stable")  # the greatest affinity of a sentence is written last
-    setting[s[order]] = j[order]
-    return doc, setting
-
-
-def assign(coded: DataFrame, model: SubjectModel, fallback: str | None, least: int = LEAST_SENTENCES) -> DataFrame:
+        at = terms.numbers((word_hashes(ws).astype(np.uint64)[:, None] ^ _SALT).ravel())
+        said[i, at[at >= 0]] = 1.0
+    first = terms.normed(np.where(own >= OWN, np.maximum(share - 1.5 * base, 0.0), 0.0)) + 0.5 * terms.normed(said)
+    anchored = np.stack([np.bincount(terms.tongue, weights=x, minlength=len(_SALT)) > 0 for x in first])
+    h = np.zeros((k + background, v))
+    h[:k] = np.where(anchored[:, terms.tongue], first + 0.02 * base, 0.0)
+    h[k:] = base * np.random.default_rng(7).uniform(0.5, 1.5, (background, v))
+    return terms.normed(h)
+
+
+def fit(coded: DataFrame, matrix_of: DataFrame | None, terms: Terms, light: dict[int, float], subjects: dict[str, str], labels: DataFrame | None, settled: float = SETTLED, inner: int = INNER) -> tuple[Model, DataFrame]:
+    """Components for subjects and background, by alternating multiplicative updates that never increase the divergence; and the matrix.
+
+    Sentences with code take no part, as those about nothing but code have no subject.
+    Each round reads all documents, solves their mixtures with the components fixed,
+    and gathers the components' new values; a component stays tied to its anchors, as
+    updates only multiply. Rounds end when one lowers the divergence by a share of
+    less than `settled`.
+    """
+    names = sorted(subjects)
+    matrix = stored(term_matrix(coded, terms, light)) if matrix_of is None else matrix_of
+    if not len(terms.keys) or not names:
+        return Model(names, terms, np.zeros((len(names) + BACKGROUND, len(terms.keys))), []), matrix
+    seen = _labelled(matrix, labels, terms, names) if labels is not None else np.zeros((len(names), len(terms.keys)))
+    h = first_components(terms, seen, subjects)
+    divergence: list[float] = []
+    while len(divergence) < MOST_ROUNDS:
+        total, d = gathered(matrix, terms, h, inner)
+        h = terms.normed(total)
+        divergence.append(d)
+        if len(divergence) > 1 and divergence[-2] - d < settled * abs(divergence[-2]):
+            break
+    return Model(names, terms, h, divergence), matrix
+
+
+def sentence_subjects(model: Model, number: np.ndarray, sizes: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the subject, -1 for none, of each sentence, in order.
+
+    A document's mixture over the components is solved first; those of its sentences
+    start from it, so that a sentence of few telling terms leans to what its document is
+    about. A sentence is set in the subject that explains most of the weight of its terms,
+    if that is SET at least, SET_CODE in a sentence with code, and SET_SHARE of all.
+    """
+    k, s = len(model.names), _sentences(number, sizes)
+    n = len(s.row)
+    setting = np.full(n, -1)
+    term = number[s.is_term].astype(np.int64)
+    if not k or not len(term):
+        return s.row, setting
+    h, weight = model.h.astype(np.float32), model.terms.weight.astype(np.float32)
+    mixture = _even(len(h), len(sizes))
+    plain = s.is_term & ~s.has_code[s.of]
+    in_row = np.bincount(s.row[s.of[plain]], minlength=len(sizes))
+    rows = np.flatnonzero(in_row)
+    if len(rows):
+        own = number[plain].astype(np.int64)
+        mixture[:, rows] = solved(h, weight[own], own, in_row[rows], mixture[:, rows], inner)[0]
+    in_sentence = np.bincount(s.of[s.is_term], minlength=n)
+    some = np.flatnonzero(in_sentence)
+    begin = mixture[:, s.row[some]] + np.float32(0.05 / len(h))
+    _, share, _ = solved(h, weight[term], term, in_sentence[some], begin / begin.sum(axis=0), inner)
+    mass = np.add.reduceat(share, np.cumsum(in_sentence[some]) - in_sentence[some], axis=1)
+    best = mass[:k].argmax(axis=0)
+    top = mass[best, np.arange(len(some))]
+    need = np.where(s.has_code[some], SET_CODE, SET)
+    setting[some] = np.where((top >= need) & (top >= SET_SHARE * mass.sum(axis=0)), best, -1)
+    return s.row, setting
+
+
+def assign(matrix: DataFrame, model: Model, fallback: str | None, least: int = LEAST_SENTENCES) -> DataFrame:
     """id, subject, n_sentences of each document's subjects; one without any set sentence has the fallback, with 0."""
-    known = coded.sparkSession.sparkContext.broadcast(model)
-    kind = coded.schema["id"].dataType.simpleString()
+    known = matrix.sparkSession.sparkContext.broadcast(model)
+    kind = matrix.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         names = np.array(m.names, dtype=object)
-        for batch in batches:
-            for piece in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                doc, subject = sentence_settings(m, *_flat(piece.column(1)))
-                count = np.zeros((piece.num_rows, len(names)), dtype=np.int32)
-                np.add.at(count, (doc[subject >= 0], subject[subject >= 0]), 1)
-                d, s = np.nonzero(count >= least)
-                bare = np.flatnonzero(count.sum(axis=1) == 0) if fallback is not None else np.zeros(0, int)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(np.concatenate([d, bare]))), pa.array([*names[s], *[fallback] * len(bare)], pa.string()), pa.array(np.concatenate([count[d, s], np.zeros(len(bare), np.int32)]), pa.int32())],
-                    names=["id", "subject", "n_sentences"],
-                )
+        for piece in _pieces(batches):
+            row, subject = sentence_subjects(m, *_flat(piece.column("terms"), np.uint16))
+            count = np.zeros((piece.num_rows, len(names)), dtype=np.int32)
+            np.add.at(count, (row[subject >= 0], subject[subject >= 0]), 1)
+            d, s = np.nonzero(count >= least)
+            bare = np.flatnonzero(count.sum(axis=1) == 0) if fallback is not None else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("id").take(pa.array(np.concatenate([d, bare]))), pa.array([*names[s], *[fallback] * len(bare)], pa.string()), pa.array(np.concatenate([count[d, s], np.zeros(len(bare), np.int32)]), pa.int32())],
+                names=["id", "subject", "n_sentences"],
+            )
 
-    return coded.select("id", "code").mapInArrow(run, f"id {kind}, subject string, n_sentences int")
+    return matrix.select("id", "terms").mapInArrow(run, f"id {kind}, subject string, n_sentences int")
 
 
 def document_subjects(documents: DataFrame, subject_list: DataFrame, subject_labels: DataFrame, fallback: str = "software") -> DataFrame:
@@ -446,14 +568,17 @@ def document_subjects(documents: DataFrame, subject_list: DataFrame, subject_lab
 
     Null and blank texts have none. Labels of other subjects than those of subject_list,
     null ones and those of unknown documents are left out, spellings differ by case
-    only; a document labelled twice with one subject counts once for it.
+    only; a document labelled twice with one subject counts once for it. Texts in a
+    language without function words in languages.py are read with the first of that list.
     """
     subjects = {r.subject: r.description or "" for r in subject_list.where("subject is not null").groupBy("subject").agg(F.min("description").alias("description")).collect()}
     coded = stored(encode_texts(documents, F.col("doc_id"), F.col("text")))
     labels = subject_labels.select(F.col("doc_id").alias("id"), F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin([s.lower() for s in subjects])).distinct().orderBy(F.xxhash64("id"), "subject").limit(LABELS)
-    model = fit(coded, {s.lower(): d for s, d in subjects.items()}, labels)
+    labels = stored(labels)
+    light = row_weights(coded)
+    model, matrix = fit(coded, None, known_terms(coded, light, labels), light, {s.lower(): d for s, d in subjects.items()}, labels)
     spelled = F.create_map(*[F.lit(x) for s in subjects for x in (s.lower(), s)]) if subjects else None
-    found = assign(coded, model, fallback if fallback in subjects else None)
+    found = assign(matrix, model, fallback if fallback in subjects else None)
     return found.select(F.col("id").alias("doc_id"), F.element_at(spelled, F.col("subject")).alias("subject"), "n_sentences") if subjects else found.withColumnRenamed("id", "doc_id")
 
 

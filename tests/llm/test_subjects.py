@@ -1,5 +1,6 @@
 """Subjects on a made corpus with known sentences."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,31 +54,69 @@ def test_empty_tables(spark):
     assert S.document_subjects(one, s.limit(0), lab).count() == 0
 
 
-def test_updates_do_not_lose_mass(spark, rng):
-    docs, _ = made(rng, 60)
-    coded = S.encode_texts(spark.createDataFrame(docs, "id long, text string"), F.col("id"), F.col("text")).cache()
-    terms = S.known_terms(coded, 0.0, 1)
-    matrix = S.term_matrix(coded, terms).cache()
-    import numpy as np
-
-    v = len(terms.hashes)
-    one = S._gather(matrix, np.ones((4, v, 1)), 0)
-    two = S._gather(matrix, np.random.default_rng(1).random((4, v, 3)), 3)
-    assert two.sum(axis=1) == pytest.approx(one.sum(axis=1), rel=1e-4, abs=1e-4)
-
+def coded_of(spark, rows):
+    return S.encode_texts(spark.createDataFrame(rows, "id long, text string"), F.col("id"), F.col("text")).cache()
 
-def pair_key(first, second):
-    codes = S.np.frombuffer(S.encoded(f"{first} {second}"), dtype=S.np.uint32)
-    keys, _, _, is_pair = S._pairs(codes, S.np.zeros(len(codes), int))
-    return keys[is_pair]
 
-
-def test_pairs_of_words_of_many_documents(spark):
+def test_updates_keep_mass_and_lower_the_divergence(spark, rng):
+    docs, _ = made(rng, 60)
+    coded = coded_of(spark, docs)
+    terms = S.known_terms(coded, {}, least=1)
+    matrix = S.term_matrix(coded, terms, {}).cache()
+    h = terms.normed(np.random.default_rng(1).random((3, len(terms.keys))))
+    one, _ = S.gathered(matrix, terms, terms.normed(np.ones((1, len(terms.keys)))), 0)
+    seen = []
+    for _ in range(4):
+        total, d = S.gathered(matrix, terms, h, 3)
+        assert total.sum(axis=0) == pytest.approx(one[0], rel=1e-4, abs=1e-4)
+        h = terms.normed(total)
+        seen.append(d)
+    assert seen == sorted(seen, reverse=True)
+
+
+def term_numbers(terms, text):
+    """The numbers of a text's terms, words before pairs, -1 for unknown ones."""
+    codes, sizes = S.encoded([text])
+    o = S.occurrences(codes, sizes)
+    keep = (codes[o.at] != 1) | o.is_pair
+    return terms.numbers(o.key[keep]), o.is_pair[keep]
+
+
+def test_words_and_pairs_of_many_documents_are_terms(spark):
     texts = ["Tennis court games of the day."] * 10 + ["Court filings of the day."] * 20 + [f"Nothing but item x{i}q of the day." for i in range(70)]
-    terms = S.known_terms(S.encode_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), F.col("id"), F.col("text")))
-    assert (terms.numbers(pair_key("tennis", "court")) >= 0).all()
-    assert (terms.numbers(pair_key("court", "filings")) >= 0).all()
-    assert (terms.numbers(pair_key("of", "the")) < 0).all()
+    coded = coded_of(spark, list(enumerate(texts)))
+    terms = S.known_terms(coded, {})
+    for text, n in (("Tennis court games of the day.", 4), ("Court filings of the day.", 3)):
+        numbers, is_pair = term_numbers(terms, text)
+        assert (numbers >= 0).all() and is_pair.sum() == n  # of the: no pair, as both are function words
+    few = S.known_terms(coded, {}, most=(3, 2))
+    assert len(few.keys) <= 5  # by rank, with the ends of sentences among the words
+
+
+def test_rank_does_not_depend_on_size_and_labelled_terms_stay(spark):
+    texts = ["The jurors met at the hearings."] * 6 + ["The rain fell on all roads."] * 400
+    coded = coded_of(spark, list(enumerate(texts)))
+    labelled = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    word = S.word_hashes(["jurors"]).astype(np.uint64) ^ S._SALT[0]
+    assert S.known_terms(coded, {}, None, (5, 5)).numbers(word)[0] < 0
+    assert S.known_terms(coded, {}, labelled, (5, 5)).numbers(word)[0] >= 0
+
+
+def test_encoding_of_signs_and_blanks():
+    words = lambda t: S.encoded([t])[0].tolist()
+    assert words("A “b”, c—d: e\u2019f.") == words("a b c d e’f.") and words("Straße.") == words("STRASSE.".replace("SS", "ß"))
+    assert S.encoded([None, "", " \n", "x"])[1].tolist() == [0, 0, 0, 2]
+    assert words("# head\n```\nx = 1\n```") == [1] and words("a. b.\n\n") == [*words("a.")[:1], 1, *words("b.")[:1], 1]
+    assert words("x_1 `y` 12 don't") == [2, 2, 0, *words("don't")]
+    codes, sizes = S.encoded(["one two.", "", "one two."])
+    assert codes[: sizes[0]].tolist() == codes[sizes[0] :].tolist()
+
+
+def test_sentences_in_another_language_keep_their_own_terms():
+    codes, sizes = S.encoded(["La liste des écluses est dans la table. The list of the locks is in the table. Il faut la voir dans la liste."])
+    o = S.occurrences(codes, sizes)
+    names = [S.languages.NAMES[t] for t in o.tongue[codes == 1]]
+    assert names == ["fr", "en", "fr"]
 
 
 def test_one_text_on_a_third_of_the_rows(spark, rng):
