@@ -47,16 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written to the checkpoint folder, so that later reads do not repeat its work."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written once as a Parquet table beside the checkpoints and read back, with column pruning and known size.
 
-    The table is deleted when the driver's JVM ends.
+    The table is deleted when the driver's JVM ends, or by discard.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
@@ -64,7 +58,17 @@ def stored(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of stored, which nothing may read any more: all that was made of it must be stored or gathered itself."""
+    jvm, path = table.sparkSession.sparkContext._jvm, getattr(table, "_stored_at", None)
+    if path:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
