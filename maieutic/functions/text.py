@@ -118,3 +118,8 @@ def user_text(messages: Column) -> Column:
 def completion_text(messages: Column) -> Column:
     """The first message's content, stripped; an empty text without one."""
     return strip(F.coalesce(F.get(messages, F.lit(0))["content"], F.lit("")))
+
+
+def unit_draw(text: Column) -> Column:
+    """A number from 0 to below 1 that a text determines: the first 32 bits of its MD5 digest."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))

@@ -20,7 +20,7 @@ def ranges(rows: DataFrame, order: Sequence[str], rows_per_part: int = 1_000_000
     from maieutic.session import stored
 
     n = max(1, -(-rows.count() // rows_per_part))
-    return stored(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    return stored((rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)).withColumn("_part", F.spark_partition_id()))
 
 
 def numbered(rows: DataFrame, order: Sequence[str], name: str = "seq", start: int = 1, rows_per_part: int = 1_000_000) -> DataFrame:

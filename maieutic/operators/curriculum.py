@@ -5,10 +5,12 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maieutic.functions.text import unit_draw
 from maieutic.operators.batches import ranges
 from maieutic.session import stored
 
@@ -32,20 +34,30 @@ def topic_weight(ema: Column, base: Column | float = 1.0, c: Curriculum = Curric
     return F.greatest(F.lit(c.least_weight), b * (1 + F.lit(c.low_reward_boost) * F.greatest(F.lit(0.0), 1 - ema)))
 
 
-def _carried(parts: DataFrame) -> dict[int, tuple[str | None, int]]:
+@dataclass(frozen=True)
+class Saved:
+    """A stored state: averages (topic, ema, weight), the topic and length of the last run, and the resets so far."""
+
+    averages: DataFrame
+    topic: str | None = None
+    count: int = 0
+    resets: int = 0
+
+
+def _carried(parts: DataFrame, topic: str | None, run: int) -> dict[int, tuple[str | None, int]]:
     """For each part the topic and the length of the run that reaches it from before.
 
     One row a part is gathered: the runs at its two ends.
     """
 
     def ends(key, pdf):
-        t = pdf.sort_values("seq")["topic"].tolist()
-        a = next((i for i, x in enumerate(t) if x != t[0]), len(t))
-        z = next((i for i, x in enumerate(reversed(t)) if x != t[-1]), len(t))
+        t = pdf.sort_values("seq")["topic"].to_numpy()
+        other, back = np.flatnonzero(t != t[0]), np.flatnonzero(t[::-1] != t[-1])
+        a, z = (int(x[0]) if len(x) else len(t) for x in (other, back))
         return pd.DataFrame([(int(key[0]), t[0], a, t[-1], z, len(t))], columns=["p", "first", "a", "last", "z", "n"])
 
     rows = parts.groupBy("_part").applyInPandas(ends, "p int, first string, a long, last string, z long, n long").collect()
-    out, topic, run = {}, None, 0
+    out = {}
     for r in sorted(rows, key=lambda r: r.p):
         out[r.p] = (topic, run)
         run = r.z + (run if r.z == r.n and r["last"] == topic else 0)
@@ -53,68 +65,118 @@ def _carried(parts: DataFrame) -> dict[int, tuple[str | None, int]]:
     return out
 
 
-def replay(episodes: DataFrame, seq: str, topic: str, reward: str, c: Curriculum = Curriculum(), rows_per_part: int = 500_000) -> DataFrame:
+def _folded(pdf: pd.DataFrame, part: int, last: str | None, run: int, c: Curriculum) -> pd.DataFrame:
+    """The rows of one part with their runs, resets, epochs counted from 0, and the affine map a * x + b that takes a topic's average where the epoch's part begins to that behind the row."""
+    pdf = pdf.sort_values("seq", ignore_index=True)
+    code, names = pd.factorize(pdf["topic"])
+    at = np.arange(len(pdf))
+    change = np.concatenate([[True], code[1:] != code[:-1]])
+    pos = at - np.maximum.accumulate(np.where(change, at, 0)) + 1
+    if names[0] == last:
+        pos[: int(np.append(np.flatnonzero(change), len(pdf))[1])] += run
+    reset = pos % c.reset_after == 0
+    local = np.cumsum(reset) - reset
+    groups = [local, code]
+    k = pdf.groupby(groups).cumcount().to_numpy()
+    reward = pdf["reward"].to_numpy()
+    b = pd.Series(np.where(k == 0, c.alpha * reward, reward)).groupby(groups).ewm(alpha=c.alpha, adjust=False).mean()
+    return pd.DataFrame(
+        {"part": np.int32(part), "seq": pdf["seq"], "topic": pdf["topic"], "reward": reward, "run": (pos - 1) % c.reset_after + 1, "reset": reset, "local": local, "a": (1 - c.alpha) ** (k + 1.0), "b": b.droplevel([0, 1]).sort_index().to_numpy()}
+    )
+
+
+def replay(episodes: DataFrame, seq: str, topic: str, reward: str, c: Curriculum = Curriculum(), rows_per_part: int = 500_000, weights: DataFrame | None = None, saved: Saved | None = None) -> DataFrame:
     """seq, topic, reward, run, reset, epoch, ema, weight, part after each episode; part is the range of seq that it was replayed in.
 
     The moving average of a topic's rewards starts at first; reset_after consecutive
     episodes of one topic reset all topics, and the row that resets shows the state
     after it. Rewards are clamped to [0, 1]; rows with a null topic or reward are left
-    out; seq must be unique.
+    out; seq must be unique. weights: topic, weight, the configured first weights, 1 for other
+    topics. saved: the state that an earlier replay left, from which this one goes on.
 
     The log is cut into ranges of seq. Resets depend on topics alone: each range needs
     the run that reaches it. An average depends on what came before only through its
-    value at the range's start, as an affine map, so ranges are folded side by side and
-    then joined along each topic: no window or list grows with the log.
+    value at the range's start, as an affine map, so ranges are folded side by side, without a
+    loop over rows, and then joined along each topic: no window or list grows with the log.
     """
     rows = episodes.select(F.col(seq).alias("seq"), F.col(topic).alias("topic"), F.col(reward).alias("reward")).where("seq is not null and topic is not null and reward is not null")
     rows = rows.withColumn("reward", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("reward"))))
     parts = ranges(rows, ["seq"], rows_per_part)
-    before = parts.sparkSession.sparkContext.broadcast(_carried(parts))
+    begin = (saved.topic, saved.count) if saved else (None, 0)
+    carried = _carried(parts, *begin)
 
     def fold(key, pdf):
-        last, run = before.value.get(int(key[0]), (None, 0))
-        epoch, state, out = 0, {}, []
-        for s, t, r in pdf.sort_values("seq")[["seq", "topic", "reward"]].itertuples(index=False):
-            run = run + 1 if t == last else 1
-            last = t
-            a, b = state.get(t, (1.0, 0.0))
-            a, b = a * (1 - c.alpha), (1 - c.alpha) * b + c.alpha * r
-            reset = run % c.reset_after == 0
-            out.append((int(key[0]), s, t, r, (run - 1) % c.reset_after + 1, reset, epoch, a, b))
-            state[t] = (a, b)
-            if reset:
-                epoch, state = epoch + 1, {}
-        return pd.DataFrame(out, columns=["part", "seq", "topic", "reward", "run", "reset", "local", "a", "b"])
-
-    folded = stored(parts.groupBy("_part").applyInPandas(fold, "part int, seq long, topic string, reward double, run long, reset boolean, local long, a double, b double"))
-    # One row a part: how many resets came before it.
-    resets = folded.groupBy("part").agg(F.count_if("reset").alias("n"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = resets.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    placed = folded.join(F.broadcast(offset), "part").withColumn("epoch", F.col("local") + F.col("before"))
-    # The state of a topic where a part begins: the maps of the parts before it in the same epoch, one a part.
-    ends = placed.groupBy("topic", "epoch", "part").agg(F.max_by(F.struct("a", "b"), "seq").alias("m"))
-    along = Window.partitionBy("topic", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.aggregate(F.collect_list("m").over(along), F.lit(c.first), lambda x, m: m["a"] * x + m["b"])
-    starts = ends.select("topic", "epoch", "part", start.alias("start")).where(F.col("start") != c.first)
-    full = placed.join(starts, ["topic", "epoch", "part"], "left")
-    ema = F.when(F.col("reset"), F.lit(c.first)).otherwise(F.col("a") * F.coalesce("start", F.lit(c.first)) + F.col("b"))
-    out = full.select("seq", "topic", "reward", "run", "reset", "epoch", ema.alias("ema"), "part")
-    return out.withColumn("weight", F.when(F.col("reset"), F.lit(1.0)).otherwise(topic_weight(F.col("ema"), 1.0, c)))
+        return _folded(pdf, int(key[0]), *carried.get(int(key[0]), (None, 0)), c)
+
+    folded = parts.groupBy("_part").applyInPandas(fold, "part int, seq long, topic string, reward double, run long, reset boolean, local long, a double, b double")
+    resets = saved.resets if saved else 0
+    first = F.lit(c.first)
+    if len(carried) > 1 or saved:
+        folded = stored(folded)
+        # One row a part: how many resets came before it.
+        earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offset = folded.groupBy("part").agg(F.count_if("reset").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        placed = folded.join(F.broadcast(offset), "part").withColumn("epoch", F.col("local") + F.col("before") + F.lit(resets))
+        # The state of a topic where a part begins: the maps of the parts before it in the same epoch, one a part.
+        ends = placed.groupBy("topic", "epoch", "part").agg(F.max_by("a", "seq").alias("a"), F.max_by("b", "seq").alias("b")).withColumn("begin", first)
+        if saved:
+            known = saved.averages.select("topic", F.col("ema").alias("_ema"), F.lit(resets).cast("long").alias("epoch"))
+            ends = ends.join(known, ["topic", "epoch"], "left").withColumn("begin", F.coalesce("_ema", "begin")).drop("_ema")
+
+        def along(key, pdf):
+            pdf = pdf.sort_values("part")
+            x, out = pdf["begin"].iloc[0], []
+            for p, a, b in zip(pdf["part"], pdf["a"], pdf["b"]):  # one step a part
+                out.append((key[0], int(key[1]), int(p), float(x)))
+                x = a * x + b
+            return pd.DataFrame(out, columns=["topic", "epoch", "part", "start"])
+
+        starts = ends.groupBy("topic", "epoch").applyInPandas(along, "topic string, epoch long, part int, start double").where(F.col("start") != first)
+        full = placed.join(starts, ["topic", "epoch", "part"], "left")
+    else:  # a log of one part begins at first everywhere
+        full = folded.withColumn("epoch", F.col("local")).withColumn("start", first)
+    base = F.lit(1.0)
+    if weights is not None:
+        full = full.join(weights.select("topic", F.col("weight").cast("double").alias("_base")), "topic", "left")
+        base = F.coalesce("_base", F.lit(1.0))
+    ema = F.when(F.col("reset"), first).otherwise(F.col("a") * F.coalesce("start", first) + F.col("b"))
+    out = full.withColumn("ema", ema).withColumn("weight", F.when(F.col("reset"), base).otherwise(topic_weight(F.col("ema"), base, c)))
+    return out.select("seq", "topic", "reward", "run", "reset", "epoch", "ema", "part", "weight")
 
 
 def _resets(replayed: DataFrame) -> int:
-    return replayed.agg(F.count_if("reset")).first()[0] or 0
+    return replayed.agg(F.max(F.col("epoch") + F.col("reset").cast("long"))).first()[0] or 0
 
 
-def latest_state(replayed: DataFrame, topics: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
-    """topic, ema, weight, resets of each topic of `topics` and each one seen since the last reset."""
-    total = _resets(replayed)
+def latest_state(replayed: DataFrame, topics: DataFrame, c: Curriculum = Curriculum(), saved: Saved | None = None) -> DataFrame:
+    """topic, ema, weight, resets of each topic of `topics` and each one seen since the last reset.
+
+    topics may have the configured first weights in a column weight. saved: the state from
+    which the replay went on, whose averages and weights hold for topics that were
+    neither seen nor reset since.
+    """
+    total = max(_resets(replayed), saved.resets if saved else 0)
     now = replayed.where(F.col("epoch") == total).groupBy("topic").agg(F.max_by("ema", "seq").alias("ema"))
-    names = topics.select("topic").where("topic is not null").distinct()
-    state = names.join(now, "topic", "full")
-    known = F.coalesce("ema", F.lit(c.first))
-    return state.select("topic", known.alias("ema"), F.when(F.col("ema").isNull(), F.lit(1.0)).otherwise(topic_weight(known, 1.0, c)).alias("weight"), F.lit(total).cast("long").alias("resets"))
+    base = F.max("weight").cast("double") if "weight" in topics.columns else F.lit(1.0)
+    state = topics.where("topic is not null").groupBy("topic").agg(base.alias("_base")).join(now, "topic", "full")
+    old = saved.averages.select("topic", F.col("ema").alias("_ema"), F.col("weight").alias("_weight")) if saved and saved.resets == total else None
+    if old is not None:
+        state = state.join(old, "topic", "full")
+    kept_ema, kept_weight = (F.col("_ema"), F.col("_weight")) if old is not None else (F.lit(None).cast("double"),) * 2
+    base = F.coalesce("_base", F.lit(1.0))
+    known = F.coalesce(F.col("ema"), kept_ema, F.lit(c.first))
+    weight = F.when(F.col("ema").isNull(), F.coalesce(kept_weight, base)).otherwise(topic_weight(known, base, c))
+    return state.select("topic", known.alias("ema"), weight.alias("weight"), F.lit(total).cast("long").alias("resets"))
+
+
+def saved_state(replayed: DataFrame, topics: DataFrame, c: Curriculum = Curriculum(), saved: Saved | None = None) -> Saved:
+    """The state behind a replay, to go on from: one row a topic, stored, and the last run."""
+    last = replayed.agg(F.max_by(F.struct("topic", "run", "reset"), "seq").alias("r")).first().r
+    averages = stored(latest_state(replayed, topics, c, saved))
+    resets = max(_resets(replayed), saved.resets if saved else 0)
+    if last is None:
+        return Saved(averages, saved.topic if saved else None, saved.count if saved else 0, resets)
+    return Saved(averages, None if last.reset else last.topic, 0 if last.reset else int(last.run), resets)
 
 
 def weakest(state: DataFrame) -> DataFrame:
@@ -186,14 +248,17 @@ def recent_topics(replayed: DataFrame, c: Curriculum = Curriculum()) -> DataFram
 def sampled_topics(requests: DataFrame, request: str, state: DataFrame, seed: int = 0) -> DataFrame:
     """request, topic: for each request a topic with a chance in proportion to its weight, at least 1e-6.
 
-    The draw is a hash of request and seed, so it does not depend on partitions or
-    order. The cumulated weights, one entry a topic, go to the executors as one array.
+    The draw is a digest of request and seed, so it depends on no partition, order or
+    engine. The topics, a setting of the run, go to the executors as one sorted table of
+    cumulated weights, which an Arrow batch searches by bisection; null without topics.
     """
-    weights = state.select("topic", F.greatest(F.lit(1e-6), F.col("weight")).alias("w")).orderBy("topic").collect()
-    total, run, bounds = sum(r.w for r in weights), 0.0, []
-    for r in weights:
-        run += r.w / total
-        bounds.append((run, r.topic))
-    table = F.array(*(F.struct(F.lit(b).alias("upto"), F.lit(t).alias("topic")) for b, t in bounds))
-    draw = F.pmod(F.xxhash64(F.col(request), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return requests.select(F.col(request).alias("request"), draw.alias("u")).select("request", F.coalesce(F.get(F.filter(table, lambda x: x["upto"] > F.col("u")), F.lit(0))["topic"], F.lit(bounds[-1][1])).alias("topic"))
+    table = state.select("topic", F.greatest(F.lit(1e-6), F.col("weight")).alias("w")).where("topic is not null").orderBy("topic").toPandas()
+    names, upto = table["topic"].to_numpy(dtype=object), np.cumsum(table["w"].to_numpy(dtype=float))
+
+    @F.pandas_udf("string")
+    def chosen(u: pd.Series) -> pd.Series:
+        if not len(names):
+            return pd.Series([None] * len(u), dtype=object)
+        return pd.Series(names[np.minimum(np.searchsorted(upto, u.to_numpy() * upto[-1], "right"), len(names) - 1)])
+
+    return requests.select(F.col(request).alias("request"), chosen(unit_draw(F.concat_ws(":", F.col(request).cast("string"), F.lit(str(seed))))).alias("topic"))

@@ -36,10 +36,10 @@ def sft_texts(examples: DataFrame, seq: str = "seq", limit: int = MAX_SFT) -> Da
 
 
 def easiest(episodes: DataFrame, topic: str, reward: str, seq: str) -> tuple[DataFrame, DataFrame]:
-    """The episode of the highest reward of each topic, and of all, as topic, task; of equal ones the earliest. Rewards that are null are left out."""
+    """The episode of the highest reward of each topic, and of all: topic, task, reward, seq; of equal ones the earliest. Rewards that are null are left out."""
     rows = episodes.where(F.col(reward).isNotNull()).select(F.col(topic).alias("topic"), F.struct(F.col(reward).alias("r"), (-F.col(seq)).alias("s"), task_text().alias("task")).alias("m"))
-    each = rows.where("topic is not null").groupBy("topic").agg(F.max("m").alias("m")).select("topic", F.col("m.task").alias("task"))
-    return each, rows.agg(F.max("m").alias("m")).select(F.col("m.task").alias("any_task")).where("any_task is not null")
+    of = lambda best: best.where("m is not null").select("topic", F.col("m.task").alias("task"), F.col("m.r").alias("reward"), (-F.col("m.s")).alias("seq"))
+    return of(rows.where("topic is not null").groupBy("topic").agg(F.max("m").alias("m"))), of(rows.agg(F.max("m").alias("m")).withColumn("topic", F.lit(None).cast("string")))
 
 
 def preference_pairs(hard: DataFrame, rejected: DataFrame, recent: DataFrame, limit: int = MAX_PAIRS) -> DataFrame:
@@ -47,22 +47,24 @@ def preference_pairs(hard: DataFrame, rejected: DataFrame, recent: DataFrame, li
 
     Part 1: the hard examples of lowest reward, each against the easiest recent task of
     its topic, or of any. Part 2: as many of the last rejected examples as part 1 left
-    room for, each below the easiest task. Equal pairs and blank rejections are dropped,
-    without others in their place. hard, rejected: with seq; recent: episodes with seq,
-    topic and reward. The easiest tasks are one a topic; only `limit` rows meet them.
+    room for, each below the easiest task. Pairs that are equal as JSON, whatever their layout, and
+    blank rejections are dropped, without others in their place. hard, rejected: with
+    seq; recent: episodes with seq, topic and reward. The easiest tasks are one a topic;
+    only `limit` rows meet them.
     """
     by_topic, any_ = easiest(recent, "topic", "reward", "seq")
+    any_task = any_.select("task").scalar()
 
     def with_easy(rows: DataFrame) -> DataFrame:
-        return rows.join(by_topic, "topic", "left").join(F.broadcast(any_)).withColumn("easy", F.coalesce("task", "any_task"))
+        return rows.join(by_topic.select("topic", "task"), "topic", "left").withColumn("easy", F.coalesce("task", any_task)).where("easy is not null")
 
+    differ = lambda a, b: ~jsons.canonical(F.col(a)).eqNullSafe(jsons.canonical(F.col(b)))
     first = hard.orderBy(F.col("reward").asc_nulls_last(), "seq").limit(limit)
-    one = with_easy(first.select("topic", "seq", "reward", "prompt", "chosen_completion")).where(~F.col("easy").eqNullSafe(F.col("chosen_completion")))
+    one = with_easy(first.select("topic", "seq", "reward", "prompt", "chosen_completion")).where(differ("easy", "chosen_completion"))
     part1 = one.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy(F.col("reward").asc_nulls_last(), "seq")).alias("position"), "prompt", F.col("chosen_completion").alias("chosen"), F.col("easy").alias("rejected"))
-    room = part1.agg((F.lit(limit) - F.count("*")).alias("room"))
     last = tail(rejected.select("topic", "seq", "prompt", "rejected_completion"), ["seq"], limit).withColumn("back", F.row_number().over(Window.orderBy(F.col("seq").desc())))
-    two = with_easy(last.join(F.broadcast(room)).where("back <= room").drop("room")).withColumn("said", strip(F.coalesce("rejected_completion", F.lit(""))))
-    part2 = two.where("said <> '' and said <> easy").select(F.lit(2).alias("part"), F.row_number().over(Window.orderBy("seq")).alias("position"), "prompt", F.col("easy").alias("chosen"), F.col("said").alias("rejected"))
+    two = with_easy(last.where(F.col("back") <= F.lit(limit) - part1.agg(F.count("*")).scalar())).withColumn("said", strip(F.coalesce("rejected_completion", F.lit(""))))
+    part2 = two.where((F.col("said") != "") & differ("said", "easy")).select(F.lit(2).alias("part"), F.row_number().over(Window.orderBy("seq")).alias("position"), "prompt", F.col("easy").alias("chosen"), F.col("said").alias("rejected"))
     return part1.unionByName(part2)
 
 

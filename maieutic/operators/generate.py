@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import resource
 import subprocess
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 
 from maieutic.session import stored
 
+# What the outcome of a run says where the program itself says nothing.
+PASSED = "Program exited successfully. No failing assertion or runtime error was reproduced."
+FAILED = "Process failed with return code {}."
+TIMED_OUT = "TimeoutError: task execution exceeded {} seconds."
+
 
 class Generator(Protocol):
     """Answers a batch of rendered prompts of one role; made once in each Python worker."""
@@ -84,11 +90,11 @@ def run_program(program: str, timeout: float = 12.0, most: int = 1600) -> tuple[
             p = subprocess.run([sys.executable, "-I", "-B", path], cwd=d, env={}, capture_output=True, text=True, errors="replace", timeout=timeout, preexec_fn=limits, check=False)
         except subprocess.TimeoutExpired as e:
             text = lambda b: b.decode("utf-8", "replace") if isinstance(b, bytes) else b or ""
-            return "timeout", -9, f"timed out after {timeout:g} s", end(text(e.stdout)), end(text(e.stderr)), time.monotonic() - began
+            return "timeout", -9, TIMED_OUT.format(timeout), end(text(e.stdout)), end(text(e.stderr)), time.monotonic() - began
     out, err = end(p.stdout), end(p.stderr)
     if p.returncode == 0:
-        return "passed", 0, "", out, err, time.monotonic() - began
-    return "failed", p.returncode, err or out or f"exit code {p.returncode}", out, err, time.monotonic() - began
+        return "passed", 0, PASSED, out, err, time.monotonic() - began
+    return "failed", p.returncode, err or out or FAILED.format(p.returncode), out, err, time.monotonic() - began
 
 
 def executed(tasks: DataFrame, key: str, program: Column, enabled: bool = False, timeout: float = 12.0, most: int = 1600) -> DataFrame:
@@ -105,3 +111,30 @@ def executed(tasks: DataFrame, key: str, program: Column, enabled: bool = False,
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=[key, *names])
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, status string, returncode int, error_message string, stdout string, stderr string, duration_seconds double")
+
+
+def with_execution(tasks: DataFrame, outcomes: DataFrame, key: str, metadata: str) -> DataFrame:
+    """tasks with execution, execution_status and observed_failure in their metadata, JSON text; outcomes as of executed.
+
+    Metadata that is null or no JSON object starts empty; a task without an outcome stays as it is.
+    """
+    names = ["status", "returncode", "error_message", "stdout", "stderr", "duration_seconds"]
+    found = outcomes.select(F.col(key).alias("_k"), F.to_json(F.struct(*names)).alias("_run"))
+
+    @F.pandas_udf("string")
+    def merged(meta, run):
+        def one(m, r):
+            if r is None:
+                return m
+            try:
+                known = json.loads(m) if m else {}
+            except ValueError:
+                known = {}
+            known = known if isinstance(known, dict) else {}
+            run = json.loads(r)
+            return json.dumps(known | {"execution": run, "execution_status": run["status"], "observed_failure": run["error_message"]}, ensure_ascii=False)
+
+        return meta.combine(run, one)
+
+    joined = tasks.join(found, tasks[key] == F.col("_k"), "left")
+    return joined.withColumn(metadata, merged(F.col(metadata), F.col("_run"))).select(*tasks.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maieutic.functions.quality import kept
-from maieutic.functions.text import filled_line_count, strip, topic_key
+from maieutic.functions.text import filled_line_count, strip, topic_key, unit_draw
 
 # Non-empty lines that a program should have, the share of short or passing ones that are sent back, and a reason's wording.
 LEAST_LINES, REPAIR_SHARE = 15, 0.5
@@ -14,8 +14,8 @@ ALREADY_RIGHT = "already correct code, there are no errors in asserts"
 
 
 def drawn(key: Column, rule: str, share: float, seed: int = 0) -> Column:
-    """True for a share of the keys: a hash decides, so the draw depends on no order and no partition."""
-    return F.pmod(F.xxhash64(key, F.lit(seed), F.lit(rule)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+    """True for a share of the keys: a digest of key, seed and rule decides, so the draw depends on no order, partition or engine."""
+    return unit_draw(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(rule))) < F.lit(share)
 
 
 def rejection_reasons(task_id: Column, topic: Column, requested: Column, program: Column, status: Column, least_lines: int = LEAST_LINES, share: float = REPAIR_SHARE, seed: int = 0) -> Column:

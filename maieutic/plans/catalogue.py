@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maieutic.functions import jsons, prompts, quality, text
 from maieutic.operators import batches, curriculum, datasets, scoring, validation
-from maieutic.plans.oracle import ORACLE
+from maieutic.plans.oracle import JUDGE_CASES, ORACLE, TASK_CASES
 from maieutic.session import stored
 from maieutic.sources import logs, read_table
 
@@ -212,7 +212,7 @@ def q_grading_prompts(e):
     item = F.struct("episode_id", grading_item().alias("item"))
     b = _episodes(e).groupBy("batch_id").agg(F.array_sort(F.collect_list(item)).alias("items"))  # four rows a batch
     t = prompts.grading_text(F.transform("items", lambda x: x["item"]))
-    return b.select("batch_id", F.size("items").alias("n_items"), F.regexp_extract(t, "^N = (\\d+)", 1).cast("int").alias("n_said"), F.size(F.from_json(F.substring_index(t, "\n\n", -1), "array<struct<topic:string>>")).alias("n_json"))
+    return b.select("batch_id", F.size("items").alias("n_items"), F.regexp_extract(t, "^N = (\\d+)", 1).cast("int").alias("n_said"), md5(t).alias("prompt_md5"))
 
 
 # ---- JSON
@@ -251,6 +251,23 @@ def q_judge_items(e):
     return _judged(e).select("episode_id", item.alias("item")).select("episode_id", F.get_json_object("item", "$.task_quality").cast("double").alias("task_quality"), F.get_json_object("item", "$.score").cast("double").alias("score"))
 
 
+def _cases(table, cases):
+    return table.sparkSession.sql(f"SELECT * FROM VALUES {cases} AS t(case, payload)")
+
+
+@query("pointers")
+def q_task_cases(p):
+    """Tasks whose lists of checks are empty, texts or missing."""
+    task, reasons = jsons.parsed_task(F.col("payload"), F.lit("T"))
+    return _cases(p, TASK_CASES).select("case", F.array_join(task["failing_asserts"], "|").alias("asserts"), task["buggy_solution"].alias("program"), task["red_spec"]["target_function"].alias("target"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+@query("pointers")
+def q_judge_cases(p):
+    """Graders' replies whose items are empty, zero, or under another key."""
+    return _cases(p, JUDGE_CASES).select("case", F.array_join(jsons.judge_items(F.col("payload"), 2), "|").alias("items"))
+
+
 @query("red_rejections!")
 def q_metadata_specs(r):
     meta = F.to_json(F.struct(F.struct(F.col("spec.topic"), F.col("spec.target_function"), F.col("spec.intended_bug"), F.col("spec.expected_first_failure")).alias("red_spec")))
@@ -264,7 +281,7 @@ def q_metadata_specs(r):
 @query("episodes!")
 def q_rejection_reasons(e):
     status = F.when(F.get_json_object("task.metadata", "$.observed_failure") == "", "passed").otherwise("failed")
-    r = validation.rejection_reasons(F.col("task.task_id"), F.col("task.topic"), F.col("topic"), F.col("task.buggy_solution"), status, share=1.0)
+    r = validation.rejection_reasons(F.col("task.task_id"), F.col("task.topic"), F.col("topic"), F.col("task.buggy_solution"), status)
     return e.select("episode_id", F.array_join(r, "; ").alias("reasons"))
 
 
@@ -359,10 +376,10 @@ def q_evaluated(e):
 
 @query("episodes!")
 def q_scored_pairs(e):
-    """The same from rendered prompts alone, as a trainer's reward function sees them, without a spread."""
+    """The same from rendered prompts alone, as a trainer's reward function sees them; a bare number grades each."""
     prompt = prompts.tutor_text(F.col("task.statement"), datasets.program_of(), datasets.failure_of(F.col("task.metadata")))
     rows = _episodes(e).select("episode_id", "batch_id", prompt.alias("p"), F.coalesce("score", F.lit(0.0)).cast("string").alias("item"), F.coalesce("hint.text", F.lit("")).alias("h"))
-    out = scoring.assemble(rows, ["batch_id"], "item", "h", quality.prompt_context(F.col("p")), apply_spread=False)
+    out = scoring.assemble(rows, ["batch_id"], "item", "h", quality.prompt_context(F.col("p")))
     return out.select("episode_id", r6("adjusted_score").alias("adjusted_score"), F.array_join("quality.reasons", "; ").alias("reasons"))
 
 
@@ -387,6 +404,28 @@ def q_curriculum_state(e):
     return curriculum.latest_state(_replayed(e), _topics(e)).select("topic", F.round("ema", 9).alias("ema"), F.round("weight", 9).alias("weight"), "resets")
 
 
+def _configured(e):
+    """Topics with first weights, as a configuration would give them."""
+    return _topics(e).withColumn("weight", F.lit(0.5) + F.pmod(F.length("topic"), F.lit(4)) / 4)
+
+
+@query("episodes!")
+def q_weighted_replay(e):
+    r = curriculum.replay(_episodes(e), "seq", "topic", "reward", weights=_configured(e))
+    return r.select("seq", "topic", F.round("weight", 9).alias("weight"))
+
+
+@query("episodes!")
+def q_resumed_state(e):
+    """The log in two runs, the second of which goes on from the state that the first one left."""
+    log, topics = _episodes(e), _configured(e)
+    earlier = F.col("seq") <= 300
+    begun = stored(curriculum.replay(log.where(earlier), "seq", "topic", "reward", weights=topics))
+    left = curriculum.saved_state(begun, topics)
+    went_on = stored(curriculum.replay(log.where(~earlier), "seq", "topic", "reward", weights=topics, saved=left))
+    return curriculum.latest_state(went_on, topics, saved=left).select("topic", F.round("ema", 9).alias("ema"), F.round("weight", 9).alias("weight"), "resets")
+
+
 @query("episodes!")
 def q_weakest_topic(e):
     return curriculum.weakest(curriculum.latest_state(_replayed(e), _topics(e)).withColumn("ema", F.round("ema", 9))).select("topic", "ema")
@@ -447,16 +486,14 @@ def q_topped_up(e, h):
 
 @query("episodes!")
 def q_easiest(e):
-    w = Window.partitionBy("topic").orderBy(F.col("reward").desc(), "seq")
-    rows = _episodes(e).where("topic is not null and reward is not null")
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("topic", "episode_id", "reward")
+    return datasets.easiest(_episodes(e), "topic", "reward", "seq")[0].select("topic", F.col("seq").alias("episode_id"), "reward")
 
 
 @query("hard_examples!", "red_rejections!", "episodes!")
 def q_preference_pairs(h, r, e):
-    rejected = r.select("*", F.conv(F.substring("example_id", 1, 12), 16, 10).cast("long").alias("seq"))
-    p = datasets.preference_pairs(_hard(h), rejected, _recent(e))
-    return p.select("part", "position", md5("prompt").alias("prompt_md5"), F.length("chosen").alias("n_chosen"), F.length("rejected").alias("n_rejected"))
+    rejected = r.select("*", F.col("example_id").alias("seq"))  # the table keeps no order of its own
+    p = datasets.preference_pairs(_hard(h).where("seq is not null"), rejected, _recent(e))
+    return p.select("part", "position", md5("prompt").alias("prompt_md5"), md5("chosen").alias("chosen_md5"), md5("rejected").alias("rejected_md5"))
 
 
 @query("episodes!")

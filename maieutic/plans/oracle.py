@@ -80,9 +80,9 @@ def joined(*pairs: tuple[str, str]) -> str:
 
 _CONTEXT3 = f"array_to_string(list_filter(list_transform(coalesce(task.failing_asserts, []::VARCHAR[]), lambda x: {strip('x')}), lambda x: x <> '')[:3], chr(10))"
 _ERRNAME = r"regexp_extract({x}, '\b([A-Za-z_][A-Za-z0-9_]*(?:Error|Exception))\b', 1)"
-def quality_of(hint: str) -> str:
+def quality_of(hint: str, checks: str = _CONTEXT3) -> str:
     return f"""
-c AS (SELECT episode_id, {hint} AS t, lower({hint}) AS low, {own(f"({PROGRAM}) || chr(10) || {FAILURE} || chr(10) || {_CONTEXT3}")} AS allowed, {_CONTEXT3} AS checks, {_ERRNAME.format(x=FAILURE)} AS name, {FAILURE} AS failure FROM ep),
+c AS (SELECT episode_id, {hint} AS t, lower({hint}) AS low, {own(f"({PROGRAM}) || chr(10) || {FAILURE} || chr(10) || {checks}")} AS allowed, {checks} AS checks, {_ERRNAME.format(x=FAILURE)} AS name, {FAILURE} AS failure FROM ep),
 d AS (SELECT *, {own('t')} AS names, list_distinct(list_concat(flatten(list_transform(regexp_extract_all(t, '`([^`]+)`', 1), lambda m: {own('m')})), regexp_extract_all(t, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1))) AS candidates FROM c),
 g AS (SELECT *, len(list_filter(names, lambda i: list_contains(allowed, i))) AS m, list_sort(list_filter(candidates, lambda i: len(i) > 1 AND NOT list_contains(allowed, i) AND NOT list_contains({texts(quality.IGNORED)}, i))) AS alien,
   (len(t) - len(replace(t, '`', ''))) % 2 = 1 AS odd, len(list_filter({own('checks')}, lambda i: list_contains({ids('t')}, i))) AS hits, {number_of('low', quality.GENERIC)} AS generic,
@@ -104,6 +104,60 @@ _DELTA = """CAST((CASE WHEN odd THEN -1.1 ELSE 0 END) + (CASE WHEN name <> '' AN
  - (CASE WHEN generic > 0 AND m < 2 THEN least(0.8, 0.25 * generic) ELSE 0 END) - (CASE WHEN len(alien) > 0 THEN least(2.6, 1.0 * len(alien)) ELSE 0 END)
  + (CASE WHEN nocompile AND name <> '' AND contains(low, lower(name)) THEN 0.25 ELSE 0 END) + (CASE WHEN nocompile AND saw THEN 0.45 ELSE 0 END) - (CASE WHEN nocompile AND NOT saw THEN 2.4 ELSE 0 END) AS DOUBLE)"""
 
+def draw(x: str) -> str:
+    """A number from 0 to below 1 out of a text's digest."""
+    return f"CAST(CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+
+
+#: Cases of answers, in SQL that both engines read.
+TASK_CASES = r"""
+('empty list, filled asserts', '{"buggy_solution": "x = 1", "failing_asserts": [], "asserts": ["assert x == 2"], "target_function": "f"}'),
+('empty text, filled asserts', '{"buggy_solution": "x = 1", "failing_asserts": "", "asserts": ["assert x == 2", " "]}'),
+('a text', '{"buggy_solution": "x = 1", "failing_asserts": "assert x == 3"}'),
+('neither', '{"buggy_solution": "x = 1", "failing_asserts": null, "asserts": false}'),
+('no program', '{"failing_asserts": ["assert x"]}'),
+('no object', '[1]')
+"""
+JUDGE_CASES = r"""
+('empty object', '{"items": {}, "scores": [1, 2]}'),
+('zero', '{"items": 0, "results": [3, 4]}'),
+('false and empty', '{"items": false, "scores": [], "results": [{"a": 1}, 5]}'),
+('wrong number', '{"items": [1, 2, 3], "scores": [1, 2]}'),
+('an array', '[1, 2]'),
+('a text', '{"items": "x", "scores": [1, 2]}')
+"""
+
+
+def something(path: str) -> str:
+    return f"CASE WHEN coalesce(json_extract_string(payload, '$.{path}'), '') NOT IN ('', '[]', '{{}}', '0', '0.0', '-0.0', 'false', 'null') THEN json_extract(payload, '$.{path}') END"
+
+
+def task_json(t: str) -> str:
+    """The JSON text of a task, as written by the engine."""
+    text = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+    meta = ", ".join(f"""'"{k}":' || {text(js(f'{t}.metadata', k))}""" for k in ("failure_mode", "difficulty", "observed_failure", "execution_status"))
+    fields = {
+        "topic": f"coalesce({t}.topic, '')",
+        "target_function": f"coalesce({js(f'{t}.metadata', 'red_spec.target_function')}, '')",
+        "intended_bug": f"coalesce({js(f'{t}.metadata', 'red_spec.intended_bug')}, {js(f'{t}.metadata', 'failure_mode')}, '')",
+        "expected_first_failure": f"coalesce({js(f'{t}.metadata', 'red_spec.expected_first_failure')}, {FAILURE})",
+        "statement": f"coalesce({t}.statement, '')",
+        "buggy_solution": f"({PROGRAM})",
+    }
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {text(v)}""" for k, v in fields.items()) + f""" || ',"metadata":{{' || concat_ws(',', {meta}) || '}}}}'"""
+
+
+_ITEM = {
+    "topic": "coalesce(topic, '')",
+    "statement": "left(coalesce(task.statement, ''), 600)",
+    "buggy_code": f"left({PROGRAM}, 2200)",
+    "observed_failure": f"left({FAILURE}, 1200)",
+    "execution_status": f"coalesce(nullif({js('task.metadata', 'execution_status')}, ''), 'failed')",
+    "assistant_response": "left(coalesce(nullif(hint.raw_text, ''), hint.text, ''), 1800)",
+}
+_ITEM_JSON = "'{' || " + " || ',' || ".join(f"""'"{k}":' || CAST(to_json({v}) AS VARCHAR)""" for k, v in _ITEM.items()) + " || '}'"
+_BASES = "w AS (SELECT DISTINCT topic, CAST(0.5 AS DOUBLE) + (length(topic) % 4) / CAST(4 AS DOUBLE) AS base FROM s WHERE topic IS NOT NULL)"
+
 _ISLANDS = f"""
 WITH {LOG},
 r AS (SELECT seq, topic, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), reward)) AS reward FROM s WHERE topic IS NOT NULL AND reward IS NOT NULL),
@@ -159,7 +213,7 @@ ORACLE: dict[str, str] = {
     "q_checkpoint_prune": r"WITH n AS (SELECT DISTINCT regexp_extract(value, 'checkpoints/(\w+)/', 1) AS role, value AS name FROM pointers WHERE value IS NOT NULL) SELECT role, name FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY name DESC) AS r FROM n) WHERE r > 2",
     "q_log_events": f"WITH {_PARSED} SELECT line_no, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%g') AS ts, level, event, payload IS NOT NULL AS readable, CAST(json_extract_string(payload, '$.episode_id') AS BIGINT) AS episode_id FROM v",
     "q_log_event_counts": f"WITH {_PARSED} SELECT event, level, count(*) AS n, count(*) FILTER (WHERE payload IS NULL) AS unreadable FROM u GROUP BY event, level",
-    "q_log_gaps": f"WITH {_PARSED}, w AS (SELECT event, epoch_us(CAST(ts AS TIMESTAMP)) - lag(epoch_us(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY event, date_trunc('day', CAST(ts AS TIMESTAMP)) ORDER BY ts, line_no) AS g FROM u) SELECT event, count(g) AS n, round(avg(g / 1e6), 6) AS mean_gap_s, max(g / 1e6) AS max_gap_s FROM w GROUP BY event",
+    "q_log_gaps": f"WITH {_PARSED}, w AS (SELECT event, epoch_us(CAST(ts AS TIMESTAMP)) - lag(epoch_us(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY event ORDER BY ts, line_no) AS g FROM u) SELECT event, count(g) AS n, round(avg(g / 1e6), 6) AS mean_gap_s, max(g / 1e6) AS max_gap_s FROM w GROUP BY event",
     "q_line_counts": f"WITH {EP} SELECT episode_id, CAST({N_LINES} AS INTEGER) AS n_lines FROM ep",
     "q_combined_programs": f"WITH {EP} SELECT episode_id, len({PROGRAM}) AS n_chars, md5({PROGRAM}) AS program_md5, {FAILURE} AS failure FROM ep",
     "q_split_asserts": f"""WITH {EP}, x AS (SELECT episode_id, {lines("coalesce(task.buggy_solution, '')")} AS ls FROM ep), y AS (SELECT episode_id, list_filter(ls, lambda x: starts_with({strip("x")}, 'assert ')) AS checks, list_filter(ls, lambda x: NOT starts_with({strip("x")}, 'assert ')) AS body FROM x)
@@ -179,7 +233,7 @@ md5('Write the program of this plan.' || chr(10) || coalesce(spec, '{{}}') || ch
 md5('Write the spec for topic ''' || topic || ''' anew. Against the last one: ' || why || '. Answer with JSON only.') AS spec_repair_md5,
 md5('Write the task for topic ''' || topic || ''' anew. Against the last one: ' || why || '. Answer with JSON only.' || coalesce(chr(10) || 'Keep to this plan: ' || spec, '')) AS task_repair_md5,
 md5(training) AS training_md5, md5(training || ' Reproduced failure: ' || left(failure, 600)) AS hard_md5 FROM y""",
-    "q_grading_prompts": f"WITH {LOG} SELECT batch_id, CAST(count(*) AS INTEGER) AS n_items, CAST(count(*) AS INTEGER) AS n_said, CAST(count(*) AS INTEGER) AS n_json FROM s GROUP BY batch_id",
+    "q_grading_prompts": f"WITH {LOG}, i AS (SELECT batch_id, count(*) AS n, string_agg({_ITEM_JSON}, ',' ORDER BY episode_id) AS items FROM s GROUP BY batch_id) SELECT batch_id, CAST(n AS INTEGER) AS n_items, CAST(n AS INTEGER) AS n_said, md5('N = ' || n || chr(10) || chr(10) || '[' || items || ']') AS prompt_md5 FROM i",
     "q_salvaged": f"WITH {HX}, {_SALVAGE_O} SELECT example_id, json_extract_string(o, '$.target_function') AS target_function, {_OBJ} AS is_object, coalesce(json_type(a) = 'ARRAY', false) AS is_array FROM y",
     "q_parsed_specs": f"WITH {HX}, {_SALVAGE_O}, r AS (SELECT *, {_SPEC_REASONS} AS reasons FROM y) SELECT example_id, CASE WHEN reasons = '' THEN {at('target_function')} END AS target_function, CASE WHEN reasons = '' THEN {at('intended_bug')} END AS intended_bug, reasons FROM r",
     "q_parsed_tasks": f"""WITH {HX}, {_SALVAGE_O}, l AS (SELECT example_id, o, {_OBJ} AS ok, {lines(at('buggy_solution'))} AS ls FROM y),
@@ -194,7 +248,7 @@ SELECT episode_id, round(model_score, 6) AS model_score, round(score, 6) AS scor
     "q_judge_items": f"WITH {EP}, {_JUDGED} SELECT episode_id, CAST(json_extract_string(item, '$.task_quality') AS DOUBLE) AS task_quality, CAST(json_extract_string(item, '$.score') AS DOUBLE) AS score FROM j5",
     "q_metadata_specs": f"""WITH {RX}, x AS (SELECT example_id, topic, {strip("coalesce(spec.target_function, '')")} AS f, {strip("coalesce(spec.intended_bug, '')")} AS b, {strip("coalesce(spec.expected_first_failure, '')")} AS e, {strip("coalesce(spec.topic, '')")} AS t FROM rx)
 SELECT example_id, CASE WHEN f || b || e <> '' THEN coalesce(nullif(t, ''), topic) END AS topic, CASE WHEN f || b || e <> '' THEN f END AS target_function, CASE WHEN f || b || e <> '' THEN b END AS intended_bug, CASE WHEN f || b || e <> '' THEN e END AS expected_first_failure FROM x""",
-    "q_rejection_reasons": f"WITH {EP}, x AS (SELECT episode_id, {key("coalesce(task.topic, '')")} AS a, {key("coalesce(topic, '')")} AS b, {N_LINES} AS n, {js('task.metadata', 'observed_failure')} AS f FROM ep) SELECT episode_id, {joined(('a <> b', 'wrong topic'), ('n < 15', 'too short'), ("f = ''", validation.ALREADY_RIGHT))} AS reasons FROM x",
+    "q_rejection_reasons": f"WITH {EP}, x AS (SELECT episode_id, {key("coalesce(task.topic, '')")} AS a, {key("coalesce(topic, '')")} AS b, {N_LINES} AS n, {js('task.metadata', 'observed_failure')} AS f, {draw("task.task_id || ':0:short'")} AS u, {draw("task.task_id || ':0:passed'")} AS v FROM ep) SELECT episode_id, {joined(('a <> b', 'wrong topic'), ('n < 15 AND u < 0.5', 'too short'), ("f = '' AND v < 0.5", validation.ALREADY_RIGHT))} AS reasons FROM x",
     "q_rejections_with_text": f"WITH {RX} SELECT example_id, len({strip('rejected_completion')}) AS n_chars FROM rx WHERE {strip('coalesce(rejected_completion, chr(32))')} <> ''",
     "q_judge_gate": f"WITH {EP} SELECT episode_id, CASE WHEN coalesce(CAST({js('judge.metadata', 'valid')} AS BOOLEAN), true) THEN 'episode' ELSE 'rejected' END AS goes_to FROM ep",
     "q_corruption": f"WITH m AS (SELECT doc_id, coalesce(text || [' \U0001f600', ' 汉字', ' Привет', ' سلام', ' â€™', ' �', ' Traceback encode'][doc_id % 7 + 1], '') AS t FROM documents), l AS (SELECT *, lower(t) AS low FROM m) SELECT doc_id, {joined(*_CORRUPT)} AS reasons FROM l",
@@ -219,4 +273,39 @@ SELECT example_id, CASE WHEN f || b || e <> '' THEN coalesce(nullif(t, ''), topi
     "q_tutor_dataset": f"WITH {LOG} SELECT seq, md5({strip(_TUTOR)}) AS user_md5, 2 AS n_messages FROM (SELECT * FROM s ORDER BY seq DESC LIMIT 10)",
     "q_zipped_batches": f"WITH {LOG} SELECT batch_id, CAST((episode_id - 1) % 4 AS INTEGER) AS idx, task.task_id AS task_id, task.task_id = hint.task_id AS agrees FROM s",
     "q_episode_debug": f"WITH {LOG} SELECT episode_id, batch_id, topic, task.task_id AS task_id, CAST({N_LINES} AS INTEGER) AS n_lines, {FAILURE} AS failure, len(hint.text) AS n_hint, score, round(reward, 6) AS reward, metadata.red_adapter AS red_adapter FROM s",
+    "q_scored_pairs": f"""WITH {EP}, {quality_of("coalesce(hint.text, '')", "''")},
+v AS (SELECT g.episode_id, CAST(floor((g.episode_id - 1) / 4.0) AS BIGINT) AS batch_id, greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), coalesce(judge.score, CAST(0 AS DOUBLE)))) AS model_score, {' OR '.join(f'({c})' for c, _ in _CORRUPT)} AS corrupt, len(alien) > 0 AND odd AS severe, {_DELTA} AS delta, odd, generic, m, alien, nocompile, saw FROM g JOIN ep USING (episode_id)),
+s AS (SELECT *, CASE WHEN corrupt OR severe THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), model_score + delta)) END AS score FROM v)
+SELECT episode_id, round(CASE WHEN corrupt OR severe THEN CAST(0 AS DOUBLE) ELSE {_SPREAD} END, 6) AS adjusted_score, {joined(("odd", "unbalanced_backticks"), ("generic > 0 AND m < 2", "generic_hint"), ("len(alien) > 0", "hallucinated_identifiers"), ("nocompile AND NOT saw", "missed_compile_failure"))} AS reasons FROM s WINDOW b AS (PARTITION BY batch_id)""",
+    "q_weighted_replay": _ISLANDS + f", {_BASES} SELECT seq, topic, round(CASE WHEN reset THEN base ELSE base * weight END, 9) AS weight FROM z JOIN w USING (topic)",
+    "q_resumed_state": _ISLANDS + f", {_BASES} SELECT topic, round(ema, 9) AS ema, round(base * weight, 9) AS weight, resets FROM state JOIN w USING (topic)",
+    "q_boosted_weights": _ISLANDS + """, n AS (SELECT row_number() OVER (ORDER BY seq) AS n, seq, epoch + CAST(reset AS INTEGER) AS epoch FROM z),
+g AS (SELECT n.n, n.seq, n.epoch, t.topic FROM n, (SELECT topic FROM state) t WHERE n.n % 8 = 0),
+h AS (SELECT g.n, g.seq, g.topic, CASE WHEN k.epoch = g.epoch AND NOT k.reset THEN k.ema ELSE CAST(0.5 AS DOUBLE) END AS ema FROM g ASOF LEFT JOIN z k ON g.topic = k.topic AND g.seq >= k.seq),
+f2 AS (SELECT seq, topic FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY ema, topic) AS r FROM h) WHERE r = 1),
+since AS (SELECT max(seq) AS seq FROM z WHERE reset),
+seen AS (SELECT topic, max(seq) AS seen FROM z GROUP BY topic),
+b AS (SELECT f2.topic, count(*) AS n FROM f2 LEFT JOIN seen USING (topic) WHERE f2.seq >= coalesce(greatest(seen, (SELECT seq FROM since)), 0) GROUP BY 1)
+SELECT state.topic, round(greatest(CAST(0.001 AS DOUBLE), weight * pow(CAST(1.15 AS DOUBLE), coalesce(b.n, 0))), 6) AS weight FROM state LEFT JOIN b USING (topic)""",
+    "q_sampled_topics": _ISLANDS + f""", c AS (SELECT topic, sum(greatest(CAST(1e-6 AS DOUBLE), weight)) OVER (ORDER BY topic) AS upto FROM state),
+dr AS (SELECT episode_id, {draw("episode_id || ':0'")} * (SELECT max(upto) FROM c) AS u FROM s),
+pick AS (SELECT episode_id, (SELECT min(upto) FROM c WHERE upto > dr.u) AS upto FROM dr)
+SELECT topic, count(*) AS n FROM pick JOIN c USING (upto) GROUP BY topic""",
+    "q_preference_pairs": f"""WITH {LOG}, {HX}, {RX}, e AS (SELECT * FROM s ORDER BY seq DESC LIMIT 256),
+best AS (SELECT topic, {task_json('task')} AS task FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY reward DESC, seq) AS rn FROM e WHERE topic IS NOT NULL AND reward IS NOT NULL) WHERE rn = 1),
+any_ AS (SELECT {task_json('task')} AS task FROM (SELECT * FROM e WHERE reward IS NOT NULL ORDER BY reward DESC, seq LIMIT 1)),
+f1 AS (SELECT topic, metadata.episode_id AS seq, reward, prompt, chosen_completion FROM hx WHERE metadata.episode_id IS NOT NULL ORDER BY reward NULLS LAST, seq LIMIT 128),
+one AS (SELECT f1.*, coalesce(best.task, (SELECT task FROM any_)) AS easy FROM f1 LEFT JOIN best USING (topic)),
+p1 AS (SELECT 1 AS part, row_number() OVER (ORDER BY reward NULLS LAST, seq) AS position, md5(prompt) AS prompt_md5, md5(chosen_completion) AS chosen_md5, md5(easy) AS rejected_md5 FROM one WHERE easy IS DISTINCT FROM chosen_completion),
+l AS (SELECT *, row_number() OVER (ORDER BY example_id DESC) AS back FROM rx),
+two AS (SELECT l.example_id, l.prompt, {strip("coalesce(rejected_completion, '')")} AS said, coalesce(best.task, (SELECT task FROM any_)) AS easy FROM l LEFT JOIN best USING (topic) WHERE back <= 128 - (SELECT count(*) FROM p1)),
+p2 AS (SELECT 2 AS part, row_number() OVER (ORDER BY example_id) AS position, md5(prompt) AS prompt_md5, md5(easy) AS chosen_md5, md5(said) AS rejected_md5 FROM two WHERE said <> '' AND said <> easy)
+SELECT * FROM p1 UNION ALL SELECT * FROM p2""",
+    "q_task_cases": f"""WITH t AS (SELECT * FROM (VALUES {TASK_CASES}) AS v("case", payload)),
+g AS (SELECT "case", payload, json_type(payload) = 'OBJECT' AS ok, trim(coalesce(json_extract_string(payload, '$.buggy_solution'), '')) AS program, coalesce({something('failing_asserts')}, {something('asserts')}) AS given FROM t),
+a AS (SELECT *, CASE WHEN NOT ok THEN 'non-json response' WHEN program = '' THEN 'missing buggy_solution' ELSE '' END AS reasons, CASE WHEN json_type(given) = 'ARRAY' THEN list_filter(CAST(given AS VARCHAR[]), lambda x: trim(x) <> '') WHEN given IS NOT NULL THEN [given ->> '$'] ELSE [] END AS listed FROM g)
+SELECT "case", CASE WHEN reasons = '' THEN array_to_string(listed, '|') END AS asserts, CASE WHEN reasons = '' THEN program END AS program, CASE WHEN reasons = '' THEN coalesce(json_extract_string(payload, '$.target_function'), '') END AS target, reasons FROM a""",
+    "q_judge_cases": f"""WITH t AS (SELECT * FROM (VALUES {JUDGE_CASES}) AS v("case", payload)),
+g AS (SELECT "case", CASE WHEN json_type(payload) = 'ARRAY' THEN CAST(payload AS JSON) ELSE coalesce({something('items')}, {something('scores')}, {something('results')}) END AS items FROM t)
+SELECT "case", CASE WHEN json_type(items) = 'ARRAY' AND json_array_length(items) = 2 THEN array_to_string(list_transform(CAST(items AS JSON[]), lambda x: CAST(x AS VARCHAR)), '|') ELSE '0.0|0.0' END AS items FROM g""",
 }

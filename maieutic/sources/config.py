@@ -1,4 +1,4 @@
-"""Settings of the data plane, from a mapping or a JSON file; unknown keys are dropped."""
+"""Settings of the data plane, from a mapping or a JSON or YAML file; unknown keys are dropped."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ def settings(values: Mapping[str, Any]) -> Settings:
             if isinstance(v, Mapping) and k not in ("topics", "reward_weights"):
                 walk(v)
             else:
-                flat[k] = v
+                flat[_NAMES.get(k, k)] = v
 
     walk(values)
     topics = flat.get("topics") or {}
@@ -74,5 +74,17 @@ def settings(values: Mapping[str, Any]) -> Settings:
     return Settings(**out)
 
 
+#: Keys of a configuration file that go under another name here.
+_NAMES = {"max_red_generation_attempts": "max_attempts", "capture_max_chars": "max_capture_chars"}
+
+
 def load_settings(path: str) -> Settings:
-    return settings(json.loads(Path(path).read_text(encoding="utf-8")))
+    """Settings of a JSON file, or of a YAML file where a YAML reader is installed."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.lower().endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("reading YAML needs a YAML package; use JSON instead") from e
+        return settings(yaml.safe_load(text))
+    return settings(json.loads(text))

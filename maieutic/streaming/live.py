@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,8 +16,8 @@ from maieutic.operators.scoring import SPREAD, clamp
 class _Averages(StatefulProcessor):
     """Averages of all topics of one run. The reset looks across topics, so a run is one key."""
 
-    def __init__(self, c: Curriculum):
-        self.c = c
+    def __init__(self, c: Curriculum, weights: Mapping[str, float]):
+        self.c, self.weights = c, dict(weights)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ema = handle.getMapState("ema", "topic string", "ema double")
@@ -39,7 +39,8 @@ class _Averages(StatefulProcessor):
                 topic, length, resets, ema = None, 0, resets + 1, c.first
             else:
                 self.ema.updateValue((t,), (ema,))
-            weight = 1.0 if reset else max(c.least_weight, 1 + c.low_reward_boost * max(0.0, 1 - ema))
+            base = self.weights.get(t, 1.0)
+            weight = base if reset else max(c.least_weight, base * (1 + c.low_reward_boost * max(0.0, 1 - ema)))
             out.append((key[0], int(s), t, float(ema), float(weight), int(resets)))
         self.run.update((topic, length, resets))
         yield pd.DataFrame(out, columns=["run", "seq", "topic", "ema", "weight", "resets"])
@@ -48,15 +49,15 @@ class _Averages(StatefulProcessor):
         pass
 
 
-def live_averages(episodes: DataFrame, run: str = "run", c: Curriculum = Curriculum()) -> DataFrame:
+def live_averages(episodes: DataFrame, run: str = "run", c: Curriculum = Curriculum(), weights: Mapping[str, float] | None = None) -> DataFrame:
     """run, seq, topic, ema, weight, resets after each episode of a stream with run, seq, topic and reward.
 
     Rows of one micro-batch are taken in order of seq; a row that arrives in a later
-    one counts then. Needs the RocksDB state store and a checkpoint location.
+    one counts then. weights: the configured first weights, 1 for other topics. Needs the RocksDB state store and a checkpoint location.
     """
     rows = episodes.select(F.col(run).alias("run"), "seq", "topic", "reward").where("topic is not null and reward is not null")
     schema = "run string, seq long, topic string, ema double, weight double, resets long"
-    return rows.groupBy("run").transformWithStateInPandas(_Averages(c), schema, "Append", "None")
+    return rows.groupBy("run").transformWithStateInPandas(_Averages(c, weights or {}), schema, "Append", "None")
 
 
 def scored_batches(sink: Callable[[DataFrame, int], None], fraction: float = 0.25, strength: float = SPREAD) -> Callable[[DataFrame, int], None]:

@@ -1,11 +1,13 @@
 """Scoring, curriculum, mining, data sets and sources on golden values and small folds."""
 
+import json
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from maieutic.functions import prompts, quality
 from maieutic.operators import batches, curriculum, datasets, generate, scoring, validation
 from maieutic.sources import logs
 from maieutic.sources.config import settings
@@ -252,3 +254,53 @@ def test_execution_is_off_unless_enabled(spark):
 
 def test_mining_count_is_a_ceiling():
     assert [max(1, math.ceil(n * 0.25)) for n in (1, 4, 5, 8)] == [1, 1, 2, 2]
+
+
+def test_settings_from_yaml(tmp_path):
+    pytest.importorskip("yaml")
+    from maieutic.sources.config import load_settings
+
+    path = tmp_path / "run.yaml"
+    path.write_text("runtime:\n  iteration_size: 4\ntask_execution:\n  capture_max_chars: 99\n  max_red_generation_attempts: 7\ncurriculum:\n  topics:\n    - name: A\n      weight: 2\n    - B\n", encoding="utf-8")
+    s = load_settings(str(path))
+    assert (s.iteration_size, s.max_capture_chars, s.max_attempts, dict(s.topics)) == (4, 99, 7, {"A": 2.0, "B": 1.0})
+
+
+def test_replay_with_weights_and_from_a_stored_state(spark):
+    rng = random.Random(9)
+    c, base = curriculum.Curriculum(), {"a": 2.0, "b": 0.25, "c": 1.0}
+    log = [(i, rng.choice("aab"), rng.random()) for i in range(1, 90)]
+    topics = spark.createDataFrame(list(base.items()), "topic string, weight double")
+    df = spark.createDataFrame(log, "seq long, topic string, reward double")
+    whole = curriculum.replay(df, "seq", "topic", "reward", weights=topics).cache()
+    for r in whole.collect():
+        assert r.weight == pytest.approx(base[r.topic] if r.reset else base[r.topic] * (1 + 1.5 * (1 - r.ema)))
+    for at in (0, 1, 37, 60, 88):
+        left = curriculum.saved_state(curriculum.replay(df.where(F.col("seq") <= at), "seq", "topic", "reward", weights=topics), topics)
+        rest = curriculum.replay(df.where(F.col("seq") > at), "seq", "topic", "reward", rows_per_part=20, weights=topics, saved=left).cache()
+        want = {r.seq: r for r in whole.where(F.col("seq") > at).collect()}
+        for r in rest.collect():
+            w = want[r.seq]
+            assert (r.run, r.reset, r.epoch) == (w.run, w.reset, w.epoch) and r.ema == pytest.approx(w.ema) and r.weight == pytest.approx(w.weight)
+        states = [{r.topic: (pytest.approx(r.ema), pytest.approx(r.weight), r.resets) for r in s.collect()} for s in (curriculum.latest_state(whole, topics), curriculum.latest_state(rest, topics, saved=left))]
+        assert states[0] == states[1]
+
+
+def test_executions_reach_the_quality_rules(spark):
+    tasks = spark.createDataFrame([("ok", "x = 1", '{"difficulty": "easy"}'), ("bad", "assert 1 == 2", None), ("slow", "while True: pass", "[1]"), ("left", "x", "{}")], "id string, p string, meta string")
+    runs = generate.executed(tasks.where("id <> 'left'"), "id", F.col("p"), enabled=True, timeout=1.5).cache()
+    meta = {r.id: json.loads(r.meta) for r in generate.with_execution(tasks, runs, "id", "meta").collect()}
+    assert meta["left"] == {} and meta["ok"]["difficulty"] == "easy"
+    assert [meta[k]["execution_status"] for k in ("ok", "bad", "slow")] == ["passed", "failed", "timeout"]
+    assert quality.NO_FAILURE in meta["ok"]["observed_failure"] and "AssertionError" in meta["bad"]["observed_failure"]
+    rows = generate.with_execution(tasks, runs, "id", "meta").select("id", datasets.failure_of(F.col("meta")).alias("f"))
+    got = {r.id: r for r in rows.select("id", quality.error_name(F.col("f")).alias("name"), quality.prompt_context(prompts.tutor_text(F.lit("s"), F.lit("x"), F.col("f")))["status"].alias("status")).collect()}
+    assert (got["ok"].status, got["bad"].status) == ("passed", "failed") and got["slow"].name == "TimeoutError" and got["bad"].name == "AssertionError"
+
+
+def test_pairs_equal_but_for_layout_are_dropped(spark):
+    recent = episodes(spark, [(1, "a", 0.9)])
+    easy = datasets.easiest(recent, "topic", "reward", "seq")[0].first().task
+    hard = spark.createDataFrame([(1, "a", "p", json.dumps(json.loads(easy), indent=2), 0.2)], "seq long, topic string, prompt string, chosen_completion string, reward double")
+    none = spark.createDataFrame([], "seq long, topic string, prompt string, rejected_completion string")
+    assert datasets.preference_pairs(hard, none, recent).count() == 0
