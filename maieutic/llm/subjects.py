@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from maieutic.llm import languages
 from maieutic.llm.shingles import mix
-from maieutic.session import stored
+from maieutic.session import discard, stored
 
 #: Known terms: so many words and so many pairs of words, those of most documents, with LEAST_DOCUMENTS at least; and as many again that labelled documents share. Their numbers fit in 16 bits.
 WORDS, PAIRS, LEAST_DOCUMENTS = 16_000, 16_000, 4
@@ -34,8 +34,8 @@ SET, SET_CODE, SET_SHARE = 0.2, 1.5, 0.3
 #: Sentences set in a subject that make it one of the document's.
 LEAST_SENTENCES = 2
 
-# Marks among the word hashes of a text.
-_BREAK, _END, _CODE = 0, 1, 2
+# Marks among the word hashes of a text: a number, a piece of code, and, with the number of the sentence's language added, the end of a sentence. Hashes are _WORD or more; the lowest bit is set in those of function words.
+_BREAK, _CODE, _END, _WORD = 0, 2, 8, 64
 _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
 _HEADING = re.compile(r"^\s*#.*$", re.M)
 _PREFIX = re.compile(r"^[ \t]*(?:[-*•>]+|\d+[.)])?[ \t]*(?:[^\W\d_]{1,12}:(?=[ \t]))?", re.M)
@@ -47,6 +47,10 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[128:] = _LETTER
 for _signs, _k in (("abcdefghijklmnopqrstuvwxyz", _LETTER), ("'-", _INSIDE), ("\n", _LINE), (".!?", _STOP), ("0123456789", _DIGIT), ("\x01", _MARK), ("_", _LOW)):
     _KIND[[ord(c) for c in _signs]] = _k
+_IN_WORD = np.isin(np.arange(8), (_LETTER, _DIGIT, _LOW))
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_PLUS = np.arange(1, 257, dtype=np.uint64)
+_NONE = np.uint32(1)
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -61,10 +65,6 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _before(flags: np.ndarray) -> np.ndarray:
-    return np.concatenate([[False], flags[:-1]])
-
-
 def encoded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The words of all texts as 32-bit hashes, with marks for code, for numbers and for the ends of sentences, and how many entries each text has.
 
@@ -101,27 +101,28 @@ def encoded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         kind[three + j] = 0
     for j in range(3):
         kind[inside + j] = _INSIDE
-    real = (kind == _LETTER) | (kind == _DIGIT) | (kind == _LOW)
-    run = real | (kind == _INSIDE)
-    place = np.arange(n)
-    run_begin = np.maximum.accumulate(np.where(run & ~_before(run), place, 0))
-    word = real | (run & (np.maximum.accumulate(np.where(real, place, -1)) >= run_begin))
-    begin = np.flatnonzero(word & ~_before(word))
-    stop = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1
+    word = _IN_WORD[kind]
+    # Signs inside a word count only behind a letter.
+    signs = np.flatnonzero(kind == _INSIDE)
+    if len(signs):
+        run = np.concatenate([[True], np.diff(signs) != 1])
+        behind = signs[run] - 1
+        word[signs[((behind >= 0) & word[behind])[np.cumsum(run) - 1]]] = True
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    begin, stop = edge[::2], edge[1::2]
     power, inverse = _power(n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])])
-    hashes = (mix((sums[stop] - sums[begin]) * inverse[begin]) >> np.uint64(32)).astype(np.uint32) | np.uint32(4)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_PLUS[data] * power[:n], out=sums[1:])
+    hashes = (mix((sums[stop] - sums[begin]) * inverse[begin]) >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | np.uint32(_WORD)
     hashes[kind[begin] == _DIGIT] = _BREAK
-    low = np.concatenate([[0], np.cumsum(kind == _LOW)])
-    hashes[low[stop] > low[begin]] = _CODE
-    space = np.isin(data, (9, 10, 11, 12, 13, 32))
+    hashes[np.searchsorted(begin, np.flatnonzero(kind == _LOW), "right") - 1] = _CODE
+    space = _SPACE[data]
     space[:-1] |= (data[:-1] == 0xC2) & (data[1:] == 0xA0)
-    end = (kind == _LINE) | (kind == _STOP) & np.concatenate([space[1:], [True]])
-    out = np.zeros(n, np.uint32)
-    out[begin], out[end], out[kind == _MARK] = hashes, _END, _CODE
-    mark = end | (kind == _MARK)
-    mark[begin] = True
-    at = np.flatnonzero(mark)
+    stops = np.flatnonzero(kind == _STOP)
+    stops = stops[np.concatenate([space[1:], [True]])[stops]]
+    out = np.full(n, _NONE, np.uint32)
+    out[begin], out[stops], out[kind == _LINE], out[kind == _MARK] = hashes, _END, _END, _CODE
+    at = np.flatnonzero(out != _NONE)
     codes, row = out[at], np.searchsorted(np.cumsum([len(c) for c in clean]), at, "right")
     # Of several ends in a row one is left, and none at the beginning of a text that has more.
     first = np.concatenate([[True], row[1:] != row[:-1]])
@@ -130,10 +131,38 @@ def encoded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], np.bincount(row[keep], minlength=len(texts))
 
 
+class Numbers:
+    """The places of known keys in a sorted array, by a table of hashed slots, of which few hold more than one key."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys.astype(np.uint64))
+        self.shift = np.uint64(64 - max(12, len(keys).bit_length() + 4))
+        slot = self._slots(self.keys)
+        order = np.argsort(slot, kind="stable")
+        counts = np.bincount(slot, minlength=1 << int(64 - self.shift))
+        self.first, self.count, self.order, self.most = np.cumsum(counts) - counts, counts, order, int(counts.max(initial=0))
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(_BASE)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for an unknown one."""
+        keys = keys.astype(np.uint64, copy=False)
+        slot = self._slots(keys)
+        out = np.full(len(keys), -1)
+        n = self.count[slot]
+        for i in range(self.most):
+            some = np.flatnonzero(n > i)
+            place = self.order[self.first[slot[some]] + i]
+            hit = self.keys[place] == keys[some]
+            out[some[hit]] = place[hit]
+        return out
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     """The different hashes of words; names with digits or underscores have none."""
     codes, _ = encoded([" ".join(words)])
-    return np.unique(codes[codes > 3])
+    return np.unique(codes[codes >= _WORD])
 
 
 def _cut(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -142,14 +171,44 @@ def _cut(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
+_FUNCTION = Numbers(np.concatenate([word_hashes(w.split()) for w in languages.FUNCTION_WORDS.values()]).astype(np.uint64))
+_FUNCTION = Numbers(np.unique(_FUNCTION.keys))
+_SPEAKS = np.stack([np.isin(_FUNCTION.keys, word_hashes(w.split())) for w in languages.FUNCTION_WORDS.values()], axis=1).astype(np.float32)
+_SPEAKS /= _SPEAKS.sum(axis=1, keepdims=True)
+_SALT = mix(np.arange(1, len(languages.NAMES) + 1, dtype=np.uint64))
+
+
+def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """encoded with the function words marked, and the language of each sentence in its end.
+
+    The language is that of most function words in the sentence, or that of the text
+    unless another has clearly more.
+    """
+    codes, sizes = encoded(texts)
+    if not len(codes):
+        return codes, sizes
+    ends = np.flatnonzero(codes == _END)
+    known = _FUNCTION(codes)
+    hit = np.flatnonzero(known >= 0)
+    sums = np.concatenate([np.zeros((1, len(_SALT)), np.float32), np.cumsum(_SPEAKS[known[hit]], axis=0, dtype=np.float64)])
+    upto = np.searchsorted(hit, ends)
+    own = np.diff(sums[upto], axis=0, prepend=0.0)
+    row = np.searchsorted(np.cumsum(sizes), ends, "right")
+    of_text = np.add.reduceat(own, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), axis=0).argmax(axis=1)
+    own[np.arange(len(ends)), of_text[np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))]] += 1.5
+    codes[hit] |= np.uint32(1)
+    codes[ends] += own.argmax(axis=1).astype(np.uint32)
+    return codes, sizes
+
+
 def encode_texts(texts: DataFrame, key: Column, text: Column) -> DataFrame:
-    """id, code, hash of each text that is not blank: its words as of encoded, and a hash of them."""
+    """id, code, hash of each text that is not blank: its words as of coded, and a hash of them."""
     rows = texts.select(key.alias("id"), text.alias("text")).where("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                yield pa.RecordBatch.from_arrays([piece.column(0), _cut(*encoded(piece.column(1).to_pylist()))], names=["id", "code"])
+            for piece in _pieces([batch], 200):
+                yield pa.RecordBatch.from_arrays([piece.column(0), _cut(*coded(piece.column(1).to_pylist()))], names=["id", "code"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, code binary").where(F.length("code") > 0).withColumn("hash", F.xxhash64("code"))
 
@@ -160,67 +219,38 @@ def _flat(column: pa.Array, kind: type = np.uint32) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(b"".join(values), dtype=kind), np.array([len(v) for v in values], np.int64) // np.dtype(kind).itemsize
 
 
-_FUNCTION = np.unique(np.concatenate([word_hashes(w.split()) for w in languages.FUNCTION_WORDS.values()]))
-_SPEAKS = np.stack([np.isin(_FUNCTION, word_hashes(w.split())) for w in languages.FUNCTION_WORDS.values()], axis=1).astype(np.float64)
-_SPEAKS /= _SPEAKS.sum(axis=1, keepdims=True)
-_SALT = mix(np.arange(1, len(languages.NAMES) + 1, dtype=np.uint64))
+def is_end(codes: np.ndarray) -> np.ndarray:
+    return (codes >= _END) & (codes < _WORD)
 
 
-class Occurrences(NamedTuple):
-    """Terms of a batch in order of place: key, row, place; pairs behind single words. tongues: the number of the language of each place."""
+def tongues(codes: np.ndarray) -> np.ndarray:
+    """The number of the language of each entry's sentence."""
+    ends = np.flatnonzero(is_end(codes))
+    return np.repeat((codes[ends] - _END).astype(np.int64), np.diff(ends, prepend=-1))
 
-    key: np.ndarray
-    row: np.ndarray
-    at: np.ndarray
-    is_pair: np.ndarray
-    tongue: np.ndarray
 
+def words_at(codes: np.ndarray, tongue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of single words, and their keys: a word in a language."""
+    at = np.flatnonzero(codes >= _WORD)
+    return at, codes[at].astype(np.uint64) ^ _SALT[tongue[at]]
 
-def occurrences(codes: np.ndarray, sizes: np.ndarray) -> Occurrences:
-    """The words of a batch, and its pairs of neighbouring words that are not both function words.
 
-    A term belongs to the language of its sentence: that of most function words, or
-    that of the text unless another has clearly more. Ends of sentences count as a term
-    of their own, with key 0 before salting.
-    """
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    is_end = codes == _END
-    sentence = np.cumsum(is_end) - is_end
-    known = np.minimum(np.searchsorted(_FUNCTION, codes), len(_FUNCTION) - 1)
-    is_function = _FUNCTION[known] == codes
-    hit = np.flatnonzero(is_function)
-    n, g = int(is_end.sum()), len(_SALT)
-    said = np.zeros((len(sizes), g))
-    own = np.zeros((n + 1, g))
-    for j in range(g):
-        said[:, j] = np.bincount(row[hit], weights=_SPEAKS[known[hit], j], minlength=len(sizes))
-        own[:, j] = np.bincount(sentence[hit], weights=_SPEAKS[known[hit], j], minlength=n + 1)
-    own[np.arange(n), said.argmax(axis=1)[row[is_end]]] += 1.5
-    tongue = own.argmax(axis=1)[sentence]
-    one = np.flatnonzero((codes > 3) | is_end)
-    two = np.flatnonzero(codes > 3)
-    two = two[:-1][two[1:] == two[:-1] + 1]
-    two = two[(row[two] == row[two + 1]) & ~(is_function[two] & is_function[two + 1])]
-    pair = mix(codes[two].astype(np.uint64) * np.uint64(_BASE) + codes[two + 1].astype(np.uint64)) | np.uint64(1 << 63)
-    at = np.concatenate([one, two])
-    single = np.where(is_end[one], 0, codes[one]).astype(np.uint64)
-    return Occurrences(np.concatenate([single, pair]) ^ _SALT[tongue[at]], row[at], at, np.arange(len(at)) >= len(one), tongue)
+def pairs_at(codes: np.ndarray, tongue: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and keys of the pairs of neighbouring words of a sentence that are not both function words; known: of which words."""
+    word = codes >= _WORD if known is None else known
+    at = np.flatnonzero(word[:-1] & word[1:] & ((codes[:-1] & codes[1:] & 1) == 0))
+    pair = mix(codes[at].astype(np.uint64) * np.uint64(_BASE) + codes[at + 1].astype(np.uint64)) | np.uint64(1 << 63)
+    return at, pair ^ _SALT[tongue[at]]
 
 
 class Terms(NamedTuple):
-    """Known terms by number: sorted keys, the number of each one's language, its weight, and the weighted number of documents that have it."""
+    """Known terms by number: sorted keys, the number of each one's language, its weight, and the weighted number of documents that have it; numbers finds a term by its key."""
 
     keys: np.ndarray
     tongue: np.ndarray
     weight: np.ndarray
     documents: np.ndarray
-
-    def numbers(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key's term, -1 for an unknown one."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
+    numbers: Numbers
 
     def normed(self, rows: np.ndarray) -> np.ndarray:
         """rows x terms, made to add up to one within each language where there is anything."""
@@ -243,7 +273,7 @@ def known_terms(coded: DataFrame, light: dict[int, float], labelled: DataFrame |
     rows = coded.select("id", "code", "hash")
     rows = rows.withColumn("labelled", F.lit(False)) if labelled is None else rows.join(F.broadcast(labelled.select("id", F.lit(True).alias("labelled")).distinct()), "id", "left")
 
-    def counted(words: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counted(words: Numbers | None, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting: list[tuple[np.ndarray, ...]] = []
 
@@ -255,20 +285,24 @@ def known_terms(coded: DataFrame, light: dict[int, float], labelled: DataFrame |
             for batch in batches:
                 codes, sizes = _flat(batch.column("code"))
                 weight = np.array([light.get(h, 1.0) for h in batch.column("hash").to_pylist()])
-                marked = np.array(batch.column("labelled").to_pylist(), dtype=bool)
-                o = occurrences(codes, sizes)
-                if words is None:
-                    use = np.flatnonzero(~o.is_pair)
+                marked = weight * np.array(batch.column("labelled").to_pylist(), dtype=bool)
+                tongue = tongues(codes)
+                at, key = words_at(codes, tongue)
+                if words is None:  # the ends of sentences count the documents of each language
+                    ends = np.flatnonzero(is_end(codes))
+                    at, key = np.concatenate([at, ends]), np.concatenate([key, _SALT[tongue[ends]]])
                 else:
-                    known = np.zeros(len(codes) + 1, bool)
-                    known[o.at[~o.is_pair]] = np.isin(o.key[~o.is_pair], words)
-                    use = np.flatnonzero(o.is_pair & known[o.at] & known[np.minimum(o.at + 1, len(codes))])
-                key, row = o.key[use], o.row[use]
-                order = np.lexsort((row, key))
-                key, row, place = key[order], row[order], o.at[use][order]
+                    known = np.zeros(len(codes), bool)
+                    known[at] = words(key) >= 0
+                    at, key = pairs_at(codes, tongue, known)
+                order = np.argsort(key, kind="stable")  # places, and with them rows, stay in order
+                key, place = key[order], at[order]
+                row = np.searchsorted(np.cumsum(sizes), place, "right")
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                waiting.append((key[new], o.tongue[place[new]], weight[row[new]], weight[row[new]] * marked[row[new]]))
+                key, place, row = key[new], place[new], row[new]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+                waiting.append((key[first], tongue[place[first]], *(np.add.reduceat(w[row], first) if len(first) else np.zeros(0) for w in (weight, marked))))
                 if len(waiting) > 40:
                     waiting = [merged()]
             if waiting:
@@ -285,15 +319,15 @@ def known_terms(coded: DataFrame, light: dict[int, float], labelled: DataFrame |
 
     words, tongue, n = counted(None, most[0])
     total = np.zeros(len(_SALT))
-    is_end = np.isin(words, _SALT)
-    total[tongue[is_end]] = n[is_end]
-    words, tongue, n = words[~is_end], tongue[~is_end], n[~is_end]
-    pairs = counted(np.sort(words), most[1]) if len(words) else (words, tongue, n)
+    ends = np.isin(words, _SALT)
+    total[tongue[ends]] = n[ends]
+    words, tongue, n = words[~ends], tongue[~ends], n[~ends]
+    pairs = counted(Numbers(words), most[1]) if len(words) else (words, tongue, n)
     keys, tongue, n = (np.concatenate(x) for x in zip((words, tongue, n), pairs))
     order = np.argsort(keys)
     keys, tongue, n = keys[order], tongue[order], n[order]
     share = np.minimum(n / np.maximum(total[tongue], 1e-9), 1.0)
-    return Terms(keys, tongue, np.minimum(1.0, np.log(np.maximum(share, 1e-12)) / np.log(RARE)), n)
+    return Terms(keys, tongue, np.minimum(1.0, np.log(np.maximum(share, 1e-12)) / np.log(RARE)), n, Numbers(keys))
 
 
 #: Marks of code and of the end of a sentence among the numbers of terms, which are below both.
@@ -311,21 +345,24 @@ def term_matrix(coded: DataFrame, terms: Terms, light: dict[int, float]) -> Data
         t, less = known.value
         for batch in batches:
             codes, sizes = _flat(batch.column("code"))
-            o = occurrences(codes, sizes)
-            number = t.numbers(o.key)
-            end = (codes[o.at] == _END) & ~o.is_pair
-            number[end] = _STOP_NUMBER
-            code = np.flatnonzero(codes == _CODE)
-            at, row = np.concatenate([o.at[number >= 0], code]), np.concatenate([o.row[number >= 0], np.repeat(np.arange(len(sizes)), sizes)[code]])
-            number = np.concatenate([number[number >= 0], np.full(len(code), _CODE_NUMBER)])[np.argsort(at, kind="stable")]
+            tongue = tongues(codes)
+            # Two slots a place, for the word and for the pair that begin there, keep the order.
+            number = np.full((len(codes), 2), -1)
+            at, key = words_at(codes, tongue)
+            number[at, 0] = t.numbers(key)
+            at, key = pairs_at(codes, tongue)
+            number[at, 1] = t.numbers(key)
+            number[codes == _CODE, 0], number[is_end(codes), 0] = _CODE_NUMBER, _STOP_NUMBER
+            held = number >= 0
+            upto = np.concatenate([[0], np.cumsum(held.sum(axis=1))])[np.concatenate([[0], np.cumsum(sizes)])]
             weight = [less.get(h, 1.0) for h in batch.column("hash").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(weight, pa.float32()), _cut(number.astype(np.uint16), np.bincount(row, minlength=len(sizes)))], names=["id", "weight", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(weight, pa.float32()), _cut(number[held].astype(np.uint16), np.diff(upto))], names=["id", "weight", "terms"])
 
     return coded.select("id", "code", "hash").mapInArrow(run, f"id {kind}, weight float, terms binary")
 
 
-def solved(h: np.ndarray, weight: np.ndarray, term: np.ndarray, sizes: np.ndarray, begin: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mixtures that fit rows of terms to the components h (components x terms), after `inner` multiplicative updates from the mixtures `begin` (components x rows).
+def solved(h: np.ndarray, weight: np.ndarray, term: np.ndarray, sizes: np.ndarray, begin: np.ndarray | None, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixtures that fit rows of terms to the components h (components x terms), after `inner` multiplicative updates from the mixtures `begin` (components x rows; None: even ones).
 
     Rows lie side by side, sizes of them each, none empty. Returns the mixtures, the share of each
     component in each term's weight, and the probability of each term.
@@ -333,12 +370,16 @@ def solved(h: np.ndarray, weight: np.ndarray, term: np.ndarray, sizes: np.ndarra
     mixture, part = begin, h[:, term]
     starts = np.cumsum(sizes) - sizes
     for i in range(inner + 1):
-        share = part * np.repeat(mixture, sizes, axis=1)
+        if mixture is None:
+            share, mixture = part * np.float32(1.0 / len(h)), np.full((len(h), len(sizes)), 1.0 / len(h), np.float32)
+        else:
+            share = np.repeat(mixture, sizes, axis=1)
+            share *= part
         chance = np.maximum(share.sum(axis=0), np.float32(1e-30))
-        share *= weight / chance
         if i < inner:
-            got = np.add.reduceat(share, starts, axis=1)
+            got = mixture * np.add.reduceat(part * (weight / chance), starts, axis=1)
             mixture = got / np.maximum(got.sum(axis=0), np.float32(1e-30))
+    share *= weight / chance
     return mixture, share, chance
 
 
@@ -351,11 +392,7 @@ class Model(NamedTuple):
     divergence: list[float]
 
 
-def _even(k: int, n: int) -> np.ndarray:
-    return np.full((k, n), 1.0 / k, np.float32)
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 150) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
@@ -416,16 +453,27 @@ def gathered(matrix: DataFrame, terms: Terms, h: np.ndarray, inner: int) -> tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, weigh = known.value
         total, divergence, mass = np.zeros((k, v)), 0.0, 0.0
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add_up() -> None:
+            terms = np.concatenate([t for t, _ in waiting])
+            for c in range(k):
+                total[c] += np.bincount(terms, weights=np.concatenate([s[c] for _, s in waiting]), minlength=v)
+            waiting.clear()
+
         for piece in _pieces(batches):
             term, sizes, rows = _known_only(piece)
             if not len(term):
                 continue
             weight = weigh[term] * np.repeat(np.asarray(piece.column("weight"))[rows], sizes)
-            _, share, chance = solved(now, weight, term, sizes, _even(k, len(sizes)), inner)
+            _, share, chance = solved(now, weight, term, sizes, None, inner)
             divergence -= float(weight @ np.log(chance))
             mass += float(weight.sum())
-            for c in range(k):
-                total[c] += np.bincount(term, weights=share[c], minlength=v)
+            waiting.append((term, share))
+            if len(waiting) == 12:
+                add_up()
+        if waiting:
+            add_up()
         yield from _sums(total, divergence, mass)
 
     out = _added(matrix.select("weight", "terms").mapInArrow(run, _schema(k)), k, v)
@@ -482,8 +530,8 @@ def first_components(terms: Terms, seen: np.ndarray, subjects: dict[str, str], b
     return terms.normed(h)
 
 
-def fit(coded: DataFrame, matrix_of: DataFrame | None, terms: Terms, light: dict[int, float], subjects: dict[str, str], labels: DataFrame | None, settled: float = SETTLED, inner: int = INNER) -> tuple[Model, DataFrame]:
-    """Components for subjects and background, by alternating multiplicative updates that never increase the divergence; and the matrix.
+def fit(matrix: DataFrame, terms: Terms, subjects: dict[str, str], labels: DataFrame | None, settled: float = SETTLED, inner: int = INNER) -> Model:
+    """Components for subjects and background, by alternating multiplicative updates that never increase the divergence.
 
     Sentences with code take no part, as those about nothing but code have no subject.
     Each round reads all documents, solves their mixtures with the components fixed,
@@ -492,9 +540,8 @@ def fit(coded: DataFrame, matrix_of: DataFrame | None, terms: Terms, light: dict
     less than `settled`.
     """
     names = sorted(subjects)
-    matrix = stored(term_matrix(coded, terms, light)) if matrix_of is None else matrix_of
     if not len(terms.keys) or not names:
-        return Model(names, terms, np.zeros((len(names) + BACKGROUND, len(terms.keys))), []), matrix
+        return Model(names, terms, np.zeros((len(names) + BACKGROUND, len(terms.keys)), np.float32), [])
     seen = _labelled(matrix, labels, terms, names) if labels is not None else np.zeros((len(names), len(terms.keys)))
     h = first_components(terms, seen, subjects)
     divergence: list[float] = []
@@ -504,15 +551,15 @@ def fit(coded: DataFrame, matrix_of: DataFrame | None, terms: Terms, light: dict
         divergence.append(d)
         if len(divergence) > 1 and divergence[-2] - d < settled * abs(divergence[-2]):
             break
-    return Model(names, terms, h, divergence), matrix
+    return Model(names, terms, h.astype(np.float32), divergence)
 
 
 def sentence_subjects(model: Model, number: np.ndarray, sizes: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
     """The row and the subject, -1 for none, of each sentence, in order.
 
     A document's mixture over the components is solved first; those of its sentences
-    start from it, so that a sentence of few telling terms leans to what its document is
-    about. A sentence is set in the subject that explains most of the weight of its terms,
+    are one update away from it, so that a sentence of few telling terms leans to what its
+    document is about. A sentence is set in the subject that explains most of the weight of its terms,
     if that is SET at least, SET_CODE in a sentence with code, and SET_SHARE of all.
     """
     k, s = len(model.names), _sentences(number, sizes)
@@ -521,18 +568,18 @@ def sentence_subjects(model: Model, number: np.ndarray, sizes: np.ndarray, inner
     term = number[s.is_term].astype(np.int64)
     if not k or not len(term):
         return s.row, setting
-    h, weight = model.h.astype(np.float32), model.terms.weight.astype(np.float32)
-    mixture = _even(len(h), len(sizes))
+    h, weight = model.h, model.terms.weight.astype(np.float32)
+    mixture = np.full((len(h), len(sizes)), 1.0 / len(h), np.float32)
     plain = s.is_term & ~s.has_code[s.of]
     in_row = np.bincount(s.row[s.of[plain]], minlength=len(sizes))
     rows = np.flatnonzero(in_row)
     if len(rows):
         own = number[plain].astype(np.int64)
-        mixture[:, rows] = solved(h, weight[own], own, in_row[rows], mixture[:, rows], inner)[0]
+        mixture[:, rows] = solved(h, weight[own], own, in_row[rows], None, inner)[0]
     in_sentence = np.bincount(s.of[s.is_term], minlength=n)
     some = np.flatnonzero(in_sentence)
     begin = mixture[:, s.row[some]] + np.float32(0.05 / len(h))
-    _, share, _ = solved(h, weight[term], term, in_sentence[some], begin / begin.sum(axis=0), inner)
+    _, share, _ = solved(h, weight[term], term, in_sentence[some], begin / begin.sum(axis=0), 1)
     mass = np.add.reduceat(share, np.cumsum(in_sentence[some]) - in_sentence[some], axis=1)
     best = mass[:k].argmax(axis=0)
     top = mass[best, np.arange(len(some))]
@@ -576,7 +623,10 @@ def document_subjects(documents: DataFrame, subject_list: DataFrame, subject_lab
     labels = subject_labels.select(F.col("doc_id").alias("id"), F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin([s.lower() for s in subjects])).distinct().orderBy(F.xxhash64("id"), "subject").limit(LABELS)
     labels = stored(labels)
     light = row_weights(coded)
-    model, matrix = fit(coded, None, known_terms(coded, light, labels), light, {s.lower(): d for s, d in subjects.items()}, labels)
+    terms = known_terms(coded, light, labels)
+    matrix = stored(term_matrix(coded, terms, light))
+    discard(coded)  # the matrix, stored in its turn, is all that the rest reads
+    model = fit(matrix, terms, {s.lower(): d for s, d in subjects.items()}, labels)
     spelled = F.create_map(*[F.lit(x) for s in subjects for x in (s.lower(), s)]) if subjects else None
     found = assign(matrix, model, fallback if fallback in subjects else None)
     return found.select(F.col("id").alias("doc_id"), F.element_at(spelled, F.col("subject")).alias("subject"), "n_sentences") if subjects else found.withColumnRenamed("id", "doc_id")

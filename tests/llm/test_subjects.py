@@ -75,11 +75,10 @@ def test_updates_keep_mass_and_lower_the_divergence(spark, rng):
 
 
 def term_numbers(terms, text):
-    """The numbers of a text's terms, words before pairs, -1 for unknown ones."""
-    codes, sizes = S.encoded([text])
-    o = S.occurrences(codes, sizes)
-    keep = (codes[o.at] != 1) | o.is_pair
-    return terms.numbers(o.key[keep]), o.is_pair[keep]
+    """The numbers of a text's words and of its pairs, -1 for unknown ones."""
+    codes, _ = S.coded([text])
+    tongue = S.tongues(codes)
+    return terms.numbers(S.words_at(codes, tongue)[1]), terms.numbers(S.pairs_at(codes, tongue)[1])
 
 
 def test_words_and_pairs_of_many_documents_are_terms(spark):
@@ -87,8 +86,8 @@ def test_words_and_pairs_of_many_documents_are_terms(spark):
     coded = coded_of(spark, list(enumerate(texts)))
     terms = S.known_terms(coded, {})
     for text, n in (("Tennis court games of the day.", 4), ("Court filings of the day.", 3)):
-        numbers, is_pair = term_numbers(terms, text)
-        assert (numbers >= 0).all() and is_pair.sum() == n  # of the: no pair, as both are function words
+        words, pairs = term_numbers(terms, text)
+        assert (words >= 0).all() and (pairs >= 0).all() and len(pairs) == n  # of the: no pair, as both are function words
     few = S.known_terms(coded, {}, most=(3, 2))
     assert len(few.keys) <= 5  # by rank, with the ends of sentences among the words
 
@@ -97,7 +96,7 @@ def test_rank_does_not_depend_on_size_and_labelled_terms_stay(spark):
     texts = ["The jurors met at the hearings."] * 6 + ["The rain fell on all roads."] * 400
     coded = coded_of(spark, list(enumerate(texts)))
     labelled = spark.createDataFrame([(i,) for i in range(6)], "id long")
-    word = S.word_hashes(["jurors"]).astype(np.uint64) ^ S._SALT[0]
+    word = S.words_at(*(lambda c: (c, S.tongues(c)))(S.coded(["jurors the"])[0]))[1][:1]
     assert S.known_terms(coded, {}, None, (5, 5)).numbers(word)[0] < 0
     assert S.known_terms(coded, {}, labelled, (5, 5)).numbers(word)[0] >= 0
 
@@ -106,17 +105,15 @@ def test_encoding_of_signs_and_blanks():
     words = lambda t: S.encoded([t])[0].tolist()
     assert words("A “b”, c—d: e\u2019f.") == words("a b c d e’f.") and words("Straße.") == words("STRASSE.".replace("SS", "ß"))
     assert S.encoded([None, "", " \n", "x"])[1].tolist() == [0, 0, 0, 2]
-    assert words("# head\n```\nx = 1\n```") == [1] and words("a. b.\n\n") == [*words("a.")[:1], 1, *words("b.")[:1], 1]
+    assert words("# head\n```\nx = 1\n```") == [8] and words("a. b.\n\n") == [*words("a.")[:1], 8, *words("b.")[:1], 8]
     assert words("x_1 `y` 12 don't") == [2, 2, 0, *words("don't")]
     codes, sizes = S.encoded(["one two.", "", "one two."])
     assert codes[: sizes[0]].tolist() == codes[sizes[0] :].tolist()
 
 
 def test_sentences_in_another_language_keep_their_own_terms():
-    codes, sizes = S.encoded(["La liste des écluses est dans la table. The list of the locks is in the table. Il faut la voir dans la liste."])
-    o = S.occurrences(codes, sizes)
-    names = [S.languages.NAMES[t] for t in o.tongue[codes == 1]]
-    assert names == ["fr", "en", "fr"]
+    codes, _ = S.coded(["La liste des écluses est dans la table. The list of the locks is in the table. Il faut la voir dans la liste."])
+    assert [S.languages.NAMES[t] for t in S.tongues(codes)[S.is_end(codes)]] == ["fr", "en", "fr"]
 
 
 def test_one_text_on_a_third_of_the_rows(spark, rng):
