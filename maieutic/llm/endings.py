@@ -11,9 +11,9 @@ _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _FENCE = re.compile(r"^[ \t]*(```|~~~)", re.M)
 _OPEN_TAG = re.compile(r"<([a-z][a-z_\-]*)>")
 _HALF_TAG = re.compile(r"</?[a-z_\-]*$")
-_LABEL = re.compile(r"^(?:-- ?\S.*|[^\W\d][\w ]{0,24}: ?\S.{0,40}|[A-Z]{2,12}|[A-Z]\w* \d[\d.,%]*)$")
+_LABEL = re.compile(r"^(?:-- ?\S.*|[^\W\d][\w ]*: ?\S.*|[A-Z]{2,}|[A-Z]\w* \d[\d.,%]*)$")
 _LIST = re.compile(r"^\s*(?:\d+[.)]|[-*•])(?:\s|$)")
-_KEYWORDS = re.compile(r"(?:^|[.?!)\"»”]\s)([^\W\d]\w{2,20}: ?[\w\-]+(?:, ?[\w\-]+)*,?)$")
+_KEYWORDS = re.compile(r"(?:^|[.?!)\"»”]\s)([^\W\d]\w{2,}: ?[\w\-]+(?:, ?[\w\-]+)*,?)$")
 _WORDLIKE = re.compile(r"\w")
 _NAME = re.compile(r"(?<=\s)[A-ZÀ-Þ]\w*")
 _DIGITS = re.compile(r"\d+")
@@ -56,7 +56,7 @@ def json_start(text: str) -> int:
 
 def tail_shape(line: str) -> str:
     """The line with numbers and names made equal."""
-    return _DIGITS.sub("9", _NAME.sub("N", line))[-60:]
+    return _DIGITS.sub("9", _NAME.sub("N", line))
 
 
 def _prose(text: str, may_end_bare: bool) -> tuple[str, str | None]:

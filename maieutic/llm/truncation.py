@@ -24,27 +24,25 @@ RARER = 20
 
 
 def read_endings(texts: DataFrame, keys: dict[str, Column], text: Column) -> DataFrame:
-    """The columns of keys, verdict, tail, and the text's length in characters, bytes and words, with a hash of it; null texts are left out."""
+    """The columns of keys, verdict, tail, and the text's length in characters, bytes and words, with a hash of it; null texts are left out.
+
+    A text that rows of one batch share is read once.
+    """
     rows = texts.select(*(c.alias(k) for k, c in keys.items()), text.alias("__text")).where("__text is not null")
     names = list(keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column("__text").to_pylist()
-            found = [ending(t) for t in values]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(x) for x in names]
-                + [
-                    pa.array([v for v, _ in found], pa.string()),
-                    pa.array([t for _, t in found], pa.string()),
-                    pa.array([len(t) for t in values], pa.int32()),
-                    pa.array([len(t.encode("utf-8", "surrogatepass")) for t in values], pa.int32()),
-                    pa.array([len(t.split()) for t in values], pa.int32()),
-                    batch.column("__hash"),
-                ],
-                names=[*names, "verdict", "tail", "chars", "bytes", "words", "hash"],
-            )
+            read: dict[int, tuple] = {}
+            hashes = batch.column("__hash").to_pylist()
+            for i, h in enumerate(hashes):
+                if h not in read:
+                    t = batch.column("__text")[i].as_py()
+                    read[h] = (*ending(t), len(t), len(t.encode("utf-8", "surrogatepass")), len(t.split()))
+            columns = list(zip(*(read[h] for h in hashes))) if hashes else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column("__hash")], names=[*names, "verdict", "tail", "chars", "bytes", "words", "hash"])
 
     return rows.withColumn("__hash", F.xxhash64("__text")).mapInArrow(run, f"{schema}, verdict string, tail string, chars int, bytes int, words int, hash long")
 
@@ -105,11 +103,13 @@ def length_hazards(endings: DataFrame, by: list[str], neighbours: int = NEIGHBOU
 def cut_texts(endings: DataFrame, field: str, source: str) -> DataFrame:
     """endings with is_cut, evidence and at_limit.
 
-    A text is cut if its ending is incomplete (evidence ending), if its last line is a
-    rare beginning of a usual last line of its field (evidence part), or if its ending
-    leaves doubt at a length that is significant for its source (evidence limit).
-    at_limit: its length is significant for its source, in whichever of characters,
-    bytes and words the source's limits show most clearly.
+    First, a text that ends incomplete, or whose ending leaves doubt, is cut if its
+    length is significant for its source (evidence limit). What no limit explains was
+    cut in transfer, at whatever length: there an ending counts only if it is
+    incomplete by itself (evidence transfer), or if the last line is a rare beginning of a
+    usual last line of its field (evidence part).
+    at_limit: the length is significant, in whichever of characters, bytes and words
+    the source's limits show most clearly.
     """
     both = [field, source]
     hazards = length_hazards(endings, both).where("significant")
@@ -118,18 +118,19 @@ def cut_texts(endings: DataFrame, field: str, source: str) -> DataFrame:
     hazards = hazards.withColumn("clearest", clearest).where("unit = clearest")
     limits = hazards.groupBy(*both).agg(F.collect_set(F.struct("unit", "length")).alias("limits"))
     tails = endings.where("tail is not null").groupBy(field, "tail").agg(F.countDistinct("hash").alias("n"))
-    share = Window.partitionBy(field)
-    # At most 1 / USUAL endings of a field are usual, so the list has a bound.
-    usual = tails.withColumn("all", F.sum("n").over(share)).where(F.col("n") >= F.greatest(F.col("all") * USUAL, F.lit(RARER))).groupBy(field).agg(F.collect_list(F.struct("tail", "n")).alias("usual"))
+    # One row a field; at most 1 / USUAL endings of a field are usual, so the lists have a bound too.
+    all_of = tails.groupBy(field).agg(F.sum("n").alias("all"))
+    usual = tails.join(F.broadcast(all_of), field).where(F.col("n") >= F.greatest(F.col("all") * USUAL, F.lit(RARER))).groupBy(field).agg(F.collect_list(F.struct("tail", "n")).alias("usual"))
     parts = (
-        tails.join(usual, field)
+        tails.join(F.broadcast(usual), field)
         .where(F.exists("usual", lambda u: F.startswith(u["tail"], F.col("tail")) & (F.length(u["tail"]) > F.length("tail")) & (u["n"] >= F.col("n") * RARER)))
         .select(field, "tail", F.lit(True).alias("part"))
     )
     e = endings.alias("e")
     rows = e.join(limits.alias("l"), [F.col(f"e.{c}").eqNullSafe(F.col(f"l.{c}")) for c in both], "left").join(parts.alias("p"), [F.col(f"e.{field}") == F.col(f"p.{field}"), F.col("e.tail") == F.col("p.tail")], "left")
     at = F.coalesce(F.exists("l.limits", lambda x: x["length"] == F.when(x["unit"] == "chars", F.col("e.chars")).when(x["unit"] == "bytes", F.col("e.bytes")).otherwise(F.col("e.words"))), F.lit(False))
-    evidence = F.when(F.col("e.verdict") == CUT, "ending").when(F.col("p.part"), "part").when((F.col("e.verdict") == DOUBT) & at, "limit")
+    part = F.coalesce("p.part", F.lit(False))
+    evidence = F.when(at & (F.col("e.verdict").isin(CUT, DOUBT) | part), "limit").when(F.col("e.verdict") == CUT, "transfer").when(part, "part")
     return rows.select("e.*", at.alias("at_limit"), evidence.alias("evidence")).withColumn("is_cut", F.col("evidence").isNotNull())
 
 
@@ -154,8 +155,13 @@ def judged_texts(episodes: DataFrame) -> DataFrame:
 
 
 def cut_rates(judged: DataFrame) -> DataFrame:
-    """For each field and source: episodes with a text that is not blank, those whose text is cut or at a limit, and the share of cut ones."""
+    """For each field and source: episodes with a text that is not blank, those whose text is cut, at a limit, cut at a limit, or cut elsewhere, and the share of cut ones."""
     once = judged.where("verdict <> 'blank'").groupBy("field_name", F.coalesce("source", F.lit("unknown")).alias("source"), "episode_id").agg(F.max("is_cut").alias("cut"), F.max("at_limit").alias("lim"))
     return once.groupBy("field_name", "source").agg(
-        F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.count_if("lim").alias("n_at_limit"), F.round(F.count_if("cut") / F.count("*"), 6).alias("cut_rate")
+        F.count("*").alias("n_texts"),
+        F.count_if("cut").alias("n_cut"),
+        F.count_if("lim").alias("n_at_limit"),
+        F.count_if(F.col("cut") & F.col("lim")).alias("n_cut_at_limit"),
+        F.count_if(F.col("cut") & ~F.col("lim")).alias("n_cut_in_transfer"),
+        F.round(F.count_if("cut") / F.count("*"), 6).alias("cut_rate"),
     )
