@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maieutic.llm import shingles
@@ -17,6 +17,8 @@ from maieutic.session import broadcast_if_small, stored
 SHORT, SLACK = 128, 0.2
 #: Bands that are joined at once, so that a shuffle holds few rows a record.
 BAND_BLOCK = 48
+#: Values of one key that are paired in one place; more are split into blocks, and each two blocks meet in a place of their own.
+BLOCK = 2000
 #: Most rows that are sent to every executor; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -26,11 +28,38 @@ def _longs(values: np.ndarray, sizes: np.ndarray | int, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1).view(np.int64)))
 
 
+def hash_of_sets(owner: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each set, the same whatever record the set comes from."""
+    total = np.zeros(len(size), dtype=np.uint64)
+    np.add.at(total, owner, shingles.mix(h))
+    return shingles.mix(total + size.astype(np.uint64)).view(np.int64)
+
+
+def pairs_within(rows: DataFrame, key: str, value: str, block: int = BLOCK) -> DataFrame:
+    """a, b: all pairs a < b of different values that share a key, once for each such key.
+
+    Equal rows count once. A key of at most `block` values is paired where it lies. The
+    values of a larger one are split by hash into blocks of about that size, and each two
+    blocks meet in a task's row group of their own, so no task pairs more than two blocks at
+    once, however many values a key has.
+    """
+    each = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).repartition("k").dropDuplicates(["k", "v"])
+    sized = each.withColumn("m", F.count("*").over(Window.partitionBy("k"))).where("m > 1")
+    lists = sized.where(F.col("m") <= block).groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # at most `block` values
+    small = lists.select("vs", F.posexplode("vs").alias("i", "a")).select("a", F.explode(F.slice("vs", F.col("i") + 2, F.size("vs"))).alias("b"))
+    n = F.ceil(F.col("m") / block).cast("int")
+    split = sized.where(F.col("m") > block).select("k", "v", F.pmod(F.xxhash64("v", "k"), n).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
+    met = split.select("k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "v").repartition("k", "lo", "hi")
+    x, y = (met.withColumnsRenamed({"v": v, "i": f"i{v}"}) for v in "ab")
+    large = x.join(y, ["k", "lo", "hi"]).where("a < b and (ia <> ib or lo = hi)").select("a", "b")
+    return small.unionByName(large)
+
+
 def sketches(records: DataFrame, key: Column, text: Column, words: int, bands: int, rows: int) -> DataFrame:
     """id, set_hash, size, short, bands for each record whose text has a run of so many words.
 
     Records with equal sets share set_hash; in each partition only the first of them
-    carries bands, so that copies do not meet each other in every band.
+    carries bands. The others of other partitions fall out before values are paired.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,9 +68,7 @@ def sketches(records: DataFrame, key: Column, text: Column, words: int, bands: i
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 ids, texts = part.column(0), part.column(1).to_pylist()
                 owner, h, size = shingles.shingle_sets(texts, words)
-                total = np.zeros(len(texts), dtype=np.uint64)
-                np.add.at(total, owner, shingles.mix(h))
-                set_hash = shingles.mix(total + size.astype(np.uint64)).view(np.int64)
+                set_hash = hash_of_sets(owner, h, size)
                 new = []
                 for i, (x, n) in enumerate(zip(set_hash.tolist(), size.tolist())):
                     if n and x not in seen:
@@ -78,9 +105,9 @@ def _sets(records: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, h, size = shingles.shingle_sets(batch.column("text").to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column("set_hash"), _longs(h, size, batch.num_rows)], names=["set_hash", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array(hash_of_sets(owner, h, size)), _longs(h, size, batch.num_rows)], names=["set_hash", "runs"])
 
-    return records.select("set_hash", "text").mapInArrow(run, "set_hash long, runs array<long>")
+    return records.select("text").mapInArrow(run, "set_hash long, runs array<long>")
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:
@@ -108,8 +135,9 @@ class NearDuplicates:
     size of a band or the number of candidates.
 
     Null and empty texts, and texts with fewer words than a run, are like nothing.
-    Rows of equal id count once; a null id is left out. An empty table gives empty
-    tables. Hot bands are split by AQE's skew join.
+    Rows of equal id count once if their texts are equal; rows of one id with different
+    texts count with each text. A null id is left out. An empty table gives empty
+    tables. Values of a hot band and copies of one text are paired in blocks.
     """
 
     def __init__(self, records: DataFrame, key: Column, text: Column, threshold: float = 0.8, words: int = 5, bands: int = 96, rows: int = 4):
@@ -118,8 +146,7 @@ class NearDuplicates:
         table = stored(sketches(records, key, text, words, bands, rows))
         self.members = table.select("id", "set_hash").distinct()
         banded = table.where("bands is not null")
-        of = lambda name, i: banded.select(F.col("set_hash").alias(name), F.explode(F.slice("bands", i + 1, BAND_BLOCK)).alias("key"))
-        blocks = [of("a", i).join(of("b", i), "key").where("a < b").select("a", "b") for i in range(0, bands, BAND_BLOCK)]
+        blocks = [pairs_within(banded.select("set_hash", F.explode(F.slice("bands", i + 1, BAND_BLOCK)).alias("key")), "key", "set_hash") for i in range(0, bands, BAND_BLOCK)]
         pairs = functools.reduce(DataFrame.unionByName, blocks).distinct()
         short = banded.groupBy("set_hash").agg(F.first("short").alias("short"))
         left, right = (short.select(F.col("set_hash").alias(x), F.col("short").alias(f"s{x}")) for x in "ab")
@@ -142,8 +169,8 @@ class NearDuplicates:
         m = self.members
         first, second = m.select(F.col("set_hash").alias("a"), F.col("id").alias("x")), m.select(F.col("set_hash").alias("b"), F.col("id").alias("y"))
         linked = self.links.join(first, "a").join(second, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-        same = first.join(second, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("similarity"))
-        return linked.unionByName(same)
+        same = pairs_within(m, "set_hash", "id").withColumn("similarity", F.lit(1.0))
+        return linked.where("a <> b").unionByName(same).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
     def classes(self) -> DataFrame:
         """id, class_id, copies, links: one row a record; class_id is the least set_hash that links lead to.

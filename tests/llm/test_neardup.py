@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maieutic.llm import shingles
-from maieutic.llm.neardup import NearDuplicates, components, similar_tasks
+from maieutic.llm.neardup import NearDuplicates, components, pairs_within, similar_tasks
 
 
 def jaccard(a, b, k):
@@ -74,3 +74,27 @@ def test_tasks_with_nulls(spark):
     kind = "task struct<task_id string, statement string, buggy_solution string>"
     df = spark.createDataFrame([(("a", "one two three four five six", None),), (("b", None, "one two three four five six"),), (("c", None, None),), (None,)], kind)
     assert [tuple(r)[:2] for r in similar_tasks(df).pairs().collect()] == [("a", "b")]
+
+
+def test_values_of_a_hot_key_are_paired_in_blocks(spark):
+    rows = [("hot", v) for v in range(300)] * 2 + [("warm", v) for v in range(0, 40, 2)] + [("cold", 7), (None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "key string, set_hash long").repartition(7)
+    got = [tuple(r) for r in pairs_within(df.where("key is not null"), "key", "set_hash", 50).collect()]
+    want = list(itertools.combinations(range(300), 2)) + list(itertools.combinations(range(0, 40, 2), 2))
+    assert sorted(got) == sorted(want)
+    assert pairs_within(df.limit(0), "key", "set_hash").count() == 0
+
+
+def test_many_near_copies_in_many_partitions(spark, rng, say):
+    base = say(80)
+    texts = [base + f" tail{i} of copy" for i in range(150)]
+    df = spark.createDataFrame([(i * 10 + j, t) for i, t in enumerate(texts) for j in range(3)], "id long, text string").repartition(12)
+    got = NearDuplicates(df, F.col("id"), F.col("text"), 0.8, 5)
+    assert got.links.count() == 150 * 149 // 2 and got.pairs().count() == 450 * 449 // 2
+    assert {r.class_id for r in got.classes().select("class_id").distinct().collect()}.__len__() == 1
+
+
+def test_an_id_with_two_texts_counts_with_each(spark, say):
+    a, b = say(60), say(60)
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, b + " end")], "id long, text string")
+    assert {(r.a, r.b) for r in NearDuplicates(df, F.col("id"), F.col("text"), 0.8, 5).pairs().collect()} == {(1, 2), (1, 3)}
