@@ -11,23 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maieutic.llm.endings import CUT, ending, json_start
+from maieutic.llm.languages import WEIGHTS, languages_differ, profile
 from maieutic.llm.shingles import words
 
 #: Share of the answer's three-word runs that are in the question, and of its words in their common subsequence, from which it is a copy.
 RUNS_COPIED, WORDS_COPIED = 0.45, 0.8
 #: Share of the question's words that a copy of the whole question holds.
 WHOLE = 0.85
-#: Fewest function words, and how many times those of another language, for a text to count as of a language.
-LEAST_HITS, CLEAR = 2, 1.5
-
-# Frequent function words of each language.
-FUNCTION_WORDS = {
-    "en": "the of and is to in that it for you what which does with on be this are as at by from or not would how why where when its an must so after before see their can",
-    "de": "der die das und ist zu den dem des ein eine einen einer nicht mit für auf von im wird sich als auch aus bei nach wie wenn dann oder noch soll sehen nur weil bitte du deine",
-    "es": "el la los las de del que y en un una es se por con para su al lo como más pero qué debe quedar cuando cada primero luego todas dentro cuántas valor",
-    "fr": "le la les de des du et en un une est que qui dans pour pas sur au aux ce se par plus ne sont avec où quel quelle il elle faut chacun combien tu doit leur",
-}
-_WORDS_OF = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+#: Words of the question, function words aside, that a part of an answer must take up to be of use beside a refusal.
+TAKEN_UP = 3
+
+# Words that guide a learner, and words that set a second thought against a first.
+GUIDING = frozenset(
+    "check print look compare write trace follow think consider count run test step read imagine walk mark watch inspect log find start notice "
+    "prüfe gib schau vergleiche schreibe verfolge überlege zähle führe teste lies beobachte notiere beginne sieh denk "
+    "comprueba imprime mira compara escribe sigue piensa cuenta ejecuta lee observa anota empieza revisa fíjate "
+    "vérifie affiche regarde écris suis pense compte exécute lis observe note commence cherche".split()
+)
+_CLAUSE = re.compile(r"[;:,–—]+\s+(?=(?:but|yet|however|though|aber|doch|jedoch|pero|aunque|mais|pourtant)\b)|(?<=[;:])\s+|\s+(?=(?:but|yet|aber|jedoch|pero|mais)\b)", re.I)
 
 # Refusal templates. A template aligns with a sentence if its words occur in it in order; / parts alternatives.
 REFUSALS = {
@@ -76,6 +77,18 @@ REFUSALS = {
         refuse/refusons de
     """,
 }
+# Questions of courtesy, as templates.
+COURTESY = """
+    anything/something else
+    can/could/may i/we help
+    sonst noch
+    kann/können ich/wir helfen
+    algo más
+    puedo/podemos ayudar/ayudarte/ayudarle
+    autre chose
+    puis aider
+"""
+_COURTESY = [[frozenset(w.split("/")) for w in line.split()] for line in COURTESY.strip().splitlines()]
 _TEMPLATES = [[frozenset(w.split("/")) for w in line.split()] for block in REFUSALS.values() for line in block.strip().splitlines()]
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _FENCE_MARK = re.compile(r"(?:```|~~~)[ \t]*[\w+\-]*[ \t]*")
@@ -147,22 +160,29 @@ def aligned(tokens: list[str], template: list[frozenset[str]], spread: int = 5)
     return False
 
 
-def refuses(text: str) -> bool:
+def refuses(text: str, question: str | None = None) -> bool:
     """Whether a text declines and offers nothing of use.
 
-    A sentence at its beginning aligns with a refusal template; no sentence names
-    code or asks anything about it, and each further one is short, as thanks, advice to
-    ask somebody else, and excuses are.
+    Some clause, wherever it stands, aligns with a refusal template. None of the text names
+    code, and no other clause is of use: asks something beyond courtesy, guides, or takes up what the
+    question speaks of. Thanks, excuses and advice to ask somebody else may have any length.
     """
     body = _LEAD_IN.sub("", text.strip())
     if "`" in body or re.search(r"[^\W_]_[^\W_]", body) or is_code(body):
         return False
-    parts = [_TOKEN.findall(p.lower().replace("’", "'")) for p in _SENTENCE.split(body)]
-    parts = [p for p in parts if p]
-    if not parts or sum(map(len, parts)) > 80:
-        return False
-    hits = [any(aligned(p, t) for t in _TEMPLATES) for p in parts]
-    return any(hits[:2]) and all(h or len(p) <= 14 for h, p in zip(hits, parts))
+    asked = {w for w in words(question) if len(w) >= 4 and w not in WEIGHTS}
+    declined = False
+    for sentence in _SENTENCE.split(body):
+        said = _TOKEN.findall(sentence.lower().replace("’", "'"))
+        if sentence.rstrip("\"'”») ").endswith("?") and not any(aligned(said, t) for t in _COURTESY):
+            return False
+        for clause in _CLAUSE.split(sentence):
+            tokens = _TOKEN.findall(clause.lower().replace("’", "'"))
+            if any(aligned(tokens, t) for t in _TEMPLATES):
+                declined = True
+            elif not GUIDING.isdisjoint(tokens) or len(asked.intersection(tokens)) >= TAKEN_UP:
+                return False
+    return declined
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -194,16 +214,6 @@ def copied_share(question: list[str], answer: list[str]) -> tuple[float, float,
     return held, n / len(answer), n / len(question)
 
 
-def language(text: str) -> str | None:
-    """The language whose function words are most frequent in a text; None if that is not clear."""
-    hits = {k: 0 for k in _WORDS_OF}
-    for t in _TOKEN.findall(text.lower()):
-        for k, known in _WORDS_OF.items():
-            hits[k] += t in known
-    first, second = sorted(hits.values(), reverse=True)[:2]
-    return max(hits, key=hits.get) if first >= LEAST_HITS and first >= CLEAR * second else None
-
-
 def natural(text: str) -> str:
     """A text without code, fences, quoted names and a short lead-in."""
     text = _CODE_BLOCK.sub(" ", text)
@@ -219,7 +229,7 @@ def defect(question: str | None, answer: str | None) -> str | None:
     """empty, refusal, copied, truncated, other_language, or None.
 
     A null question has no language and nothing to copy. A text in which no language
-    is clear is in no other language.
+    is clear is in no other language; see languages for those that are told apart.
     """
     if is_empty(answer):
         return "empty"
@@ -234,7 +244,7 @@ def defect(question: str | None, answer: str | None) -> str | None:
             said = beside
     cut = ending(answer)[0] == CUT
     if not programs:
-        if not cut and refuses(said):
+        if not cut and refuses(said, question):
             return "refusal"
         q, a = words(question), words(said)
         held, mine, whole = copied_share(q, a)
@@ -247,8 +257,7 @@ def defect(question: str | None, answer: str | None) -> str | None:
     if cut:
         return "truncated"
     if question:
-        asked, answered = language(natural(question)), language(spoken)
-        if asked and answered and asked != answered:
+        if languages_differ(profile(natural(question)), profile(spoken)):
             return "other_language"
     return None
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from maieutic.llm.pairs import common_subsequence, copied_share, defect, defective_pairs, language
+from maieutic.llm.languages import languages_differ, main_language, profile
+from maieutic.llm.pairs import common_subsequence, copied_share, defect, defective_pairs
 from maieutic.llm.shingles import words
 
 Q = "Write `count_items`, which takes the recipes of Holby and returns the shelf life for each of the bakers. An empty input gives an empty result, also for Selwick."
@@ -69,7 +70,30 @@ def test_common_subsequence_equals_the_table():
 
 
 def test_language():
-    assert language("the value of the list is not what you expect") == "en" and language("xx yy") is None
+    of = lambda t: main_language(profile(t))
+    assert of("the value of the list is not what you expect") == "en" and of("xx yy") is None
+    assert of("Какое значение имеет список после первого шага") == "cyrillic" and of("リストの値はどこで変わりますか") == "kana"
+    assert languages_differ(profile("the value of the list is not what you expect"), profile("Hoe vaak wordt de lijst gemaakt en wat is er dan nog niet in te zien?"))
+    assert not languages_differ(profile("el valor de la lista no es el que esperas"), profile("qué valor tiene la lista cuando el bucle termina"))
+
+
+LONG = " ".join(["The service keeps to rules that others have set, and staff may explain them in person on any weekday."] * 12)
+
+
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        ("Thank you for writing. The team values every message. I cannot help with that request.", "refusal"),
+        ("I cannot help with that request. " + LONG, "refusal"),
+        ("I'd rather not answer this. Is there anything else you would like to talk about?", "refusal"),
+        ("I cannot give the solution, but look at the first value again.", None),
+        ("I cannot give the solution. What is the first value?", None),
+        ("I will not solve it. The recipes of the bakers of Holby and the shelf life belong together.", None),
+        ("Hoe vaak wordt de lijst gemaakt en wat is er dan nog niet in te zien? Dat moet je met de hand nagaan voor je het opnieuw probeert.", "other_language"),
+    ],
+)
+def test_refusals_anywhere_and_other_languages(answer, want):
+    assert defect(Q, answer) == want
 
 
 def test_operator(spark):
