@@ -24,12 +24,18 @@ class Rejected(Exception):
     pass
 
 
+#: The reason of a parser that ran out of stack or memory: the text may be sound all the same.
+BEYOND = "beyond the limits of the parser"
+
+
 def python3(text: str) -> str | None:
     try:
         ast.parse(text)
     except SyntaxError as e:
         return f"{type(e).__name__}: {e.msg}"
-    except (ValueError, RecursionError, MemoryError, UnicodeError) as e:
+    except (RecursionError, MemoryError):
+        return BEYOND
+    except (ValueError, UnicodeError) as e:
         return f"{type(e).__name__}: {str(e)[:80]}"
     return None
 
@@ -1142,7 +1148,7 @@ _SIGNS: dict[str, re.Pattern] = {
 }
 
 
-#: Signs a line that a foreign language needs at least, before its parse counts.
+#: Signs a line that a foreign language needs at least for its successful parse to count.
 FOREIGN_SIGNS = 0.2
 
 
@@ -1179,17 +1185,21 @@ def damage(text: str, reason: str) -> str:
     return "syntax"
 
 
-def classify(text: str, expected: str = "python") -> tuple[bool, str | None, str | None, str | None]:
+def classify(text: str, expected: str = "python") -> tuple[bool | None, str | None, str | None, str | None]:
     """Whether the expected grammar accepts text; else the foreign grammar that does, the damage, and the reason.
 
-    Grammars are tried in the order of rank_languages. A foreign parse counts only
-    where its language has FOREIGN_SIGNS, so that a fence is not a shell script.
+    A text that the expected grammar refuses goes through all others, in the order of
+    rank_languages. The first that accepts it, and for whose language the text has
+    FOREIGN_SIGNS, is its language (a fence alone is a shell script too, but not meant as one);
+    where there is none, the text is damaged. Null instead of a verdict where the
+    expected grammar's parser came to its limits.
     """
     reason = GRAMMARS[expected](text)
     if reason is None:
         return True, None, None, None
+    if reason == BEYOND:
+        return None, None, None, reason
     signs = language_signs(text)
-    for name in rank_languages(text):
-        if name != expected and signs[name] >= FOREIGN_SIGNS and GRAMMARS[name](text) is None:
-            return False, name, None, reason
-    return False, None, damage(text, reason), reason
+    accepted = [name for name in rank_languages(text) if name != expected and GRAMMARS[name](text) is None]
+    meant = next((name for name in accepted if signs[name] >= FOREIGN_SIGNS), None)
+    return (False, meant, None, reason) if meant else (False, None, damage(text, reason), reason)

@@ -16,10 +16,10 @@ _SCHEMA = "parses boolean, foreign_language string, damage string, reason string
 def parse_files(files: DataFrame, keys: dict[str, Column], source: Column, expected: str = "python", failures_only: bool = False) -> DataFrame:
     """The columns of keys, and for each file whether it parses in the expected language.
 
-    parses is null for a null or blank file. A file that fails is tried against all
-    other grammars: foreign_language is the first that accepts it (a wrong
-    extension), damage the likely corruption where none does, reason the message of
-    the expected grammar. Files are read whole. Repeated rows stay repeated; an empty
+    parses is null for a null or blank file, and, with a reason, for one that takes the
+    parser to its limits. A file that fails is parsed by all other grammars:
+    foreign_language is the first by token ranking that accepts it (a wrong extension), damage the
+    likely corruption where none does, reason the message of the expected grammar. Files are read whole. Repeated rows stay repeated; an empty
     table gives an empty result; columns beside keys and source are not read.
 
     failures_only: only files that do not parse, so that a caller after those alone
@@ -47,8 +47,9 @@ def parse_files(files: DataFrame, keys: dict[str, Column], source: Column, expec
 
 
 def unparsed_tasks(episodes: DataFrame) -> DataFrame:
-    """task_id of each task whose buggy_solution is neither null nor blank and is no Python module."""
-    return parse_files(episodes, {"task_id": F.col("task.task_id")}, F.col("task.buggy_solution"), failures_only=True).where("task_id is not null").select("task_id").distinct()
+    """task_id of each task whose buggy_solution, neither null nor blank, is a program of another language or corrupted."""
+    failed = parse_files(episodes, {"task_id": F.col("task.task_id")}, F.col("task.buggy_solution"), failures_only=True)
+    return failed.where("task_id is not null and (foreign_language is not null or damage is not null)").select("task_id").distinct()
 
 
 def language_name(raw: Column) -> Column:
@@ -58,17 +59,17 @@ def language_name(raw: Column) -> Column:
 
 
 def parse_rates(episodes: DataFrame) -> DataFrame:
-    """For each repo and language of task.metadata: tasks with a program, those that do not parse, by kind, and the rate.
+    """For each repo and language of task.metadata: tasks with a program, those that do not parse, by kind, those beyond the parser, and the rate.
 
     A missing repo or language is unknown. Tasks that occur in several rows count once.
     """
     meta = F.col("task.metadata")
     rows = parse_files(episodes, {"task_id": F.col("task.task_id"), "meta": meta}, F.col("task.buggy_solution"))
     tasks = (
-        rows.where("task_id is not null and parses is not null")
-        .select("task_id", F.coalesce(F.get_json_object("meta", "$.repo"), F.lit("unknown")).alias("repo"), language_name(F.get_json_object("meta", "$.language")).alias("language"), "parses", F.col("foreign_language").isNotNull().alias("wrong"))
+        rows.where("task_id is not null and (parses is not null or reason is not null)")
+        .select("task_id", F.coalesce(F.get_json_object("meta", "$.repo"), F.lit("unknown")).alias("repo"), language_name(F.get_json_object("meta", "$.language")).alias("language"), "parses", F.col("foreign_language").isNotNull().alias("wrong"), F.col("damage").isNotNull().alias("damaged"))
         .groupBy("task_id")
-        .agg(F.min(F.struct("repo", "language", "parses", "wrong")).alias("t"))
+        .agg(F.min(F.struct("repo", "language", "parses", "wrong", "damaged")).alias("t"))
         .select("t.*")
     )
     count = lambda c: F.count_if(c)
@@ -76,5 +77,7 @@ def parse_rates(episodes: DataFrame) -> DataFrame:
         F.count("*").alias("n_files"),
         count(~F.col("parses")).alias("n_unparsed"),
         count(F.col("wrong")).alias("n_wrong_language"),
+        count(F.col("damaged")).alias("n_corrupted"),
+        count(F.col("parses").isNull()).alias("n_unknown"),
         F.round(count(~F.col("parses")) / F.count("*"), 6).alias("unparsed_rate"),
     )

@@ -55,3 +55,9 @@ def test_operator(spark):
     bad = parse_files(df, {"id": F.col("id")}, F.col("src"), failures_only=True)
     assert sorted(r.id for r in bad.collect()) == ["b", "b", "e"]
     assert parse_files(df.limit(0), {"id": F.col("id")}, F.col("src")).count() == 0
+
+
+def test_what_is_beyond_the_parser_is_unknown():
+    for text in ("x = " + " + ".join(["1"] * 60_000), "x = " + "-" * 20_000 + "1"):
+        parses, foreign, damage, reason = classify(text)
+        assert (parses, foreign, damage) in ((None, None, None), (True, None, None)) and (reason is None) == bool(parses)
