@@ -6,10 +6,10 @@ import re
 
 # Frequent function words of each language that is written in Latin letters.
 FUNCTION_WORDS = {
-    "en": "the of and is to in that it for you what which does with on be this are as at by from or not would how why where when its an must so after before see their can",
-    "de": "der die das und ist zu den dem des ein eine einen einer nicht mit für auf von im wird sich als auch aus bei nach wie wenn dann oder noch soll sehen nur weil bitte du deine",
-    "es": "el la los las de del que y en un una es se por con para su al lo como más pero qué debe quedar cuando cada primero luego todas dentro cuántas valor",
-    "fr": "le la les de des du et en un une est que qui dans pour pas sur au aux ce se par plus ne sont avec où quel quelle il elle faut chacun combien tu doit leur",
+    "en": "the of and is to in that it for you what which does with on be this are as at by from or not would how why where when its an must so after before see their can while if but there have has had only we they them then than into",
+    "de": "der die das und ist zu den dem des ein eine einen einer nicht mit für auf von im wird sich als auch aus bei nach wie wenn dann oder noch soll sehen nur weil bitte du deine ich sie er wir hat haben sind war so an bis über",
+    "es": "el la los las de del que y en un una es se por con para su al lo como más pero qué debe quedar cuando cada primero luego todas dentro cuántas valor a no me está tu sin si ya hay sobre esta este",
+    "fr": "le la les de des du et en un une est que qui dans pour pas sur au aux ce se par plus ne sont avec où quel quelle il elle faut chacun combien tu doit leur je me ta a on si à vous nous cette avant après",
     "it": "il lo gli di del della dei che è e in un una per con non sono si da nel nella più come questo ogni quando prima dopo anche quale cosa",
     "pt": "o os a as de do da dos das que e em um uma é se por com para não no na ao mais como cada quando antes depois são seu sua qual isso",
     "nl": "de het een en van is dat in op te niet met voor zijn aan er wordt als ook bij naar hoe wanneer dan nog moet alleen omdat je deze welke",
@@ -49,7 +49,7 @@ _SCRIPTS = {
 _LETTERS = {k: re.compile(f"[{v}]") for k, v in _SCRIPTS.items()}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 #: Least weight of function words, and how many times that of the other language, for a text to be clearly of a language; least letters of a script without function words.
-LEAST_WEIGHT, CLEAR, LEAST_LETTERS = 2.0, 1.5, 12
+LEAST_WEIGHT, CLEAR, LEAST_LETTERS = 1.5, 1.5, 12
 
 
 def profile(text: str) -> dict[str, float]:
