@@ -414,6 +414,14 @@ def _sentences(number: np.ndarray, sizes: np.ndarray) -> Sentences:
     return Sentences(of, number < _CODE_NUMBER, has_code, np.repeat(np.arange(len(sizes)), sizes)[end])
 
 
+def merged(term: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's different terms, ascending, how often each occurs in it, and how many there are in each row."""
+    cell = np.sort((np.repeat(np.arange(len(sizes)), sizes) << 16) | term)
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    count = np.diff(first, append=len(cell))
+    return cell[first] & 0xFFFF, count, np.bincount(cell[first] >> 16, minlength=len(sizes))
+
+
 def _known_only(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms of the sentences without code, how many each row has, and the rows that have any, by number."""
     number, sizes = _flat(piece.column("terms"), np.uint16)
@@ -465,7 +473,8 @@ def gathered(matrix: DataFrame, terms: Terms, h: np.ndarray, inner: int) -> tupl
             term, sizes, rows = _known_only(piece)
             if not len(term):
                 continue
-            weight = weigh[term] * np.repeat(np.asarray(piece.column("weight"))[rows], sizes)
+            term, count, sizes = merged(term, sizes)
+            weight = weigh[term] * count.astype(np.float32) * np.repeat(np.asarray(piece.column("weight"))[rows], sizes)
             _, share, chance = solved(now, weight, term, sizes, None, inner)
             divergence -= float(weight @ np.log(chance))
             mass += float(weight.sum())
@@ -574,8 +583,8 @@ def sentence_subjects(model: Model, number: np.ndarray, sizes: np.ndarray, inner
     in_row = np.bincount(s.row[s.of[plain]], minlength=len(sizes))
     rows = np.flatnonzero(in_row)
     if len(rows):
-        own = number[plain].astype(np.int64)
-        mixture[:, rows] = solved(h, weight[own], own, in_row[rows], None, inner)[0]
+        own, count, different = merged(number[plain].astype(np.int64), in_row[rows])
+        mixture[:, rows] = solved(h, weight[own] * count.astype(np.float32), own, different, None, inner)[0]
     in_sentence = np.bincount(s.of[s.is_term], minlength=n)
     some = np.flatnonzero(in_sentence)
     begin = mixture[:, s.row[some]] + np.float32(0.05 / len(h))
