@@ -275,10 +275,18 @@ def packed_documents(documents: DataFrame, container_sizes: DataFrame, method: s
 
 
 def fill_report(packed: DataFrame, container_sizes: DataFrame) -> DataFrame:
-    """container_kind, capacity, n_pieces, n_tokens, n_containers, least_containers, room_share; least_containers is the tokens' own lower bound."""
+    """container_kind, capacity, n_pieces, n_tokens, n_containers, fullest, least_containers, room_share, n_split_texts, mean_pieces.
+
+    least_containers is the tokens' own lower bound; mean_pieces is that of the texts that
+    were split, null where none was.
+    """
     sizes = container_sizes.groupBy("container_kind").agg(F.min("capacity_tokens").cast("long").alias("capacity"))
-    each = packed.groupBy("container_kind", "container_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"))
-    total = each.groupBy("container_kind").agg(F.sum("pieces").alias("n_pieces"), F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_containers"), F.max("tokens").alias("fullest"))
+    each = packed.groupBy("container_kind", "container_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.count_if(F.col("piece_no") == 1).alias("split"), F.count_if(F.col("piece_no") >= 1).alias("further"))
+    total = each.groupBy("container_kind").agg(
+        F.sum("pieces").alias("n_pieces"), F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_containers"), F.max("tokens").alias("fullest"), F.sum("split").alias("n_split_texts"), F.sum("further").alias("further")
+    )
+    room = 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))
+    pieces = F.when(F.col("n_split_texts") > 0, 1 + F.col("further") / F.col("n_split_texts"))
     return total.join(sizes, "container_kind").select(
-        "container_kind", "capacity", "n_pieces", "n_tokens", "n_containers", "fullest", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_containers"), F.round(1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 6).alias("room_share")
+        "container_kind", "capacity", "n_pieces", "n_tokens", "n_containers", "fullest", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_containers"), F.round(room, 6).alias("room_share"), "n_split_texts", F.round(pieces, 6).alias("mean_pieces")
     )

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
 
+#: Groups of which a task keeps heaps at once; beyond, the engine sorts the rest of the task's rows by group, with the same result. Its own setting, 128, would sort nearly all rows.
+GROUPS_A_TASK = 100_000
+_FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+
+
 def topic_key(topic: Column) -> Column:
     """Lower case, underscores as blanks, runs of blanks as one, trimmed; null stays null."""
     return F.trim(F.regexp_replace(F.lower(F.replace(topic, F.lit("_"), F.lit(" "))), r"\s+", " "))
@@ -24,8 +29,12 @@ def top_n_per_group(items: DataFrame, group: Column, score: Column, ties: Sequen
 
     Rows whose group or score is null, or whose score is NaN, are left out. A null
     tie value comes after all others. Equal rows stay apart: remove copies before.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Raises the session's limit of groups a task
+    to GROUPS_A_TASK where it is lower.
     """
+    conf = items.sparkSession.conf
+    if int(conf.get(_FALLBACK)) < GROUPS_A_TASK:
+        conf.set(_FALLBACK, str(GROUPS_A_TASK))
     if n < 1 or len(names) != 1 + len(ties):
         raise ValueError("n must be positive, and names must hold the group and each tie column")
     rows = items.select(group.alias("g"), score.cast("double").alias("s"), *(c.alias(f"t{i}") for i, c in enumerate(ties))).where(
