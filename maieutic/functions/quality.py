@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maieutic.functions.text import let, strip
@@ -69,9 +71,14 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), F.lit(0))
 
 
+def ignored() -> Column:
+    """IGNORED as one literal, folded before a query runs."""
+    return F.split(F.lit(" ".join(IGNORED)), " ")
+
+
 def own_identifiers(text: Column) -> Column:
     """The different identifiers of a text that are no keyword, built-in or word of tutoring."""
-    return F.array_except(identifiers(text), F.array(*map(F.lit, IGNORED)))
+    return F.array_except(identifiers(text), ignored())
 
 
 def error_name(text: Column) -> Column:
@@ -94,94 +101,96 @@ def foreign_identifiers(hint: Column, allowed: Column) -> Column:
     t = F.coalesce(hint, F.lit(""))
     marked = F.flatten(F.transform(F.regexp_extract_all(t, F.lit("`([^`]+)`"), F.lit(1)), identifiers))
     called = F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))
-    foreign = F.array_except(F.array_except(F.concat(marked, called), allowed), F.array(*map(F.lit, IGNORED)))
+    foreign = F.array_except(F.array_except(F.concat(marked, called), allowed), ignored())
     return F.array_sort(F.filter(foreign, lambda x: F.length(x) > 1))
 
 
 def hint_context(program: Column, failure: Column, asserts: Column, target: Column, status: Column) -> Column:
-    """What hint_quality has to know of a task: a struct."""
-    none = F.array().cast(_TEXTS)
-
-    def context(v: Column) -> Column:
-        names = own_identifiers(F.concat_ws("\n", v["program"], v["failure"], v["checks"]))
-        return F.struct(
-            F.array_union(names, F.when(v["goal"] != "", F.array(v["goal"])).otherwise(none)).alias("allowed"),
-            v["goal"].alias("target"),
-            v["checks"].alias("checks"),
-            v["name"].alias("error_name"),
-            F.coalesce(F.nullif(F.lower(strip(v["status"])), F.lit("")), F.lit("failed")).alias("status"),
-            fails_to_compile(v["name"], v["failure"]).alias("compile_failure"),
-        )
-
-    return let(context, program=program, failure=failure, checks=assert_context(asserts), goal=strip(F.coalesce(target, F.lit(""))), name=error_name(failure), status=status)
+    """What hint_quality has to know of a task: a struct. Parts that several fields share are worked out once a row by compiled code."""
+    checks, goal, name = assert_context(asserts), strip(F.coalesce(target, F.lit(""))), error_name(failure)
+    return F.struct(
+        F.array_union(own_identifiers(F.concat_ws("\n", program, failure, checks)), F.when(goal != "", F.array(goal)).otherwise(F.array().cast(_TEXTS))).alias("allowed"),
+        goal.alias("target"),
+        checks.alias("checks"),
+        name.alias("error_name"),
+        F.coalesce(F.nullif(F.lower(strip(status)), F.lit("")), F.lit("failed")).alias("status"),
+        fails_to_compile(name, failure).alias("compile_failure"),
+    )
 
 
 def prompt_context(prompt: Column) -> Column:
     """The same struct, read from the code and error blocks of a rendered prompt, or from all of a prompt without them."""
-    block = lambda p, head, kind: F.regexp_extract(p, rf"(?s)## {head}\n```{kind}\n(.*?)\n```", 1)
-    has = lambda p, head, kind: F.rlike(p, F.lit(rf"(?s)## {head}\n```{kind}\n.*?\n```"))
-    part = lambda p, head, kind: F.when(has(p, head, kind), block(p, head, kind)).otherwise(p)
+    p = F.coalesce(prompt, F.lit(""))
+    block = lambda head, kind: F.regexp_extract(p, rf"(?s)## {head}\n```{kind}\n(.*?)\n```", 1)
+    part = lambda head, kind: F.when(F.rlike(p, F.lit(rf"(?s)## {head}\n```{kind}\n.*?\n```")), block(head, kind)).otherwise(p)
+    code, failure = part("Code", "python"), part("Error", "text")
+    name = error_name(failure)
+    return F.struct(
+        own_identifiers(F.concat_ws("\n", code, failure)).alias("allowed"),
+        F.lit("").alias("target"),
+        F.lit("").alias("checks"),
+        name.alias("error_name"),
+        F.when(F.contains(p, F.lit(NO_FAILURE)), F.lit("passed")).otherwise(F.lit("failed")).alias("status"),
+        fails_to_compile(name, failure).alias("compile_failure"),
+    )
 
-    def context(v: Column) -> Column:
-        name = error_name(v["failure"])
-        return F.struct(
-            own_identifiers(F.concat_ws("\n", v["code"], v["failure"])).alias("allowed"),
-            F.lit("").alias("target"),
-            F.lit("").alias("checks"),
-            name.alias("error_name"),
-            F.when(v["passed"], F.lit("passed")).otherwise(F.lit("failed")).alias("status"),
-            fails_to_compile(name, v["failure"]).alias("compile_failure"),
-        )
 
-    return let(lambda v: let(context, code=part(v["p"], "Code", "python"), failure=part(v["p"], "Error", "text"), passed=F.contains(v["p"], F.lit(NO_FAILURE))), p=F.coalesce(prompt, F.lit("")))
+def hint_signs(hint: Column, context: Column) -> dict[str, Column]:
+    """What is counted in a hint, by name: as columns of their own, so that each is worked out once before rated reads it."""
+    t = F.coalesce(hint, F.lit(""))
+    low, ids = F.lower(t), identifiers(t)
+    return {
+        "mentioned": F.array_except(F.array_intersect(ids, context["allowed"]), ignored()),
+        "foreign": foreign_identifiers(t, context["allowed"]),
+        "odd": (F.length(t) - F.length(F.replace(t, F.lit("`"), F.lit("")))) % 2 == 1,
+        "named": F.size(F.array_intersect(own_identifiers(context["checks"]), ids)),
+        "generic": _number(low, GENERIC),
+        "saw_pass": _any(low, PASSED_HINTS),
+        "saw_compile": _any(low, COMPILE_HINTS),
+    }
+
+
+def rated(hint: Column, context: Column, signs: Mapping[str, Column]) -> Column:
+    """delta, severe, reasons, mentioned, foreign out of what hint_signs counted: a struct."""
+    d = lambda c, x: F.when(c, x if isinstance(x, Column) else F.lit(x)).otherwise(F.lit(0.0))
+    reason = lambda c, x: F.when(c, F.lit(x))
+    t = F.coalesce(hint, F.lit(""))
+    low, n, name, target = F.lower(t), F.size(signs["mentioned"]), context["error_name"], context["target"]
+    odd, generic, foreign, saw_compile, saw_pass = (signs[k] for k in ("odd", "generic", "foreign", "saw_compile", "saw_pass"))
+    passed, broken = context["status"] == "passed", context["compile_failure"]
+    is_generic, is_foreign, missed, missed_compile = (generic > 0) & (n < 2), F.size(foreign) > 0, passed & ~saw_pass, broken & ~saw_compile
+    delta = (
+        d(odd, -1.1)
+        + d((target != "") & F.contains(t, target), 0.45)
+        + d((name != "") & F.contains(t, name), 0.35)
+        + F.least(F.lit(0.55), 0.14 * signs["named"])
+        + F.least(F.lit(0.55), 0.12 * n)
+        - d(is_generic, F.least(F.lit(0.8), 0.25 * generic))
+        - d(is_foreign, F.least(F.lit(2.6), 1.0 * F.size(foreign)))
+        + d(passed & saw_pass, 0.35)
+        - d(missed, 3.0)
+        + d(broken & (name != "") & F.contains(low, F.lower(name)), 0.25)
+        + d(broken & saw_compile, 0.45)
+        - d(missed_compile, 2.4)
+    )
+    return F.struct(
+        delta.alias("delta"),
+        (missed | is_foreign & odd).alias("severe"),
+        kept(reason(odd, "unbalanced_backticks"), reason(is_generic, "generic_hint"), reason(is_foreign, "hallucinated_identifiers"), reason(missed, "missed_passed_execution"), reason(missed_compile, "missed_compile_failure")).alias("reasons"),
+        F.array_sort(signs["mentioned"]).alias("mentioned"),
+        foreign.alias("foreign"),
+    )
 
 
 def hint_quality(hint: Column, context: Column) -> Column:
-    """delta, severe, reasons, mentioned, foreign: how well a hint keeps to its task, by counting; a struct."""
-    d = lambda c, x: F.when(c, x if isinstance(x, Column) else F.lit(x)).otherwise(F.lit(0.0))
-    reason = lambda c, x: F.when(c, F.lit(x))
+    """rated in one expression: how well a hint keeps to its task, by counting. Over many rows with_quality is quicker."""
+    return let(lambda v: rated(v["t"], v["c"], {k: v[k] for k in hint_signs(v["t"], v["c"])}), t=hint, c=context, **hint_signs(hint, context))
+
 
-    def rated(v: Column) -> Column:
-        t, low, n, name = v["t"], v["low"], F.size(v["mentioned"]), v["c"]["error_name"]
-        passed, compiles, target = v["c"]["status"] == "passed", ~v["c"]["compile_failure"], v["c"]["target"]
-        odd, is_generic, is_foreign, missed, missed_compile = v["odd"], (v["generic"] > 0) & (n < 2), F.size(v["foreign"]) > 0, passed & ~v["saw_pass"], ~compiles & ~v["saw_compile"]
-        delta = (
-            d(odd, -1.1)
-            + d((target != "") & F.contains(t, target), 0.45)
-            + d((name != "") & F.contains(t, name), 0.35)
-            + F.least(F.lit(0.55), 0.14 * v["named"])
-            + F.least(F.lit(0.55), 0.12 * n)
-            - d(is_generic, F.least(F.lit(0.8), 0.25 * v["generic"]))
-            - d(is_foreign, F.least(F.lit(2.6), 1.0 * F.size(v["foreign"])))
-            + d(passed & v["saw_pass"], 0.35)
-            - d(missed, 3.0)
-            + d(~compiles & (name != "") & F.contains(low, F.lower(name)), 0.25)
-            + d(~compiles & v["saw_compile"], 0.45)
-            - d(missed_compile, 2.4)
-        )
-        return F.struct(
-            delta.alias("delta"),
-            (missed | is_foreign & odd).alias("severe"),
-            kept(reason(odd, "unbalanced_backticks"), reason(is_generic, "generic_hint"), reason(is_foreign, "hallucinated_identifiers"), reason(missed, "missed_passed_execution"), reason(missed_compile, "missed_compile_failure")).alias("reasons"),
-            F.array_sort(v["mentioned"]).alias("mentioned"),
-            v["foreign"].alias("foreign"),
-        )
-
-    def seen(v: Column) -> Column:
-        t, low, c = v["t"], v["low"], v["c"]
-        return let(
-            rated,
-            t=t,
-            low=low,
-            c=c,
-            mentioned=F.array_except(F.array_intersect(v["ids"], c["allowed"]), F.array(*map(F.lit, IGNORED))),
-            foreign=foreign_identifiers(t, c["allowed"]),
-            odd=(F.length(t) - F.length(F.replace(t, F.lit("`"), F.lit("")))) % 2 == 1,
-            named=F.size(F.array_intersect(own_identifiers(c["checks"]), v["ids"])),
-            generic=_number(low, GENERIC),
-            saw_pass=_any(low, PASSED_HINTS),
-            saw_compile=_any(low, COMPILE_HINTS),
-        )
-
-    text = F.coalesce(hint, F.lit(""))
-    return let(seen, t=text, low=F.lower(text), ids=identifiers(text), c=context)
+def with_quality(rows: DataFrame, hint: str, context: Column, name: str) -> DataFrame:
+    """rows with rated as a column of that name, in three projections, each of which reads what the one before worked out once."""
+    own = {k: f"_{name}_{k}" for k in ("context", "mentioned", "foreign", "odd", "named", "generic", "saw_pass", "saw_compile")}
+    read = rows.withColumn(own["context"], context)
+    signs = hint_signs(F.col(hint), F.col(own["context"]))
+    read = read.withColumns({own[k]: c for k, c in signs.items()})
+    return read.withColumn(name, rated(F.col(hint), F.col(own["context"]), {k: F.col(own[k]) for k in signs})).drop(*own.values())

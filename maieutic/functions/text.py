@@ -102,6 +102,11 @@ def weakness_summary(topic: Column, reward: Column) -> Column:
     return F.format_string(WEAKNESS, topic, F.coalesce(reward, F.lit(0.5)))
 
 
+def grpo_example(statement: Column, program: Column, recorded: Column) -> Column:
+    """problem, code and observed_failure of a task: a struct."""
+    return F.struct(F.coalesce(statement, F.lit("")).alias("problem"), program.alias("code"), observed_failure(recorded).alias("observed_failure"))
+
+
 def rendered_chat(messages: Column, ask: bool = False) -> Column:
     """ROLE: content of each message, with a blank line between; a missing role is a user's. ask: ends in ASSISTANT:."""
     said = F.transform(messages, lambda m: F.concat(F.upper(or_default(m["role"], "user")), F.lit(": "), F.coalesce(m["content"], F.lit(""))))

@@ -99,3 +99,8 @@ def tutor_prompts(episodes: DataFrame, seq: str = "seq", limit: int = MAX_PROMPT
 def zipped(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Two lists of the same batches side by side, by batch and place."""
     return left.join(right, list(keys))
+
+
+def export(rows: DataFrame, path: str) -> None:
+    """A data set as JSON Lines for a trainer, null fields included; replaces what is there."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -73,11 +73,11 @@ def assemble(rows: DataFrame, batch: Sequence[str], item: str, hint: str, contex
     Precedence: a corrupted hint scores 0, then a severely wrong one, then any hint of
     a bad task; else the model's score plus the hint's delta, capped where the hint is
     useless. The spread counts the zeros; afterwards they are zero again. One window
-    over the batch is the only shuffle; quality is read once, in an earlier projection.
+    over the batch is the only shuffle; what the quality needs is read once, in earlier projections.
     """
     names = list(weights)
-    read = rows.select("*", criteria(F.col(item), names).alias("_criteria"), assessment(F.col(item), bad_task).alias("_said"), quality.corruption(F.col(hint)).alias("corruption"), context.alias("_context"))
-    read = read.withColumn("_quality", quality.hint_quality(F.col(hint), F.col("_context"))).withColumn("model_score", weighted_score(F.col("_criteria"), weights))
+    read = rows.select("*", criteria(F.col(item), names).alias("_criteria"), assessment(F.col(item), bad_task).alias("_said"), quality.corruption(F.col(hint)).alias("corruption"))
+    read = quality.with_quality(read, hint, context, "_quality").withColumn("model_score", weighted_score(F.col("_criteria"), weights))
     corrupt, severe, bad = F.size("corruption") > 0, F.col("_quality.severe"), ~F.col("_said.task_valid")
     zero = corrupt | severe | bad
     plain = clamp(F.col("model_score") + F.col("_quality.delta"))

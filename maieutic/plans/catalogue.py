@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from maieutic.functions import jsons, prompts, quality, text
 from maieutic.operators import batches, curriculum, datasets, scoring, validation
+from maieutic.plans import pipeline
 from maieutic.plans.oracle import JUDGE_CASES, ORACLE, TASK_CASES
-from maieutic.session import stored
+from maieutic.session import ensure_checkpoint_dir, stored
 from maieutic.sources import logs, read_table
+from maieutic.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -75,6 +78,21 @@ def q_hard_buffer(h):
     return batches.tail(_hard(h).select("seq", "example_id", "reward"), ["seq", "example_id"], 64)
 
 
+@query("red_rejections!")
+def q_rejected_buffer(r):
+    return batches.tail(r.select("example_id", "rejection_reason"), ["example_id"], 64)
+
+
+@query("episodes!")
+def q_stored_tail(e):
+    """Episodes appended to a store in two goes, and its newest rows read back."""
+    rows = e.select("episode_id", "topic", F.col("judge.normalized_reward").alias("reward"))
+    store = Store(e.sparkSession, f"{ensure_checkpoint_dir(e.sparkSession).rstrip('/')}/store-{uuid.uuid4().hex}", "json")
+    for odd in (0, 1):
+        store.append("episodes", rows.where(F.pmod("episode_id", F.lit(2)) == odd))
+    return store.last("episodes", rows.schema, "episode_id", 100).withColumn("n", F.lit(store.count("episodes", rows.schema)).cast("long"))
+
+
 @query("red_rejections!")
 def q_rejected_by_reason(r):
     return r.groupBy("rejection_reason").agg(F.count("*").alias("n"), F.count_if(F.col("spec").isNull()).alias("n_without_spec"), r6(F.avg("task_quality")).alias("mean_quality"))
@@ -129,6 +147,12 @@ def q_combined_programs(e):
     return e.select("episode_id", F.length(program).alias("n_chars"), md5(program).alias("program_md5"), datasets.failure_of(F.col("task.metadata")).alias("failure"))
 
 
+@query("episodes!")
+def q_grpo_examples(e):
+    x = text.grpo_example(F.col("task.statement"), datasets.program_of(), F.get_json_object("task.metadata", "$.observed_failure"))
+    return e.select("episode_id", x.alias("x")).select("episode_id", md5("x.problem").alias("problem_md5"), md5("x.code").alias("code_md5"), "x.observed_failure")
+
+
 @query("episodes!")
 def q_split_asserts(e):
     body, checks = text.split_asserts(F.col("task.buggy_solution"))
@@ -268,6 +292,16 @@ def q_judge_cases(p):
     return _cases(p, JUDGE_CASES).select("case", F.array_join(jsons.judge_items(F.col("payload"), 2), "|").alias("items"))
 
 
+@query("episodes!")
+def q_fanned_out(e):
+    """The one reply to each batch, handed out to the batch's requests."""
+    log = _episodes(e).where(F.col("judge.raw_text").isNotNull())
+    requests = log.select("episode_id", "batch_id", (F.row_number().over(Window.partitionBy("batch_id").orderBy("episode_id")) - 1).alias("idx"))
+    replies = log.groupBy("batch_id").agg(F.min_by("judge.raw_text", "episode_id").alias("raw_text"))
+    item = pipeline.fan_out(requests, replies).select("episode_id", "idx", "item")
+    return item.select("episode_id", "idx", F.when(F.startswith("item", F.lit("{")), F.get_json_object("item", "$.score")).otherwise(F.col("item")).cast("double").alias("score"))
+
+
 @query("red_rejections!")
 def q_metadata_specs(r):
     meta = F.to_json(F.struct(F.struct(F.col("spec.topic"), F.col("spec.target_function"), F.col("spec.intended_bug"), F.col("spec.expected_first_failure")).alias("red_spec")))
@@ -340,7 +374,7 @@ def q_foreign_identifiers(e):
 
 @query("episodes!")
 def q_hint_quality(e):
-    rows = e.select("episode_id", F.col("hint.raw_text").alias("h"), _context().alias("c")).select("episode_id", quality.hint_quality(F.col("h"), F.col("c")).alias("q"))
+    rows = quality.with_quality(e.select("episode_id", F.col("hint.raw_text").alias("h"), "task"), "h", _context(), "q")
     return rows.select("episode_id", r6(F.col("q.delta")).alias("delta"), F.col("q.severe").alias("severe"), F.array_join("q.reasons", "; ").alias("reasons"))
 
 

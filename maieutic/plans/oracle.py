@@ -308,4 +308,14 @@ SELECT "case", CASE WHEN reasons = '' THEN array_to_string(listed, '|') END AS a
     "q_judge_cases": f"""WITH t AS (SELECT * FROM (VALUES {JUDGE_CASES}) AS v("case", payload)),
 g AS (SELECT "case", CASE WHEN json_type(payload) = 'ARRAY' THEN CAST(payload AS JSON) ELSE coalesce({something('items')}, {something('scores')}, {something('results')}) END AS items FROM t)
 SELECT "case", CASE WHEN json_type(items) = 'ARRAY' AND json_array_length(items) = 2 THEN array_to_string(list_transform(CAST(items AS JSON[]), lambda x: CAST(x AS VARCHAR)), '|') ELSE '0.0|0.0' END AS items FROM g""",
+    "q_rejected_buffer": f"WITH {RX} SELECT example_id, rejection_reason FROM rx ORDER BY example_id DESC LIMIT 64",
+    "q_stored_tail": f"WITH {EP} SELECT episode_id, topic, judge.normalized_reward AS reward, (SELECT count(*) FROM ep) AS n FROM ep ORDER BY episode_id DESC LIMIT 100",
+    "q_grpo_examples": f"WITH {EP} SELECT episode_id, md5({_USER}) AS problem_md5, md5({PROGRAM}) AS code_md5, {FAILURE} AS observed_failure FROM ep",
+    "q_fanned_out": f"""WITH {LOG}, r AS (SELECT episode_id, batch_id, judge.raw_text AS raw, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY episode_id) - 1 AS INTEGER) AS idx, count(*) OVER (PARTITION BY batch_id) AS n FROM s WHERE judge.raw_text IS NOT NULL),
+t AS (SELECT batch_id, regexp_replace(arg_min(raw, episode_id), '^\\s+|\\s+$', '', 'g') AS t FROM r GROUP BY batch_id),
+b AS (SELECT *, regexp_replace(replace(replace(t, '```json', ''), '```', ''), '^\\s+|\\s+$', '', 'g') AS bare FROM t),
+k AS (SELECT *, regexp_extract(bare, '(?s)\\[.*\\]') AS arr, regexp_extract(bare, '(?s)\\{{.*\\}}') AS obj FROM b),
+y AS (SELECT batch_id, CASE WHEN t <> '' AND json_valid(t) THEN t WHEN arr <> '' AND json_valid(arr) THEN arr WHEN obj <> '' AND json_valid(obj) THEN obj END AS payload FROM k),
+g AS (SELECT batch_id, CASE WHEN json_type(payload) = 'ARRAY' THEN CAST(payload AS JSON) ELSE coalesce({something('items')}, {something('scores')}, {something('results')}) END AS items FROM y)
+SELECT r.episode_id, r.idx, CASE WHEN json_type(items) = 'ARRAY' AND json_array_length(items) = r.n THEN CAST(json_extract_string(items, '$[' || r.idx || '].score') AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score FROM r JOIN g USING (batch_id)""",
 }

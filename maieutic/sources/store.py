@@ -43,14 +43,33 @@ class Store:
         """A bounded buffer: a view on the newest rows of a table that keeps all."""
         return self.last(table, schema, seq, most)
 
+    def _versions(self, name: str) -> list[int]:
+        """The complete versions of a state table, oldest first."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        found = [f.getPath().getName() for f in fs.listStatus(at)]
+        return sorted(int(v) for v in found if v.isdigit() and fs.exists(path(f"{self._path(name)}/{v}/_SUCCESS")))
+
     def save_state(self, name: str, state: DataFrame) -> None:
-        """Replaces a small state table."""
-        state.coalesce(1).write.mode("overwrite").parquet(self._path(name))
+        """Replaces a small state table: writes a new version beside the last, which stays whole until the new one is, and drops older ones."""
+        known = self._versions(name)
+        state.coalesce(1).write.mode("overwrite").parquet(f"{self._path(name)}/{(known[-1] if known else 0) + 1:012d}")
+        for v in known[:-1]:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/{v:012d}")
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def load_state(self, name: str, schema: StructType) -> DataFrame:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        exists = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-        return self.spark.read.schema(schema).parquet(self._path(name)) if exists else self.spark.createDataFrame([], schema)
+        """The last complete version; no rows where there is none."""
+        known = self._versions(name)
+        return self.spark.read.schema(schema).parquet(f"{self._path(name)}/{known[-1]:012d}") if known else self.spark.createDataFrame([], schema)
+
+    def set_pointer(self, table: str, schema: StructType, name: str, value: str | None) -> None:
+        """Sets the value of a name, null too: one row more, with the next seq."""
+        last = self.read(table, schema).agg({"seq": "max"}).first()[0] or 0
+        self.append(table, self.spark.createDataFrame([(name, value, last + 1)], "name string, value string, seq long"))
 
     def pointers(self, table: str, schema: StructType) -> DataFrame:
         """The newest value of each name."""
