@@ -38,12 +38,13 @@ def hash_of_sets(owner: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarr
 def pairs_within(rows: DataFrame, key: str, value: str, block: int = BLOCK) -> DataFrame:
     """a, b: all pairs a < b of different values that share a key, once for each such key.
 
-    Equal rows count once. A key of at most `block` values is paired where it lies. The
+    Equal rows count once, null keys and values not at all. A key of at most `block` values is paired where it lies. The
     values of a larger one are split by hash into blocks of about that size, and each two
     blocks meet in a task's row group of their own, so no task pairs more than two blocks at
     once, however many values a key has.
     """
-    each = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).repartition("k").dropDuplicates(["k", "v"])
+    # Both branches below read one shuffle; with the nulls left out here, no filter that one of them infers can tell them apart.
+    each = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).where("k is not null and v is not null").repartition("k").dropDuplicates(["k", "v"])
     sized = each.withColumn("m", F.count("*").over(Window.partitionBy("k"))).where("m > 1")
     lists = sized.where(F.col("m") <= block).groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # at most `block` values
     small = lists.select("vs", F.posexplode("vs").alias("i", "a")).select("a", F.explode(F.slice("vs", F.col("i") + 2, F.size("vs"))).alias("b"))
