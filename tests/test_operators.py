@@ -304,3 +304,19 @@ def test_pairs_equal_but_for_layout_are_dropped(spark):
     hard = spark.createDataFrame([(1, "a", "p", json.dumps(json.loads(easy), indent=2), 0.2)], "seq long, topic string, prompt string, chosen_completion string, reward double")
     none = spark.createDataFrame([], "seq long, topic string, prompt string, rejected_completion string")
     assert datasets.preference_pairs(hard, none, recent).count() == 0
+
+
+def test_states_keep_the_last_whole_version_and_pointers_move(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    for n in (1, 2, 3):
+        s.save_state("c", spark.range(n))
+    kind = spark.range(1).schema
+    assert s.load_state("c", kind).count() == 3 and len([p for p in (tmp_path / "c").iterdir() if p.is_dir()]) == 2
+    (tmp_path / "c" / f"{9:012d}").mkdir()  # a version whose writing broke off
+    assert s.load_state("c", kind).count() == 3
+    p = spark.createDataFrame([], "name string, value string, seq long").schema
+    for name, value in (("a", "x"), ("b", "y"), ("a", None)):
+        s.set_pointer("p", p, name, value)
+    assert {r.name: (r.value, r.seq) for r in s.pointers("p", p).collect()} == {"a": (None, 3), "b": ("y", 2)}
+    datasets.export(s.pointers("p", p).coalesce(1), str(tmp_path / "out"))
+    assert any('"value":null' in f.read_text() for f in (tmp_path / "out").glob("part-*"))
