@@ -15,6 +15,7 @@ from maieutic.plans import pipeline
 from maieutic.plans.oracle import JUDGE_CASES, ORACLE, TASK_CASES
 from maieutic.session import ensure_checkpoint_dir, stored
 from maieutic.sources import logs, read_table
+from maieutic.sources.config import Settings
 from maieutic.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,12 +398,27 @@ def q_batch_spread(e):
     return rows.select("episode_id", "batch_id", r6(scoring.spread(F.col("score"), ["batch_id"])).alias("spread_score"))
 
 
+def _graded_item():
+    """The grader's item of a row, with its one score under every criterion."""
+    item = F.get(jsons.judge_items(F.col("payload"), 4), F.col("idx"))
+    score = F.get_json_object(item, "$.score")
+    return F.to_json(F.struct(*(score.alias(k) for k in scoring.WEIGHTS), F.get_json_object(item, "$.task_quality").alias("task_quality")))
+
+
+@query("episodes!")
+def q_judged_batches(e):
+    """Judged batches taken apart into numbered episodes, of which the hardest are mined, and rejections."""
+    rows = _judged(e).select("batch_id", "idx", F.col("task.topic").alias("topic"), "task", "hint", _graded_item().alias("item"))
+    found = pipeline.judged(rows, _context(), Settings({"any": 1.0}))
+    kept = found.episodes.select("batch_id", "idx", F.lit("episode").alias("goes_to"), "episode_id", r6("reward").alias("reward"), "is_hard")
+    lost = found.rejections.select("batch_id", "idx", F.lit("rejected").alias("goes_to"), F.lit(None).cast("long").alias("episode_id"), F.lit(None).cast("double").alias("reward"), F.lit(None).cast("boolean").alias("is_hard"))
+    return kept.unionByName(lost)
+
+
 @query("episodes!")
 def q_evaluated(e):
     """Items of the graders' replies, assembled with what the hints show, and spread in their batches."""
-    item = F.get(jsons.judge_items(F.col("payload"), 4), F.col("idx"))
-    score = F.get_json_object(item, "$.score")
-    named = F.to_json(F.struct(*(score.alias(k) for k in scoring.WEIGHTS), F.get_json_object(item, "$.task_quality").alias("task_quality")))
+    named = _graded_item()
     rows = _judged(e).select("episode_id", "batch_id", "task", named.alias("item"), F.coalesce(F.nullif("hint.raw_text", F.lit("")), F.col("hint.text")).alias("h"))
     out = scoring.assemble(rows, ["batch_id"], "item", "h", _context())
     return out.select("episode_id", r6("model_score").alias("model_score"), r6("score").alias("score"), r6("adjusted_score").alias("adjusted_score"), "task_valid", "hint_valid")

@@ -203,6 +203,12 @@ j4 AS (SELECT episode_id, idx, CASE WHEN json_type(p) = 'ARRAY' THEN p ELSE coal
 j5 AS (SELECT episode_id, CASE WHEN json_type(inner_) = 'ARRAY' AND json_array_length(inner_) = 4 THEN json_extract(inner_, '$[' || idx || ']') END AS item FROM j4)
 """
 
+_EVALUATED = f"""WITH {EP}, {_JUDGED}, {quality_of(_SAID)},
+v AS (SELECT g.episode_id, CAST(floor((g.episode_id - 1) / 4.0) AS BIGINT) AS batch_id, greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), coalesce(CAST(json_extract_string(item, '$.score') AS DOUBLE), CAST(0 AS DOUBLE)))) AS model_score,
+  greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), coalesce(CAST(json_extract_string(item, '$.task_quality') AS DOUBLE), CAST(5 AS DOUBLE)))) > 3 AS task_valid, {' OR '.join(f'({c})' for c, _ in _CORRUPT)} AS corrupt, len(alien) > 0 AND odd AS severe, {_DELTA} AS delta FROM g JOIN j5 USING (episode_id)),
+s AS (SELECT *, CASE WHEN corrupt OR severe OR NOT task_valid THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), model_score + delta)) END AS score FROM v)
+"""
+
 ORACLE: dict[str, str] = {
     "q_episode_count": f"WITH {EP} SELECT count(*) AS n FROM ep",
     "q_recent_episodes": f"WITH {EP} SELECT episode_id, topic, judge.normalized_reward AS reward FROM ep ORDER BY episode_id DESC LIMIT 20",
@@ -240,11 +246,11 @@ md5(training) AS training_md5, md5(training || ' Reproduced failure: ' || left(f
 body_ AS (SELECT *, list_filter(ls, lambda x: starts_with({strip('x')}, 'assert ')) AS checks, {rstrip(f"array_to_string(list_transform(list_filter(ls, lambda x: NOT starts_with({strip('x')}, 'assert ')), lambda x: {rstrip('x')}), chr(10))")} AS body FROM l),
 r AS (SELECT *, CASE WHEN NOT ok THEN 'non-json response' WHEN body = '' THEN 'missing buggy_solution' ELSE '' END AS reasons FROM body_)
 SELECT example_id, CASE WHEN reasons = '' THEN len(checks) END AS n_asserts, CASE WHEN reasons = '' THEN len(body) END AS n_chars, CASE WHEN reasons = '' THEN coalesce(nullif({at('metadata.observed_failure')}, ''), 'AssertionError') END AS observed_failure, reasons FROM r""",
-    "q_evaluated": f"""WITH {EP}, {_JUDGED}, {quality_of(_SAID)},
-v AS (SELECT g.episode_id, CAST(floor((g.episode_id - 1) / 4.0) AS BIGINT) AS batch_id, greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), coalesce(CAST(json_extract_string(item, '$.score') AS DOUBLE), CAST(0 AS DOUBLE)))) AS model_score,
-  greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), coalesce(CAST(json_extract_string(item, '$.task_quality') AS DOUBLE), CAST(5 AS DOUBLE)))) > 3 AS task_valid, {' OR '.join(f'({c})' for c, _ in _CORRUPT)} AS corrupt, len(alien) > 0 AND odd AS severe, {_DELTA} AS delta FROM g JOIN j5 USING (episode_id)),
-s AS (SELECT *, CASE WHEN corrupt OR severe OR NOT task_valid THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), model_score + delta)) END AS score FROM v)
-SELECT episode_id, round(model_score, 6) AS model_score, round(score, 6) AS score, round(CASE WHEN corrupt OR severe OR NOT task_valid THEN CAST(0 AS DOUBLE) ELSE {_SPREAD} END, 6) AS adjusted_score, task_valid, NOT corrupt AND NOT severe AS hint_valid FROM s WINDOW b AS (PARTITION BY batch_id)""",
+    "q_evaluated": _EVALUATED + f"SELECT episode_id, round(model_score, 6) AS model_score, round(score, 6) AS score, round(CASE WHEN corrupt OR severe OR NOT task_valid THEN CAST(0 AS DOUBLE) ELSE {_SPREAD} END, 6) AS adjusted_score, task_valid, NOT corrupt AND NOT severe AS hint_valid FROM s WINDOW b AS (PARTITION BY batch_id)",
+    "q_judged_batches": _EVALUATED + f""", a AS (SELECT batch_id, CAST((episode_id - 1) % 4 AS INTEGER) AS idx, task_valid, CASE WHEN corrupt OR severe OR NOT task_valid THEN CAST(0 AS DOUBLE) ELSE {_SPREAD} END / 10 AS reward FROM s WINDOW b AS (PARTITION BY batch_id)),
+n AS (SELECT *, row_number() OVER (ORDER BY batch_id, idx) AS episode_id FROM a WHERE task_valid),
+h AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY reward, episode_id) <= greatest(1, ceil(count(*) OVER (PARTITION BY batch_id) * 0.25)) AS is_hard FROM n)
+SELECT batch_id, idx, 'episode' AS goes_to, episode_id, round(reward, 6) AS reward, is_hard FROM h UNION ALL SELECT batch_id, idx, 'rejected', NULL, NULL, NULL FROM a WHERE NOT task_valid""",
     "q_judge_items": f"WITH {EP}, {_JUDGED} SELECT episode_id, CAST(json_extract_string(item, '$.task_quality') AS DOUBLE) AS task_quality, CAST(json_extract_string(item, '$.score') AS DOUBLE) AS score FROM j5",
     "q_metadata_specs": f"""WITH {RX}, x AS (SELECT example_id, topic, {strip("coalesce(spec.target_function, '')")} AS f, {strip("coalesce(spec.intended_bug, '')")} AS b, {strip("coalesce(spec.expected_first_failure, '')")} AS e, {strip("coalesce(spec.topic, '')")} AS t FROM rx)
 SELECT example_id, CASE WHEN f || b || e <> '' THEN coalesce(nullif(t, ''), topic) END AS topic, CASE WHEN f || b || e <> '' THEN f END AS target_function, CASE WHEN f || b || e <> '' THEN b END AS intended_bug, CASE WHEN f || b || e <> '' THEN e END AS expected_first_failure FROM x""",
