@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from maieutic.llm import languages
 from maieutic.llm.shingles import mix
-from maieutic.session import discard, stored
+from maieutic.session import discard, release, stored
 
 #: Known terms: so many words and so many pairs of words, those of most documents, with LEAST_DOCUMENTS at least; and as many again that labelled documents share. Their numbers fit in 16 bits.
 WORDS, PAIRS, LEAST_DOCUMENTS = 16_000, 16_000, 4
@@ -132,7 +132,10 @@ def encoded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Numbers:
-    """The places of known keys in a sorted array, by a table of hashed slots, of which few hold more than one key."""
+    """The places of known keys in a sorted array, by a table of hashed slots, of which few hold more than one key.
+
+    Only the keys are sent to other processes, which make the table, of sixteen slots a key or more, anew.
+    """
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.sort(keys.astype(np.uint64))
@@ -142,6 +145,9 @@ class Numbers:
         counts = np.bincount(slot, minlength=1 << int(64 - self.shift))
         self.first, self.count, self.order, self.most = np.cumsum(counts) - counts, counts, order, int(counts.max(initial=0))
 
+    def __reduce__(self) -> tuple[type[Numbers], tuple[np.ndarray]]:
+        return Numbers, (self.keys,)
+
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(_BASE)) >> self.shift).astype(np.int64)
 
@@ -338,20 +344,20 @@ def term_matrix(coded: DataFrame, terms: Terms, light: dict[int, float]) -> Data
     """id, weight, terms: each document's known terms in order, as 16-bit numbers, with marks behind its sentences."""
     if len(terms.keys) > _CODE_NUMBER:
         raise ValueError("too many terms")
-    known = coded.sparkSession.sparkContext.broadcast((terms, light))
+    known = coded.sparkSession.sparkContext.broadcast((terms.numbers, light))
     kind = coded.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, less = known.value
+        numbers, less = known.value
         for batch in batches:
             codes, sizes = _flat(batch.column("code"))
             tongue = tongues(codes)
             # Two slots a place, for the word and for the pair that begin there, keep the order.
             number = np.full((len(codes), 2), -1)
             at, key = words_at(codes, tongue)
-            number[at, 0] = t.numbers(key)
+            number[at, 0] = numbers(key)
             at, key = pairs_at(codes, tongue)
-            number[at, 1] = t.numbers(key)
+            number[at, 1] = numbers(key)
             number[codes == _CODE, 0], number[is_end(codes), 0] = _CODE_NUMBER, _STOP_NUMBER
             held = number >= 0
             upto = np.concatenate([[0], np.cumsum(held.sum(axis=1))])[np.concatenate([[0], np.cumsum(sizes)])]
@@ -439,11 +445,13 @@ def _sums(total: np.ndarray, divergence: float, mass: float) -> Iterator[pa.Reco
 
 
 def _added(parts: DataFrame, k: int, v: int) -> tuple[np.ndarray, float]:
-    """The tasks' sums added up, components x terms, and the divergence by weight of term. One row a known term reaches the driver."""
+    """The tasks' sums added up, components x terms, and the divergence by weight of term. One row a known term reaches the driver, and no file of the shuffle stays."""
     out = np.zeros((k, v))
-    found = parts.groupBy("term").agg(*(F.sum(f"c{c}").alias(f"c{c}") for c in range(k))).toPandas()
+    added = parts.groupBy("term").agg(*(F.sum(f"c{c}").alias(f"c{c}") for c in range(k)))
+    found = added.toArrow()
+    release(added)
     at = found["term"].to_numpy()
-    values = found[[f"c{c}" for c in range(k)]].to_numpy(np.float64).T
+    values = np.stack([found[f"c{c}"].to_numpy() for c in range(k)])
     out[:, at[at >= 0]] = values[:, at >= 0]
     last = values[:, at < 0].sum(axis=1)
     return out, float(last[0] / last[1]) if k > 1 and last[1] else 0.0
@@ -486,7 +494,7 @@ def gathered(matrix: DataFrame, terms: Terms, h: np.ndarray, inner: int) -> tupl
         yield from _sums(total, divergence, mass)
 
     out = _added(matrix.select("weight", "terms").mapInArrow(run, _schema(k)), k, v)
-    known.unpersist()
+    known.destroy()
     return out
 
 

@@ -71,6 +71,14 @@ def discard(table: DataFrame) -> None:
         at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the shuffle files of df's run, which else stay until the driver happens to collect its garbage; a later run would make them anew."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        for shuffle in plan.context().shuffleIds().keySet().toArray():
+            df.sparkSession.sparkContext._jsc.sc().shuffleDriverComponents().removeShuffle(shuffle, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it holds at most so many rows, else as it is. Counts df: hand over a stored one."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

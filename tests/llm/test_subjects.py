@@ -1,5 +1,8 @@
 """Subjects on a made corpus with known sentences."""
 
+import glob
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +77,28 @@ def test_updates_keep_mass_and_lower_the_divergence(spark, rng):
     assert seen == sorted(seen, reverse=True)
 
 
+def test_only_the_keys_of_known_terms_are_sent():
+    keys = np.random.default_rng(2).integers(1, 1 << 63, 20_000).astype(np.uint64)
+    numbers = S.Numbers(keys)
+    sent = pickle.dumps(numbers)
+    assert len(sent) < keys.nbytes + 1000
+    asked = np.concatenate([keys, keys + np.uint64(1)])
+    assert (pickle.loads(sent)(asked) == numbers(asked)).all() and (numbers(keys) >= 0).all()
+
+
+def test_a_round_leaves_no_files(spark, rng):
+    docs, _ = made(rng, 60)
+    coded = coded_of(spark, docs)
+    terms = S.known_terms(coded, {}, least=1)
+    matrix = S.term_matrix(coded, terms, {}).repartition(3).cache()
+    matrix.count()
+    files = lambda: {f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    paths = lambda: set(glob.glob(f"{spark.sparkContext._temp_dir}/*"))
+    shuffled, sent = files(), paths()
+    S.gathered(matrix, terms, terms.normed(np.ones((2, len(terms.keys)))), 1)
+    assert files() <= shuffled and paths() <= sent
+
+
 def term_numbers(terms, text):
     """The numbers of a text's words and of its pairs, -1 for unknown ones."""
     codes, _ = S.coded([text])
